@@ -41,7 +41,7 @@ def mixed_date(value: Column, formats: Sequence[str]) -> Column:
 
 def tokens(value: Column, separator: str = ",") -> Column:
     """Distinct, trimmed, non-empty tokens; an empty array for null."""
-    parts = F.transform(F.split(value, separator), F.trim)
+    parts = F.transform(F.split(value, separator), lambda t: F.trim(t))
     return F.coalesce(F.array_distinct(F.filter(parts, lambda t: t != "")),
                       F.array().cast("array<string>"))
 

@@ -91,13 +91,15 @@ def quantiles_of_counts(counts: DataFrame, ks: Sequence[str],
     spots = spots.withColumn("_k0", F.floor(pos)).withColumn("_w", pos - F.floor(pos)) \
         .withColumn("_k1", F.least(F.col("_k0") + 1, F.col("_n") - 1))
     covers = lambda k: (F.col("_before") <= k) & (k < F.col("_before") + F.col("_c"))
-    spots = spots.where(covers(F.col("_k0")) | covers(F.col("_k1")))
+    # At most two buckets per wanted fraction: the list below is bounded by the fractions.
+    spots = spots.where(covers(F.col("_k0")) | covers(F.col("_k1"))).groupBy(*ks, "_b").agg(
+        F.max("_before").alias("_before"),
+        F.collect_list(F.struct("_name", "_k0", "_k1", "_w")).alias("_wanted"))
     inside = W.partitionBy(*ks, "_b").orderBy("value").rowsBetween(W.unboundedPreceding, -1)
-    needed = spots.select(*ks, "_b", "_before").distinct()
-    ranked_values = counts.join(needed, [*ks, "_b"]).select(
-        *ks, "_b", "value", "copies",
-        (F.col("_before") + F.coalesce(F.sum("copies").over(inside), F.lit(0))).alias("_at"))
-    hits = ranked_values.join(spots.select(*ks, "_b", "_name", "_k0", "_k1", "_w"), [*ks, "_b"])
+    hits = counts.join(spots, [*ks, "_b"]).select(
+        *ks, "value", "copies", "_wanted",
+        (F.col("_before") + F.coalesce(F.sum("copies").over(inside), F.lit(0))).alias("_at")) \
+        .select(*ks, "value", "copies", "_at", F.inline("_wanted"))
     at = lambda k: (F.col("_at") <= F.col(k)) & (F.col(k) < F.col("_at") + F.col("copies"))
     pick = lambda n, k: F.max(F.when((F.col("_name") == n) & at(k), F.col("value")))
     weight = lambda n: F.max(F.when(F.col("_name") == n, F.col("_w")))
