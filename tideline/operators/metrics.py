@@ -44,7 +44,7 @@ def evaluate(predictions: DataFrame, keys: Sequence[str], digits: int = 9) -> Da
     clipped = F.greatest(F.lit(EPSILON), F.least(F.lit(1.0 - EPSILON), c("p")))
     n = c("pos") + c("neg")
     s = rows.groupBy(*keys).agg(
-        F.sum(n).alias("_all"), F.sum("pos").alias("_pos"), F.sum("neg").alias("_neg"),
+        F.sum(n).alias("_rows"), F.sum("pos").alias("_pos"), F.sum("neg").alias("_neg"),
         F.sum(F.when(hit, c("pos")).otherwise(0)).alias("tp"), F.sum(F.when(hit, c("neg")).otherwise(0)).alias("fp"),
         F.sum(F.when(hit, 0).otherwise(c("pos"))).alias("fn"), F.sum(F.when(hit, 0).otherwise(c("neg"))).alias("tn"),
         F.sum(c("neg") * (c("pos_before") + c("pos") / 2.0)).alias("_auc"),
@@ -58,14 +58,14 @@ def evaluate(predictions: DataFrame, keys: Sequence[str], digits: int = 9) -> Da
         "roc_auc": F.when(both, c("_auc") / (c("_pos").cast("double") * c("_neg"))),
         "average_precision": F.when(has_pos, c("_ap") / c("_pos")),
         "pr_auc_trapezoidal": F.when(has_pos, c("_trap") / c("_pos")),
-        "brier_score": c("_brier") / c("_all"), "log_loss": c("_log") / c("_all"),
-        "accuracy": (c("tp") + c("tn")) / c("_all"),
+        "brier_score": c("_brier") / c("_rows"), "log_loss": c("_log") / c("_rows"),
+        "accuracy": (c("tp") + c("tn")) / c("_rows"),
         "balanced_accuracy": F.when(both, (c("tp") / c("_pos") + c("tn") / c("_neg")) / 2.0),
         "precision": _ratio(c("tp"), c("tp") + c("fp")), "recall": _ratio(c("tp"), c("tp") + c("fn")),
         "f1": _ratio(2 * c("tp"), 2 * c("tp") + c("fp") + c("fn")),
-        "mean_probability": c("_mean") / c("_all"),
+        "mean_probability": c("_mean") / c("_rows"),
     }
-    return s.select(*keys, c("_all").alias("observations"), c("_pos").alias("actual_positive"), c("_neg").alias("actual_negative"),
+    return s.select(*keys, c("_rows").alias("observations"), c("_pos").alias("actual_positive"), c("_neg").alias("actual_negative"),
                     "tp", "fp", "fn", "tn", (c("tp") + c("fp")).alias("predicted_positive"),
                     *[F.round(v, digits).alias(k) for k, v in out.items()])
 
