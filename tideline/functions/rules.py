@@ -62,6 +62,13 @@ def utc_instant(value: Column) -> Column:
     return F.convert_timezone(F.current_timezone(), F.lit("UTC"), local)
 
 
+def http_date(value: Column) -> Column:
+    """``Tue, 13 Oct 2026 15:36:29 GMT`` to a UTC wall-clock timestamp; null otherwise."""
+    pattern = r"^[A-Z][a-z]{2}, (\d{2} [A-Z][a-z]{2} \d{4} \d{2}:\d{2}:\d{2}) GMT$"
+    text = F.regexp_extract(value, pattern, 1)
+    return F.try_to_timestamp(text, F.lit("dd MMM yyyy HH:mm:ss")).cast("timestamp_ntz")
+
+
 def micros(ts: Column) -> Column:
     """Microseconds of a zone-free timestamp, independent of the session zone."""
     return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts)
