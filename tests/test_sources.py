@@ -39,7 +39,7 @@ def test_wrong_width_fails_even_for_few_columns(spark, tmp_path, line):
 def test_field_counts(spark, tmp_path):
     p = write(tmp_path / "t.csv", 'id,name,cut,count,note\n1,a,5,2,n\n1,"x,y",5,2,\n1,a,5\n1,"a,b",5,2,n,z\n')
     assert {r["fields"]: r["records"] for r in tables.field_counts(spark, p, COLS).collect()} == {5: 2, 3: 1, 6: 1}
-    assert tables.bad_record_sample(spark, p, COLS).count() == 2
+    assert {r["fields"] for r in tables.bad_record_sample(spark, p, COLS).collect()} == {3, 6}
 
 
 def test_catalog_schema_constants():

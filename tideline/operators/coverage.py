@@ -154,30 +154,39 @@ def consecutive_groups(observations: DataFrame) -> DataFrame:
     The next timestamp comes from a window over distinct timestamps cut into months: the last
     group of a month looks up the first group of the next non-empty month.
     """
-    rows = obs_ops.with_state(observations)
+    # Fixed-width codes keep both aggregates hash-based; they are only read for single-record groups.
+    kind = F.when(F.col("kind") == "discount", 2).when(F.col("kind") == "full_price", 1).otherwise(3)
+    currency = F.coalesce(rules.currency_code(F.col("price_currency")).cast("bigint"), F.xxhash64("price_currency"))
+    rows = obs_ops.with_state(observations).withColumn("_kind", kind).withColumn(
+        "_currency", F.when(F.col("price_currency").isNotNull(), currency))
     groups = rows.groupBy("entity_id", "ts").agg(
-        F.count("*").alias("n"), F.min("kind").alias("kind"), F.min("price").alias("price"),
-        F.min("price_currency").alias("currency"), F.min("cut").alias("cut"),
+        F.count("*").alias("n"), F.min("_kind").alias("kind"), F.min("price").alias("price"),
+        F.min("_currency").alias("currency"), F.min("cut").alias("cut"),
         F.min("state_a").alias("a"), F.min("state_b").alias("b"))
     month = F.date_trunc("month", F.col("ts")).cast("timestamp_ntz")
     cols = ["ts", "n", "kind", "price", "currency", "cut", "a", "b"]
-    packed = F.struct(*cols)
-    tagged = groups.select("entity_id", month.alias("month"), packed.alias("g"))
-    inner = W.partitionBy("entity_id", "month").orderBy("g.ts")
-    local = tagged.withColumn("next_g", F.lead("g").over(inner))
-    firsts = tagged.groupBy("entity_id", "month").agg(F.min("g").alias("first_g"))
-    across = firsts.select("entity_id", "month", F.lead("first_g").over(
+    tagged = groups.select("entity_id", month.alias("month"), *cols)
+    inner = W.partitionBy("entity_id", "month").orderBy("ts")
+    local = tagged.select("entity_id", "month", F.struct(*cols).alias("this"), F.lead(F.struct(*cols)).over(inner).alias("next_g"))
+    firsts = tagged.groupBy("entity_id", "month").agg(*[F.min_by(c, "ts").alias(c) for c in cols])
+    across = firsts.select("entity_id", "month", F.lead(F.struct(*cols)).over(
         W.partitionBy("entity_id").orderBy("month")).alias("later_g"))
     linked = local.join(across, ["entity_id", "month"])
-    return linked.select("entity_id", F.col("g").alias("this"),
-                         F.coalesce("next_g", "later_g").alias("next")).where(F.col("next").isNotNull())
+    return linked.select("entity_id", "this", F.coalesce("next_g", "later_g").alias("next")).where(F.col("next").isNotNull())
+
+
+KIND_NAMES = {1: "full_price", 2: "discount", 3: "ambiguous"}
+
+
+def _kind_name(code: Column) -> Column:
+    return F.when(code == 1, KIND_NAMES[1]).when(code == 2, KIND_NAMES[2]).otherwise(KIND_NAMES[3])
 
 
 def transition_matrix(links: DataFrame) -> DataFrame:
     """Kind-to-kind counts between adjacent single-record groups."""
     single = (F.col("this.n") == 1) & (F.col("next.n") == 1)
-    return links.where(single).groupBy(F.col("this.kind").alias("from_kind"),
-                                       F.col("next.kind").alias("to_kind")).agg(F.count("*").alias("pairs"))
+    return links.where(single).groupBy(_kind_name(F.col("this.kind")).alias("from_kind"),
+                                       _kind_name(F.col("next.kind")).alias("to_kind")).agg(F.count("*").alias("pairs"))
 
 
 def consecutive_facts(links: DataFrame) -> DataFrame:

@@ -90,10 +90,10 @@ def history_diagnostics(observations: DataFrame, shop_id: int) -> DataFrame:
 
 def state_hash(seed: int) -> Column:
     """Hash of the eight state fields with nulls as values of their own."""
-    parts: list[Column] = [F.lit(seed)]
-    for name in SIGNATURE:
-        parts += [F.col(name), F.col(name).isNull()]
-    return F.xxhash64(*parts)
+    nulls = F.lit(0)
+    for i, name in enumerate(SIGNATURE):
+        nulls = nulls + F.when(F.col(name).isNull(), 1 << i).otherwise(0)
+    return F.xxhash64(F.lit(seed), nulls, *SIGNATURE)
 
 
 def with_state(observations: DataFrame) -> DataFrame:

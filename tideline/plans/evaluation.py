@@ -11,6 +11,7 @@ from tideline.plans.bindings import ENTITIES, FEATURES, OBS, PAIRS, SCORES, TAGG
 from tideline.plans.catalog import SPLIT_SQL, stable_hash_split
 from tideline.plans.evidence import CAL, FEATURE_CTES, MODEL_CTES, features_of, labels_of
 from tideline.plans.registry import query
+from tideline.session import durable
 
 P = features.PREDICTORS
 TENTHS = [i / 10 for i in range(11)]
@@ -76,49 +77,56 @@ IMPUTED_SQL = """imp AS (SELECT f.entity_id, f.window_year, f.feature, coalesce(
 PREP_CTES = (*FEATURE_CTES, FLONG, TRAIN_LONG, MEDIANS_SQL, IMPUTED_SQL)
 
 
-def train_of(spark, d):
-    return features_of(spark, d).where("window_year < 2000")
+def frozen_features(spark, d):
+    """Feature table written once: several statistics and projections read it afterwards."""
+    return durable(features_of(spark, d))
+
+
+def train_of(f):
+    return f.where("window_year < 2000")
 
 
 @query("training_medians", "M3", with_ctes(*PREP_CTES, body="""
 SELECT feature, n AS "rows", observed, round(median, 6) AS median FROM med"""))
 def training_medians(spark, d):
-    return prepare.training_medians(train_of(spark, d)).withColumn("median", F.round("median", 6))
+    return prepare.training_medians(train_of(features_of(spark, d))).withColumn("median", F.round("median", 6))
 
 
 @query("imputed_features", "M3", with_ctes(*PREP_CTES, body="SELECT entity_id, window_year, feature, round(value, 6) AS value FROM imp"))
 def imputed_features(spark, d):
-    f = features_of(spark, d)
-    rows = prepare.impute(f, prepare.training_medians(train_of(spark, d)))
+    f = frozen_features(spark, d)
+    rows = prepare.impute(f, prepare.training_medians(train_of(f)))
     return features.melt(rows, ["entity_id", "window_year"]).withColumn("value", F.round("value", 6))
 
 
 @query("observed_training_features", "M4", with_ctes(*PREP_CTES, body="""
 SELECT feature, n AS "rows", observed, observed > 0 AS keep FROM med"""))
 def observed_training_features(spark, d):
-    return prepare.observed_features(prepare.training_medians(train_of(spark, d)))
+    return prepare.observed_features(prepare.training_medians(train_of(features_of(spark, d))))
 
 
 SCALE_SQL = "sc AS (SELECT feature, avg(value) AS mean, stddev_pop(value) AS std, var_pop(value) AS variance FROM imp WHERE window_year < 2000 GROUP BY 1)"
 
 
-def scaling_of(spark, d):
-    medians = prepare.training_medians(train_of(spark, d))
-    return medians, prepare.scaling(prepare.impute(train_of(spark, d), medians))
+def scaling_of(f):
+    """Medians and scale of the training rows; the small median table is kept as well."""
+    medians = durable(prepare.training_medians(train_of(f)))
+    return medians, prepare.scaling(prepare.impute(train_of(f), medians))
 
 
 @query("training_scale", "M5", with_ctes(*PREP_CTES, SCALE_SQL, body="""
 SELECT feature, round(mean, 6) AS mean, round(std, 6) AS std, round(variance, 4) AS variance FROM sc"""))
 def training_scale(spark, d):
-    return scaling_of(spark, d)[1].select("feature", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"),
+    return scaling_of(frozen_features(spark, d))[1].select("feature", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"),
                                           F.round("variance", 4).alias("variance"))
 
 
 @query("standardised_features", "M5", with_ctes(*PREP_CTES, SCALE_SQL, body="""
 SELECT entity_id, window_year, feature, round((value - mean) / CASE WHEN std > 0 THEN std ELSE 1 END, 6) AS value FROM imp JOIN sc USING (feature)"""))
 def standardised_features(spark, d):
-    medians, stats = scaling_of(spark, d)
-    rows = prepare.standardise(prepare.impute(features_of(spark, d), medians), stats)
+    f = frozen_features(spark, d)
+    medians, stats = scaling_of(f)
+    rows = prepare.standardise(prepare.impute(f, medians), stats)
     return features.melt(rows, ["entity_id", "window_year"]).withColumn("value", F.round("value", 6))
 
 
@@ -127,8 +135,9 @@ SELECT 'median_differs' AS rule, CAST(0 AS BIGINT) AS violations UNION ALL SELEC
 UNION ALL SELECT 'empty_feature', count(*) FILTER (WHERE observed = 0) FROM med"""))
 def preprocessing_check(spark, d):
     """Fitted statistics against statistics recomputed from the transformed training rows."""
-    train = train_of(spark, d)
-    medians, stats = scaling_of(spark, d)
+    f = frozen_features(spark, d)
+    train = train_of(f)
+    medians, stats = scaling_of(f)
     z = features.melt(prepare.standardise(prepare.impute(train, medians), stats), []).groupBy("feature").agg(
         F.avg("value").alias("m"), F.var_pop("value").alias("v"))
     c = F.col
@@ -189,7 +198,7 @@ SELECT feature, count(*) AS "rows", count(*) - count(value) AS missing, round(ma
   count(*) FILTER (WHERE value < lo OR value > hi) AS outside_training_range FROM flong JOIN bd USING (feature) WHERE window_year = 2000 GROUP BY 1
 """).replace("\n, bd", ", bd"))
 def feature_availability(spark, d):
-    f = features_of(spark, d)
+    f = frozen_features(spark, d)
     return prepare.availability(f.where("window_year = 2000"), f.where("window_year < 2000"))
 
 

@@ -13,6 +13,7 @@ from tideline.plans import bindings as b
 from tideline.plans.bindings import ALL_OBS, ENTITIES, WIN, with_ctes
 from tideline.plans.evidence import CAL
 from tideline.plans.registry import query
+from tideline.session import durable
 
 
 def journal(spark, d):
@@ -27,11 +28,12 @@ def journal(spark, d):
     counted = prefix.prefix_sums(rows, ["all"], bucket, order, {"attempts": F.when(F.col("kind") == "attempt", 1).otherwise(0).cast("bigint")})
     counted = prefix.prefix_sums(counted, ["entity_id"], bucket, order, {"rounds": F.when(F.col("kind") == "round", 1).otherwise(0).cast("bigint")})
     slip = F.when(F.col("pos") % 101 == 5, 1).otherwise(0)
-    return counted.select(
+    # The derived numbers are written once, as a real journal would hold them.
+    return durable(counted.select(
         "pos", "entity_id", "kind", "endpoint", "http_status",
         F.when(F.col("kind") == "attempt", F.col("attempts_before") + 1 + slip)
         .when(F.col("kind") == "result", F.greatest(F.lit(1), F.col("attempts_before") - F.col("pos") % 5)).cast("bigint").alias("sequence"),
-        F.when(F.col("kind") == "round", F.col("rounds_before") + 1 + slip).when(F.col("kind") == "attempt", F.col("rounds_before")).cast("bigint").alias("round"))
+        F.when(F.col("kind") == "round", F.col("rounds_before") + 1 + slip).when(F.col("kind") == "attempt", F.col("rounds_before")).cast("bigint").alias("round")))
 
 
 JOURNAL = """j0 AS (

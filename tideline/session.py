@@ -13,6 +13,8 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    # Recording a Python stack for every column costs seconds on wide plans.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
