@@ -37,6 +37,14 @@ def test_ranked_equals_row_number(spark):
     assert {r["i"]: r["rank"] for r in got} == want
 
 
+def test_null_keys_are_kept_as_a_group(spark):
+    df = spark.createDataFrame([(None, 3.0), (None, 1.0), ("a", 2.0)], "g string, v double")
+    got = prefix.ranked(df, ["g"], prefix.value_bucket(F.col("v")), [F.col("v")]).collect()
+    assert {(r["g"], r["v"]): r["rank"] for r in got} == {(None, 1.0): 1, (None, 3.0): 2, ("a", 2.0): 1}
+    assert {r["g"]: r["m"] for r in prefix.quantiles(df, ["g"], "v", {"m": .5}).collect()} == {None: 2.0, "a": 2.0}
+    assert {r["g"]: r["median"] for r in coverage.gap_stats(df, ["g"], "v").collect()} == {None: 2.0, "a": 2.0}
+
+
 def quantile(values, f):
     v = sorted(values)
     pos = (len(v) - 1) * f

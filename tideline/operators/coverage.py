@@ -15,13 +15,16 @@ GAPS = ("pre_gap_days", "post_gap_days", "surrounding_days")
 
 
 def gap_stats(rows: DataFrame, keys, value: str, digits: int = 6) -> DataFrame:
-    """n, missing, quantiles and mean of a nullable measure per (non-null) key."""
+    """n, missing, quantiles and mean of a nullable measure per key."""
     keys = list(keys)
     base = rows.groupBy(*keys).agg(
         F.count(value).alias("n"), F.count_if(F.col(value).isNull()).alias("missing"),
         F.round(F.avg(value), digits).alias("mean"))
     q = prefix.quantiles(rows, keys, value, GAP_FRACTIONS)
-    joined = base.join(q, keys, "left") if keys else base.join(q, how="left")
+    if keys:
+        joined = prefix.join_on(base, q, keys, "left")
+    else:
+        joined = base.withColumn("_q", q.select(F.struct(*GAP_FRACTIONS)).scalar()).select("*", "_q.*")
     return joined.select(*keys, "n", "missing", "mean",
                          *[F.round(c, digits).alias(c) for c in GAP_FRACTIONS])
 
@@ -79,7 +82,7 @@ def weighted_gap_stats(long: DataFrame, keys, digits: int = 6) -> DataFrame:
         F.sum(F.col("days") * F.col("w")).alias("_sum"))
     q = prefix.quantiles_of_counts(cells.where("days IS NOT NULL").select(
         *keys, F.col("days").alias("value"), F.col("w").alias("copies")), keys, GAP_FRACTIONS)
-    return base.join(q, keys, "left").select(
+    return prefix.join_on(base, q, keys, "left").select(
         *keys, "n", "missing", F.round(F.col("_sum") / F.when(F.col("n") > 0, F.col("n")), digits).alias("mean"),
         *[F.round(c, digits).alias(c) for c in GAP_FRACTIONS])
 
@@ -151,8 +154,8 @@ def sensitivity_table(context: DataFrame, years: list[int]) -> DataFrame:
 def consecutive_groups(observations: DataFrame) -> DataFrame:
     """Each entity's timestamp groups linked to the next one in time.
 
-    The next timestamp comes from a window over distinct timestamps cut into months: the last
-    group of a month looks up the first group of the next non-empty month.
+    The next timestamp comes from a window over distinct timestamps cut into days: the last
+    group of a day looks up the first group of the next non-empty day.
     """
     # Fixed-width codes keep both aggregates hash-based; they are only read for single-record groups.
     kind = F.when(F.col("kind") == "discount", 2).when(F.col("kind") == "full_price", 1).otherwise(3)
@@ -163,15 +166,14 @@ def consecutive_groups(observations: DataFrame) -> DataFrame:
         F.count("*").alias("n"), F.min("_kind").alias("kind"), F.min("price").alias("price"),
         F.min("_currency").alias("currency"), F.min("cut").alias("cut"),
         F.min("state_a").alias("a"), F.min("state_b").alias("b"))
-    month = F.date_trunc("month", F.col("ts")).cast("timestamp_ntz")
     cols = ["ts", "n", "kind", "price", "currency", "cut", "a", "b"]
-    tagged = groups.select("entity_id", month.alias("month"), *cols)
-    inner = W.partitionBy("entity_id", "month").orderBy("ts")
-    local = tagged.select("entity_id", "month", F.struct(*cols).alias("this"), F.lead(F.struct(*cols)).over(inner).alias("next_g"))
-    firsts = tagged.groupBy("entity_id", "month").agg(*[F.min_by(c, "ts").alias(c) for c in cols])
-    across = firsts.select("entity_id", "month", F.lead(F.struct(*cols)).over(
-        W.partitionBy("entity_id").orderBy("month")).alias("later_g"))
-    linked = local.join(across, ["entity_id", "month"])
+    tagged = groups.select("entity_id", F.col("ts").cast("date").alias("day"), *cols)
+    inner = W.partitionBy("entity_id", "day").orderBy("ts")
+    local = tagged.select("entity_id", "day", F.struct(*cols).alias("this"), F.lead(F.struct(*cols)).over(inner).alias("next_g"))
+    firsts = tagged.groupBy("entity_id", "day").agg(*[F.min_by(c, "ts").alias(c) for c in cols])
+    across = firsts.select("entity_id", "day", F.lead(F.struct(*cols)).over(
+        W.partitionBy("entity_id").orderBy("day")).alias("later_g"))
+    linked = local.join(across, ["entity_id", "day"])
     return linked.select("entity_id", "this", F.coalesce("next_g", "later_g").alias("next")).where(F.col("next").isNotNull())
 
 
@@ -248,11 +250,11 @@ def event_sequence(entities: DataFrame, observations: DataFrame, calendar) -> Da
         "entity_id", "window_year", F.lit(name).alias("event"), F.col(ts).alias("ts"),
         F.lit(0).alias("_late"), F.lit(-1).cast("bigint").alias("record_index"))
     known = entities.select("entity_id")
-    records = tag_records(observations, calendar).join(known, "entity_id", "left_semi").select(
+    records = tag_records(observations.join(known, "entity_id", "left_semi"), calendar).select(
         "entity_id", "window_year", F.col("side").alias("event"), "ts", F.lit(1).alias("_late"), "record_index")
     merged = records.unionByName(mark("window_start", "window_start")).unionByName(mark("window_end", "window_end"))
     return prefix.ranked(merged, ["entity_id", "window_year"],
-                         F.date_trunc("month", F.col("ts")).cast("timestamp_ntz"),
+                         F.unix_date(F.col("ts").cast("date")).cast("bigint"),
                          [F.col("ts"), F.col("_late"), F.col("record_index")], "position").drop("_late")
 
 

@@ -201,10 +201,10 @@ def boundary_insertion_differences(entities: DataFrame, observations: DataFrame,
 
 def lineage(entities: DataFrame, observations: DataFrame, calendar: Calendar) -> DataFrame:
     """Which records each feature row uses, long form: one row per pair and prior record."""
-    eligible = entities.select("entity_id", "release_date")
-    tagged = tag_records(observations.where(F.col("ts") < max(w.start for w in calendar.windows)),
-                         calendar).where(F.col("side") == "before")
-    rows = tagged.join(eligible, "entity_id").where(F.col("release_date") <= F.col("start_date"))
+    past = observations.where(F.col("ts") < _ntz(max(w.start for w in calendar.windows)))
+    known = past.join(entities.select("entity_id", "release_date"), "entity_id")
+    # Windows expand after the join, so each observation is shuffled once.
+    rows = tag_records(known, calendar).where((F.col("side") == "before") & (F.col("release_date") <= F.col("start_date")))
     valid = F.col("kind") != "ambiguous"
     return rows.select(
         "entity_id", "window_year", "record_index", "ts", "kind", valid.alias("used"),

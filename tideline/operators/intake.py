@@ -20,7 +20,10 @@ def journal_counts(events: DataFrame) -> DataFrame:
 
 
 def with_round(events: DataFrame) -> DataFrame:
-    """Add the retry round in force for the entity: rounds opened before this event."""
+    """Add the retry round in force for the entity: rounds opened before this event.
+
+    For attempts and rounds; results carry no entity of their own.
+    """
     opened = F.when(F.col("kind") == "round", 1).otherwise(0).cast("bigint")
     return prefix.prefix_sums(events, ["entity_id"], prefix.value_bucket(F.col("pos")), [F.col("pos")], {"rounds": opened}) \
         .withColumnRenamed("rounds_before", "current_round")
@@ -36,10 +39,10 @@ def journal_violations(events: DataFrame) -> DataFrame:
     attempts = events.where(kind == "attempt").withColumn("_all", F.lit(1))
     numbered = prefix.ranked(attempts, ["_all"], prefix.value_bucket(F.col("pos"), 512), [F.col("pos")], "expected")
     gap = numbered.agg(F.lit("attempt_sequence").alias("rule"), F.count_if(F.col("sequence") != F.col("expected")).alias("violations"))
-    rounds = with_round(events)
-    per_round = count_violations(rounds, {
+    per_round = count_violations(with_round(events.where(kind.isin("attempt", "round"))), {
         "round_sequence": (kind == "round") & (F.col("round") != F.col("current_round") + 1),
-        "attempt_round": (kind == "attempt") & (F.col("round") != F.col("current_round")),
+        "attempt_round": (kind == "attempt") & (F.col("round") != F.col("current_round"))})
+    status = count_violations(events, {
         "http_status": (kind == "result") & F.col("http_status").isNotNull() & ~F.col("http_status").between(100, 599)})
     results = events.where(kind == "result").groupBy("sequence").agg(F.count("*").alias("_n"), F.min("pos").alias("_first"))
     made = events.where(kind == "attempt").groupBy("sequence").agg(F.min("pos").alias("_made"))
@@ -49,7 +52,7 @@ def journal_violations(events: DataFrame) -> DataFrame:
         F.struct(F.lit("result_without_earlier_attempt").alias("rule"),
                  F.count_if(F.col("_made").isNull() | (F.col("_made") > F.col("_first"))).alias("violations"))).alias("a")) \
         .select(F.inline("a"))
-    return gap.unionByName(per_round).unionByName(outcome)
+    return gap.unionByName(per_round).unionByName(status).unionByName(outcome)
 
 
 def attempt_usage(events: DataFrame, per_key: int = 3, budget: int | None = None) -> DataFrame:

@@ -74,7 +74,7 @@ def curve_points(predictions: DataFrame, keys: Sequence[str], digits: int = 9) -
     """ROC and precision-recall points at every distinct threshold."""
     counts = score_counts(predictions, keys)
     totals = counts.groupBy(*keys).agg(F.sum("pos").alias("_P"), F.sum("neg").alias("_N"))
-    rows = running(counts, keys).join(totals, list(keys))
+    rows = prefix.join_on(running(counts, keys), totals, list(keys))
     tp, fp = F.col("pos_before") + F.col("pos"), F.col("neg_before") + F.col("neg")
     return rows.select(*keys, F.col("p").alias("threshold"), tp.alias("tp"), fp.alias("fp"),
                        F.round(_ratio(tp, F.col("_P")), digits).alias("tpr"), F.round(_ratio(fp, F.col("_N")), digits).alias("fpr"),
@@ -106,7 +106,7 @@ def calibration(predictions: DataFrame, keys: Sequence[str], edges: Sequence[flo
         return per_bin.select(*keys, "bin", edge["lower"].alias("lower"), edge["upper"].alias("upper"),
                               "observations", "mean_probability", "positive_fraction")
     grid = predictions.select(*keys).distinct().select("*", F.inline(names))
-    return grid.join(per_bin, [*keys, "bin"], "left").select(
+    return prefix.join_on(grid, per_bin, [*keys, "bin"], "left").select(
         *keys, "bin", "lower", "upper", F.coalesce("observations", F.lit(0)).alias("observations"),
         "mean_probability", "positive_fraction")
 
@@ -161,7 +161,7 @@ def score_summary(rows: DataFrame, keys: Sequence[str], value: str, digits: int
     base = rows.groupBy(*keys).agg(F.round(F.avg(value), digits).alias(f"{name}_mean"),
                                    F.round(F.stddev_pop(value), digits).alias(f"{name}_std"))
     q = prefix.quantiles(rows, keys, value, {"min": 0.0, "p05": .05, "q25": .25, "median": .5, "q75": .75, "p95": .95, "max": 1.0})
-    return base.join(q, list(keys)).select(*keys, f"{name}_mean", f"{name}_std", *[
+    return prefix.join_on(base, q, list(keys)).select(*keys, f"{name}_mean", f"{name}_std", *[
         F.round(k, digits).alias(f"{name}_{k}") for k in ("min", "p05", "q25", "median", "q75", "p95", "max")])
 
 

@@ -24,23 +24,29 @@ def value_bucket(value: Column, resolution: int = 64) -> Column:
     return F.when(v == 0, F.lit(0).cast("bigint")).when(v > 0, magnitude).otherwise(-magnitude)
 
 
+def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join that treats null keys as equal, by comparing the keys as one struct."""
+    rest = [c for c in right.columns if c not in keys]
+    a = left.withColumn("_key", F.struct(*keys))
+    b = right.select(F.struct(*keys).alias("_key"), *rest)
+    return a.join(b, "_key", how).drop("_key")
+
+
 def prefix_sums(df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[Column],
                 measures: Mapping[str, Column]) -> DataFrame:
     """Add ``<name>_before``: the sum of each measure over earlier rows of the key.
 
     ``bucket`` must be non-decreasing along ``order``; ``order`` must be total inside a bucket.
+    Key and bucket travel as one struct, so rows with null keys are kept as a group of their own.
     """
-    keys = list(keys)
-    rows = df.withColumn("_bucket", bucket)
-    totals = rows.groupBy(*keys, "_bucket").agg(
-        *[F.sum(m).alias(f"_t_{n}") for n, m in measures.items()])
-    earlier = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    offsets = totals.select(*keys, "_bucket", *[
+    rows = df.withColumn("_slot", F.struct(F.struct(*keys).alias("key"), bucket.alias("bucket")))
+    totals = rows.groupBy("_slot").agg(*[F.sum(m).alias(f"_t_{n}") for n, m in measures.items()])
+    earlier = W.partitionBy("_slot.key").orderBy("_slot.bucket").rowsBetween(W.unboundedPreceding, -1)
+    offsets = totals.select("_slot", *[
         F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_o_{n}") for n in measures])
-    local = W.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    joined = rows.join(offsets, [*keys, "_bucket"])
-    return joined.select(
-        *[joined[c] for c in df.columns],
+    local = W.partitionBy("_slot").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    return rows.join(offsets, "_slot").select(
+        *df.columns,
         *[(F.col(f"_o_{n}") + F.coalesce(F.sum(m).over(local), F.lit(0))).alias(f"{n}_before")
           for n, m in measures.items()])
 
@@ -67,7 +73,7 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str,
               fractions: Mapping[str, float]) -> DataFrame:
     """Exact linear-interpolation quantiles per key, one column per named fraction.
 
-    Key columns must not be null. Distinct values are pre-aggregated; only buckets that contain
+    Distinct values are pre-aggregated; only buckets that contain
     a wanted position are ranked.
     """
     src, ks = _constant_key(df, keys)
@@ -78,12 +84,12 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str,
 def quantiles_of_counts(counts: DataFrame, ks: Sequence[str],
                         fractions: Mapping[str, float]) -> DataFrame:
     """Quantiles of ``value`` rows that each stand for ``copies`` equal values."""
-    counts = counts.withColumn("_b", value_bucket(F.col("value")))
-    per_bucket = counts.groupBy(*ks, "_b").agg(F.sum("copies").alias("_c"))
-    running = W.partitionBy(*ks).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    counts = counts.withColumn("_slot", F.struct(F.struct(*ks).alias("key"), value_bucket(F.col("value")).alias("bucket")))
+    per_bucket = counts.groupBy("_slot").agg(F.sum("copies").alias("_c"))
+    key = W.partitionBy("_slot.key")
+    running = key.orderBy("_slot.bucket").rowsBetween(W.unboundedPreceding, -1)
     placed = per_bucket.select(
-        *ks, "_b", "_c", F.coalesce(F.sum("_c").over(running), F.lit(0)).alias("_before"),
-        F.sum("_c").over(W.partitionBy(*ks)).alias("_n"))
+        "_slot", "_c", F.coalesce(F.sum("_c").over(running), F.lit(0)).alias("_before"), F.sum("_c").over(key).alias("_n"))
     wanted = F.array(*[F.struct(F.lit(n).alias("_name"), F.lit(float(f)).alias("_f"))
                        for n, f in fractions.items()])
     spots = placed.select("*", F.inline(wanted))
@@ -92,11 +98,11 @@ def quantiles_of_counts(counts: DataFrame, ks: Sequence[str],
         .withColumn("_k1", F.least(F.col("_k0") + 1, F.col("_n") - 1))
     covers = lambda k: (F.col("_before") <= k) & (k < F.col("_before") + F.col("_c"))
     # At most two buckets per wanted fraction: the list below is bounded by the fractions.
-    spots = spots.where(covers(F.col("_k0")) | covers(F.col("_k1"))).groupBy(*ks, "_b").agg(
+    spots = spots.where(covers(F.col("_k0")) | covers(F.col("_k1"))).groupBy("_slot").agg(
         F.max("_before").alias("_before"),
         F.collect_list(F.struct("_name", "_k0", "_k1", "_w")).alias("_wanted"))
-    inside = W.partitionBy(*ks, "_b").orderBy("value").rowsBetween(W.unboundedPreceding, -1)
-    hits = counts.join(spots, [*ks, "_b"]).select(
+    inside = W.partitionBy("_slot").orderBy("value").rowsBetween(W.unboundedPreceding, -1)
+    hits = counts.join(spots, "_slot").select(
         *ks, "value", "copies", "_wanted",
         (F.col("_before") + F.coalesce(F.sum("copies").over(inside), F.lit(0))).alias("_at")) \
         .select(*ks, "value", "copies", "_at", F.inline("_wanted"))
@@ -125,14 +131,13 @@ def spearman(df: DataFrame, keys: Sequence[str], left: str, right: str) -> DataF
     rank_of = lambda col, name: average_ranks(
         pairs.groupBy(*ks, F.col(col).alias("value")).agg(F.sum("_c").alias("copies")), ks) \
         .select(*ks, F.col("value").alias(col), F.col("rank").alias(name))
-    both = pairs.join(rank_of("_x", "_rx"), [*ks, "_x"]).join(rank_of("_y", "_ry"), [*ks, "_y"])
+    both = join_on(join_on(pairs, rank_of("_x", "_rx"), [*ks, "_x"]), rank_of("_y", "_ry"), [*ks, "_y"])
     c, rx, ry = (F.col(n).cast("double") for n in ("_c", "_rx", "_ry"))
     sums = both.groupBy(*ks).agg(
         F.sum("_c").alias("n"), F.sum(c * rx * ry).alias("_xy"),
         F.sum(c * rx * rx).alias("_xx"), F.sum(c * ry * ry).alias("_yy"),
-        F.countDistinct("_x").alias("_dx"), F.countDistinct("_y").alias("_dy"))
+        ((F.min("_x") != F.max("_x")) & (F.min("_y") != F.max("_y"))).alias("_varied"))
     mean_square = F.col("n") * ((F.col("n") + 1) / F.lit(2.0)) * ((F.col("n") + 1) / F.lit(2.0))
     rho = (F.col("_xy") - mean_square) / F.sqrt((F.col("_xx") - mean_square) * (F.col("_yy") - mean_square))
-    varied = (F.col("_dx") > 1) & (F.col("_dy") > 1)
-    out = sums.select(*ks, "n", F.when(varied, rho).alias("rho"))
+    out = sums.select(*ks, "n", F.when(F.col("_varied"), rho).alias("rho"))
     return out if keys else out.drop("_all")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,19 +28,28 @@ def build_session(master: str | None = None, app: str = "tideline", **extra: str
     return builder.getOrCreate()
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the folder the cluster names.
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared folder: ``spark.checkpoint.dir``, read from the session.
 
-    ``spark.checkpoint.dir`` is read from the session. Only a local master without that
-    setting (tests) falls back to a fresh temporary folder.
+    Only a local master without that setting (tests) falls back to a fresh temporary folder.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if named is None:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-            named = tempfile.mkdtemp(prefix="tideline-checkpoint-")
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if named is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
+        named = tempfile.mkdtemp(prefix="tideline-")
         sc.setCheckpointDir(named)
-    return df.checkpoint(eager=True)
+    return named
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut lineage with a table written to the shared folder.
+
+    A lost executor re-reads the table instead of recomputing its history, and later readers
+    still get column pruning and compressed, splittable files.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/tideline-{uuid.uuid4().hex}"
+    df.write.mode("errorifexists").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
