@@ -107,6 +107,18 @@ def test_document_provenance(spark, tmp_path):
                    "lookup.json": ("incomplete", "lookup_error"), "body.json": ("invalid", "body_mismatch"), "status.json": ("invalid", "history_status")}
 
 
+def test_first_layer_wins_even_when_bad(spark, tmp_path):
+    a, b = tmp_path / "a", tmp_path / "b"
+    a.mkdir(), b.mkdir()
+    write(a / "1.json", '{"entity_id": 1, "entity_id": 1}')
+    write(b / "1.json", document(1, [record()]))
+    write(b / "2.json", document(2, [record()]))
+    layer = lambda p: history.document_status(history.parse_documents(history.read_documents(spark, str(p))), **CONFIG)
+    ents = spark.createDataFrame([(1,), (2,), (3,)], "entity_id bigint")
+    got = {r["entity_id"]: (r["status"], r["layer"]) for r in history.resolve(ents, [layer(a), layer(b)]).collect()}
+    assert got == {1: ("invalid", 0), 2: ("valid", 1), 3: ("absent", None)}
+
+
 def test_records_keep_index_and_deal_status(spark, tmp_path):
     no_deal = record(); del no_deal["deal"]
     rows = [record(), record(deal=None), no_deal, record(deal={}), record(deal="x"), record(ts="2023-11-22T00:00:00"), record(ts="2023-11-22T01:00:00+01:00")]

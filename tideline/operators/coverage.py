@@ -219,6 +219,24 @@ def shared_state_links(observations: DataFrame, links: DataFrame) -> DataFrame:
     return shared.select("entity_id", "ts").distinct().agg(F.count("*").alias("sharing_pairs"))
 
 
+def history_totals(observations: DataFrame, requested_since: Column) -> DataFrame:
+    """Totals over all histories: kinds, zero prices, records at the request boundary, tied groups."""
+    marked = observations.withColumn("_zero", F.coalesce((F.col("price") == 0) & (F.col("regular") == 0), F.lit(False)))
+    rows = obs_ops.with_state(marked).groupBy("entity_id", "ts").agg(
+        F.count("*").alias("n"), F.count_if(F.col("deal_status") == "null").alias("null_deals"),
+        *[F.count_if(F.col("kind") == k).alias(k) for k in rules.KINDS], F.count_if("_zero").alias("zero_prices"),
+        ((F.min("state_a") != F.max("state_a")) | (F.min("state_b") != F.max("state_b"))).alias("conflict"))
+    per_entity = rows.groupBy("entity_id").agg(
+        *[F.sum(c).alias(c) for c in ("n", "null_deals", *rules.KINDS, "zero_prices")],
+        F.coalesce(F.sum(F.when(F.col("ts") == requested_since, F.col("n"))), F.lit(0)).alias("boundary"),
+        F.count_if(F.col("n") > 1).alias("duplicate_groups"), F.count_if("conflict").alias("conflict_groups"))
+    total = lambda c, name: F.coalesce(F.sum(c), F.lit(0)).alias(name)
+    return per_entity.agg(
+        F.count("*").alias("entities"), total("n", "records"), total("null_deals", "null_deals"), total("ambiguous", "ambiguous"),
+        total("full_price", "full_prices"), total("discount", "discounts"), total("zero_prices", "zero_prices"),
+        total("boundary", "at_request_boundary"), total("duplicate_groups", "duplicate_groups"), total("conflict_groups", "conflict_groups"))
+
+
 def newest_first(observations: DataFrame) -> DataFrame:
     """Per entity: are records stored newest first (time never rises along the index)?
 

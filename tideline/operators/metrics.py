@@ -129,6 +129,18 @@ def by_segments(predictions: DataFrame, families: Mapping[str, Column]) -> DataF
         .where(F.col("segment").isNotNull())
 
 
+def feature_families(missing_features: Column) -> dict[str, Column]:
+    """The four subgroup families of a feature row: history, discounts, missingness, density."""
+    from tideline.functions import rules
+
+    flag = lambda c, no, yes: F.when(c, yes).otherwise(no)
+    return {
+        "prior_price_history": flag(F.col("has_prior_price_history") == 1, "none", "present"),
+        "prior_discount_history": flag(F.col("has_prior_discount_observation") == 1, "none", "present"),
+        "feature_missingness": flag(missing_features > 0, "complete", "any_missing"),
+        "price_observation_density": rules.coverage_group(F.col("prior_price_record_count"))}
+
+
 def choose_model(metrics: DataFrame, order: Sequence[str]) -> DataFrame:
     """Ranking by average precision, then lower Brier score, then the fixed order."""
     place = F.coalesce(*[F.when(F.col("model") == m, i) for i, m in enumerate(order)])

@@ -159,6 +159,16 @@ def shared_state_groups(spark, d):
     return coverage.shared_state_links(obs, coverage.consecutive_groups(obs))
 
 
+@query("history_totals", "W8", with_ctes(OBS, body="""
+, g AS (SELECT entity_id, ts, count(*) AS n, count(DISTINCT sig) AS states FROM obs GROUP BY 1, 2)
+SELECT (SELECT count(DISTINCT entity_id) FROM obs) AS entities, count(*) AS records, count(*) FILTER (WHERE deal_status = 'null') AS null_deals,
+  count(*) FILTER (WHERE kind = 'ambiguous') AS ambiguous, count(*) FILTER (WHERE kind = 'full_price') AS full_prices, count(*) FILTER (WHERE kind = 'discount') AS discounts,
+  count(*) FILTER (WHERE price = 0 AND regular = 0) AS zero_prices, count(*) FILTER (WHERE ts = TIMESTAMP '1995-06-01') AS at_request_boundary,
+  (SELECT count(*) FILTER (WHERE n > 1) FROM g) AS duplicate_groups, (SELECT count(*) FILTER (WHERE states > 1) FROM g) AS conflict_groups FROM obs""").replace("\n, g AS", ", g AS"))
+def history_totals(spark, d):
+    return coverage.history_totals(b.observations(spark, d), F.lit("1995-06-01").cast("timestamp_ntz"))
+
+
 @query("newest_first_check", "W9", with_ctes(OBS, body="""
 SELECT entity_id, CAST(sum(1) AS BIGINT) AS records, bool_and(ok) AS newest_first FROM (
   SELECT entity_id, coalesce(lag(ts) OVER (PARTITION BY entity_id ORDER BY record_index) >= ts, true) AS ok FROM obs)

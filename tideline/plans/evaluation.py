@@ -357,15 +357,15 @@ def average_ranks(spark, d):
 
 
 @query("prediction_contract", "P21", with_ctes(SCORES, body="""
-, broken AS (SELECT *, CASE WHEN entity_id % 40 = 3 THEN 1 - predicted ELSE predicted END AS pc FROM scores WHERE entity_id % 45 <> 7)
+, broken AS (SELECT *, CASE WHEN entity_id % 40 = 3 THEN 1 - predicted ELSE predicted END AS pc FROM scores WHERE NOT (lang = 'en' AND toxic = 1))
 SELECT 'duplicate_key' AS rule, CAST(0 AS BIGINT) AS violations UNION ALL SELECT 'probability_range', count(*) FILTER (WHERE p < 0 OR p > 1) FROM broken
 UNION ALL SELECT 'threshold_disagreement', count(*) FILTER (WHERE pc <> CASE WHEN p >= 0.5 THEN 1 ELSE 0 END) FROM broken
-UNION ALL SELECT 'missing_prediction', count(*) FILTER (WHERE entity_id % 45 = 7) FROM scores
+UNION ALL SELECT 'missing_prediction', count(*) FILTER (WHERE lang = 'en' AND toxic = 1) FROM scores
 UNION ALL SELECT 'unexpected_key', 0 UNION ALL SELECT 'label_mismatch', 0""").replace("\n, broken", ", broken"))
 def prediction_contract(spark, d):
     rows = b.scores(spark, d)
     k = F.col("entity_id")
-    broken = rows.where(k % 45 != 7).withColumn("predicted", F.when(k % 40 == 3, 1 - F.col("predicted")).otherwise(F.col("predicted")))
+    broken = rows.where("NOT (lang = 'en' AND toxic = 1)").withColumn("predicted", F.when(k % 40 == 3, 1 - F.col("predicted")).otherwise(F.col("predicted")))
     expected = b.table(spark, d, "labels").join(b.table(spark, d, "documents").select("doc_id"), "doc_id") \
         .select(F.col("doc_id").alias("entity_id"), F.col("quality").alias("actual"))
     return metrics.validate_predictions(broken, expected, ["entity_id"])
@@ -386,6 +386,16 @@ def score_summary(spark, d):
         .join(metrics.score_summary(rows, keys, "n_chars"), keys)
 
 
+@query("score_quantiles", "A23", with_ctes(SCORES, body="""
+SELECT model, round(quantile_cont(p, 0), 9) AS q00, round(quantile_cont(p, 0.01), 9) AS q01, round(quantile_cont(p, 0.05), 9) AS q05,
+  round(quantile_cont(p, 0.25), 9) AS q25, round(quantile_cont(p, 0.5), 9) AS q50, round(quantile_cont(p, 0.75), 9) AS q75,
+  round(quantile_cont(p, 0.95), 9) AS q95, round(quantile_cont(p, 0.99), 9) AS q99, round(quantile_cont(p, 1), 9) AS q100 FROM scores GROUP BY 1"""))
+def score_quantiles(spark, d):
+    wanted = {f"q{f:02d}": f / 100 for f in (0, 1, 5, 25, 50, 75, 95, 99, 100)}
+    q = prefix.quantiles(b.scores(spark, d), ["model"], "p", wanted)
+    return q.select("model", *[F.round(c, 9).alias(c) for c in wanted])
+
+
 @query("score_histogram", "A20", with_ctes(SCORES, body="""
 SELECT b.bin, lower, upper, upper_closed, count(p) AS n FROM (
   SELECT CAST(range AS INTEGER) AS bin, range / 20e0 AS lower, (range + 1) / 20e0 AS upper, range = 19 AS upper_closed FROM range(0, 20)) b

@@ -174,9 +174,10 @@ def ledger(spark, d):
 
 
 def ledger_pairs(spark, d):
-    return b.table(spark, d, "events").where("user_id % 7 <> 1").select(F.col("user_id").alias("entity_id")).distinct() \
+    """Users with a large event, and overdrawn suppliers, for which nothing was recorded."""
+    return b.table(spark, d, "events").where("value > 60").select(F.col("user_id").alias("entity_id")).distinct() \
         .withColumn("window_year", F.lit(2024)).unionByName(
-            b.table(spark, d, "supplier").where("s_suppkey % 9 = 2").select((F.col("s_suppkey") + 1000000).alias("entity_id"), F.lit(2024).alias("window_year")))
+            b.table(spark, d, "supplier").where("s_acctbal < 0").select((F.col("s_suppkey") + 1000000).alias("entity_id"), F.lit(2024).alias("window_year")))
 
 
 LEDGER = """ledger AS (
@@ -187,7 +188,7 @@ LEDGER = """ledger AS (
     event_id % 5 <> 0 AS page_accessible, event_id % 4 <> 0 AND event_type = 'purchase' AS supports_discount, event_id % 16 = 7 AS supports_absence,
     event_id % 11 = 2 AS contradicts, CASE WHEN event_id % 16 = 7 THEN CASE WHEN event_id % 32 = 7 THEN TIMESTAMP '2024-01-25' ELSE TIMESTAMP '2024-01-15' END END AS coverage_end,
     CASE WHEN event_id % 20 = 13 THEN CASE WHEN event_id % 60 = 13 THEN event_id - 10 ELSE event_id - 3 END END AS reuse_of FROM events),
-lp AS (SELECT DISTINCT user_id AS entity_id FROM events WHERE user_id % 7 <> 1 UNION ALL SELECT s_suppkey + 1000000 FROM supplier WHERE s_suppkey % 9 = 2)"""
+lp AS (SELECT DISTINCT user_id AS entity_id FROM events WHERE value > 60 UNION ALL SELECT s_suppkey + 1000000 FROM supplier WHERE s_acctbal < 0)"""
 
 
 @query("ledger_validation", "P22", with_ctes(LEDGER, body="""

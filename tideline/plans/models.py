@@ -43,6 +43,16 @@ def held_out_metrics(spark, d):
     return metrics.evaluate(models.score(fitted, p[2000]), ["model"])
 
 
+@query("held_out_subgroups", "M18 W12")
+def held_out_subgroups(spark, d):
+    """Metrics of a fitted model by history, discount, missingness and density subgroups."""
+    p = parts(spark, d)
+    scored = models.score([models.fit("logistic_regression", p["final"])], p[2000])
+    rows = scored.join(p[2000].drop("discount_observed"), ["entity_id", "window_year"])
+    families = metrics.feature_families(F.size(prepare.missing_names()))
+    return metrics.evaluate(metrics.by_segments(rows, families), ["model", "family", "segment"])
+
+
 @query("coverage_only_ablation", "M21")
 def coverage_only_ablation(spark, d):
     p = parts(spark, d)

@@ -57,6 +57,19 @@ def document_status(docs: DataFrame, country: str, shop_id: int, since: str) ->
     return docs.withColumn("reason", reason).withColumn("status", status)
 
 
+def resolve(entities: DataFrame, layers: list[DataFrame]) -> DataFrame:
+    """Document per entity from the first layer that holds its id, even when that copy is bad.
+
+    Layers are checked document tables in order of precedence. The id comes from the file name,
+    so a document that does not parse still hides later layers. No copy anywhere: ``absent``.
+    """
+    from tideline.operators.reconcile import resolve_layers
+
+    name = F.regexp_extract("path", r"([0-9]+)\.json$", 1).try_cast("bigint")
+    chosen = resolve_layers([x.withColumn("entity_id", name).where(F.col("entity_id").isNotNull()) for x in layers], "entity_id")
+    return entities.select("entity_id").join(chosen, "entity_id", "left").withColumn("status", F.coalesce("status", F.lit("absent")))
+
+
 def records(docs: DataFrame) -> DataFrame:
     """One row per record of valid documents with its array index, ready for typing.
 
