@@ -129,6 +129,15 @@ def test_records_keep_index_and_deal_status(spark, tmp_path):
     assert got[5]["ts"] is None and got[6]["ts"] == datetime(2023, 11, 22)
 
 
+def test_parse_outcomes(spark, tmp_path):
+    rows = [record(), record(shop={"id": 35, "name": "o"}), record(shop={"id": "61"}), record(shop=None), record(ts="2023-11-22T00:00:00"),
+            record(ts="2023-11-22T00:00:00", shop={"id": 35, "name": "o"}), 5, "x"]
+    write(tmp_path / "a.json", document(1, rows))
+    docs = history.document_status(history.parse_documents(history.read_documents(spark, str(tmp_path))), **CONFIG)
+    got = {r["outcome"]: r["records"] for r in history.parse_outcomes(history.records(docs), 61).collect()}
+    assert got == {"kept": 1, "other_shop": 2, "invalid_shop_id": 2, "invalid_timestamp": 1, "record_not_object": 2}
+
+
 def test_streaming_intake_resumes_without_repeats(spark, tmp_path):
     src = tmp_path / "in"; src.mkdir()
     out, ck = str(tmp_path / "out"), str(tmp_path / "ck")

@@ -50,14 +50,16 @@ def _category_counts() -> list[Column]:
 def distribution(labels: DataFrame) -> DataFrame:
     """Totals overall and per year (null year = all)."""
     y = F.col("discount_observed")
-    return labels.rollup("window_year").agg(
-        F.count("*").alias("rows"), *_category_counts(),
+    counts = [F.count("*").alias("rows"), *_category_counts(),
         F.count_if(y == 1).alias("label_1"), F.count_if(y == 0).alias("label_0"),
         F.count_if(y.isNull()).alias("label_null"),
         F.count_if(F.col("pu_status") == "positive").alias("pu_positive"),
         F.count_if(F.col("pu_status") == "unlabeled").alias("pu_unlabeled"),
         F.count_if("requires_review").alias("review_required"),
-        F.count_if(F.col("eligibility_status") == "uncertain_release_hour").alias("release_hour_uncertain"))
+        F.count_if(F.col("eligibility_status") == "uncertain_release_hour").alias("release_hour_uncertain")]
+    per_year = labels.groupBy("window_year").agg(*counts)
+    # The grand total rolls up a handful of year rows instead of doubling every label row.
+    return per_year.rollup("window_year").agg(*[F.sum(c).alias(c) for c in per_year.columns if c != "window_year"])
 
 
 def yearly_quality(labels: DataFrame, usable_history: DataFrame) -> DataFrame:

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 MONEY = "struct<amount:double,amountInt:bigint,currency:string>"
-RECORD = f"struct<timestamp:string,shop:struct<id:int,name:string>,deal:struct<price:{MONEY},regular:{MONEY},cut:double>>"
+RECORD = f"timestamp string, shop struct<id:int,name:string>, deal struct<price:{MONEY},regular:{MONEY},cut:double>"
 DOCUMENT = (
     "entity_id bigint, provider_id string, "
     "request struct<country:string,shop_id:int,since:string>, "
     "lookup struct<found:boolean,id:string,status:string>, "
     "evidence struct<http_status:int,received_at:string,body:string,server_date:string>, "
-    f"history_status string, history array<{RECORD}>")
+    "history_status string, history array<string>")
 
 
 def read_documents(spark: SparkSession, path: str, *, one_per_line: bool = False) -> DataFrame:
@@ -28,9 +28,16 @@ def strict_json(text: Column) -> Column:
 
 
 def parse_documents(docs: DataFrame) -> DataFrame:
-    """Typed wrapper plus ``json_ok``; loosely typed JSON numbers never pass as records."""
-    return docs.select("path", "text", strict_json(F.col("text")).isNotNull().alias("json_ok"),
-                       F.from_json("text", DOCUMENT, {"mode": "PERMISSIVE"}).alias("doc"))
+    """Typed wrapper plus ``json_ok``. Records stay raw JSON, so one odd record spoils no other.
+
+    ``same_body`` compares the saved body with the stored records in canonical JSON (a variant
+    writes its keys in order).
+    """
+    whole = strict_json(F.col("text"))
+    parsed = docs.select("path", "text", whole.isNotNull().alias("json_ok"), F.from_json("text", DOCUMENT).alias("doc"),
+                         F.to_json(F.try_variant_get(whole, "$.history", "variant")).alias("_records"))
+    same = F.to_json(strict_json(F.col("doc.evidence.body"))) == F.col("_records")
+    return parsed.withColumn("same_body", F.coalesce(same, F.lit(False))).drop("_records")
 
 
 def document_status(docs: DataFrame, country: str, shop_id: int, since: str) -> DataFrame:
@@ -40,7 +47,6 @@ def document_status(docs: DataFrame, country: str, shop_id: int, since: str) ->
     """
     d = lambda f: F.col(f"doc.{f}")
     no = lambda cond: ~F.coalesce(cond, F.lit(False))
-    body = F.from_json(d("evidence.body"), f"array<{RECORD}>")
     expected = F.when(F.size(d("history")) > 0, "history_received").otherwise("empty_history")
     reason = (F.when(~F.col("json_ok"), "invalid_json")
               .when(no(d("entity_id").isNotNull()), "missing_entity")
@@ -50,7 +56,7 @@ def document_status(docs: DataFrame, country: str, shop_id: int, since: str) ->
               .when(no(d("lookup.status") == "matched") | no(d("lookup.found")) | no(d("lookup.id") == d("provider_id")), "lookup_mismatch")
               .when(~d("history_status").isin("history_received", "empty_history"), "history_incomplete")
               .when(no(d("evidence.http_status") == 200), "history_http_status")
-              .when(no(d("history").isNotNull() & (F.to_json(body) == F.to_json(d("history")))), "body_mismatch")
+              .when(no(d("history").isNotNull() & F.col("same_body")), "body_mismatch")
               .when(no(d("history_status") == expected), "history_status"))
     status = (F.when(reason.isNull(), "valid").when(reason.isin("lookup_error", "history_incomplete"), "incomplete")
               .otherwise("invalid"))
@@ -75,15 +81,28 @@ def records(docs: DataFrame) -> DataFrame:
 
     ``deal_status`` keeps a missing deal apart from an explicit null and from a non-object.
     """
-    raw = F.from_json("text", "history array<string>")["history"]
     rows = docs.where(F.col("status") == "valid").select(
-        F.col("doc.entity_id").alias("entity_id"), F.posexplode(F.arrays_zip(F.col("doc.history").alias("r"), raw.alias("j"))).alias("i", "z"))
-    deal_type = F.schema_of_variant(F.try_variant_get(F.try_parse_json(F.col("z.j")), "$.deal", "variant"))
-    status = (F.when(F.col("z.r.deal").isNotNull() & deal_type.startswith("OBJECT"), "object")
-              .when(deal_type.isNull(), "missing").when(deal_type == "VOID", "null").otherwise("invalid"))
-    return rows.select("entity_id", F.col("i").cast("bigint").alias("record_index"), F.col("z.r.timestamp").alias("timestamp"),
-                       F.col("z.r.shop").alias("shop"), F.col("z.r.deal").alias("deal"), status.alias("deal_status"),
-                       F.col("z.j").alias("raw_json"))
+        F.col("doc.entity_id").alias("entity_id"), F.posexplode("doc.history").alias("i", "raw_json"))
+    rows = rows.select("entity_id", F.col("i").cast("bigint").alias("record_index"), "raw_json",
+                       F.try_parse_json("raw_json").alias("v"), F.from_json("raw_json", RECORD).alias("r"))
+    deal = F.schema_of_variant(F.try_variant_get("v", "$.deal", "variant"))
+    status = (F.when(deal.isNull(), "missing").when(deal == "VOID", "null").when(deal.startswith("OBJECT"), "object")
+              .otherwise("invalid"))
+    return rows.select("entity_id", "record_index", F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False)).alias("record_ok"),
+                       F.col("r.timestamp").alias("timestamp"), F.col("r.shop").alias("shop"), F.col("r.deal").alias("deal"),
+                       status.alias("deal_status"), "raw_json")
+
+
+def parse_outcomes(rows: DataFrame, shop_id: int) -> DataFrame:
+    """Records of valid documents per outcome: kept, other shop, or why they cannot be used."""
+    from tideline.functions import rules
+    from tideline.operators.observations import record_problem
+
+    shop = F.col("shop.id")
+    problem = record_problem(F.col("record_ok"), shop, F.when(shop == shop_id, rules.utc_instant(F.col("timestamp")))
+                             .otherwise(F.lit("1970-01-01").cast("timestamp_ntz")))
+    outcome = F.when(problem.isNotNull(), problem).when(shop != shop_id, "other_shop").otherwise("kept")
+    return rows.groupBy(outcome.alias("outcome")).agg(F.count("*").alias("records"))
 
 
 def observations(spark: SparkSession, path: str, *, country: str, shop_id: int, since: str, one_per_line: bool = False) -> DataFrame:
