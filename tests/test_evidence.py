@@ -137,3 +137,18 @@ def test_naive_timestamps_are_rejected(spark):
     df = spark.createDataFrame([("2023-11-21T18:00:00",), ("2023-11-21 18:00:00Z",), ("2023-11-21T18:00:00Z",), ("2023-11-21T10:00:00-08:00",)], "v string")
     got = [r[0] for r in df.select(rules.utc_instant(F.col("v"))).collect()]
     assert got == [None, None, datetime(2023, 11, 21, 18), datetime(2023, 11, 21, 18)]
+
+
+def test_results_do_not_depend_on_the_session_zone(spark):
+    from tideline.functions import rules
+    text = spark.createDataFrame([("2024-11-03T08:30:00Z",), ("2024-11-03T09:30:00Z",), ("2024-03-10T02:30:00Z",)], "v string")
+    rows = obs(spark, [row(1, 0, "2024-03-10T02:30:00"), row(1, 1, "2024-12-10T02:30:00")])
+    run = lambda: ([r[0] for r in text.select(rules.utc_instant(F.col("v"))).collect()],
+                   [tuple(r) for r in evidence.pair_context(entities(spark, [(1, OLD)]), rows, CAL).select("pre_gap_days", "post_gap_days").orderBy("window_year").collect()])
+    want = run()
+    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    try:
+        assert run() == want
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert want[0][0] == datetime(2024, 11, 3, 8, 30)

@@ -58,24 +58,27 @@ def range_bounds(value: Column) -> tuple[Column, Column]:
 def utc_instant(value: Column) -> Column:
     """ISO text with an explicit zone to a UTC wall-clock timestamp; null otherwise."""
     zoned = value.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?(Z|[+-]\d{2}:\d{2})$")
-    local = F.when(zoned, value.try_cast("timestamp")).cast("timestamp_ntz")
-    return F.convert_timezone(F.current_timezone(), F.lit("UTC"), local)
+    return _utc_wall_clock(F.when(zoned, value.try_cast("timestamp")))
 
 
-def http_date(value: Column) -> Column:
-    """``Tue, 13 Oct 2026 15:36:29 GMT`` to a UTC wall-clock timestamp; null otherwise."""
-    pattern = r"^[A-Z][a-z]{2}, (\d{2} [A-Z][a-z]{2} \d{4} \d{2}:\d{2}:\d{2}) GMT$"
-    text = F.regexp_extract(value, pattern, 1)
-    return F.try_to_timestamp(text, F.lit("dd MMM yyyy HH:mm:ss")).cast("timestamp_ntz")
+def _utc_wall_clock(instant: Column) -> Column:
+    """Instant to zone-free UTC time, whatever the session zone is."""
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return F.timestamp_add("MICROSECOND", F.unix_micros(instant), epoch)
 
 
-def micros(ts: Column) -> Column:
-    """Microseconds of a zone-free timestamp, independent of the session zone."""
-    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts)
+def http_date(value: Column) -> Column:
+    """``Tue, 13 Oct 2026 15:36:29 GMT`` to a UTC wall-clock timestamp; null otherwise."""
+    pattern = r"^[A-Z][a-z]{2}, (\d{2} [A-Z][a-z]{2} \d{4} \d{2}:\d{2}:\d{2} GMT)$"
+    return _utc_wall_clock(F.try_to_timestamp(F.regexp_extract(value, pattern, 1), F.lit("dd MMM yyyy HH:mm:ss z")))
 
 
 def gap_days(earlier: Column, later: Column) -> Column:
-    return F.timestamp_diff("MICROSECOND", earlier, later) / F.lit(86400e6)
+    """Elapsed days, exact to the microsecond. Interval parts never pass through a time zone."""
+    span = later - earlier
+    part = lambda unit: F.extract(F.lit(unit), span)
+    whole = (part("DAY") * 86400 + part("HOUR") * 3600 + part("MINUTE") * 60).cast("bigint") * 1000000
+    return (whole + (part("SECOND") * 1000000).cast("bigint")) / F.lit(86400e6)
 
 
 # ---------------------------------------------------------------- observation typing

@@ -147,7 +147,7 @@ n AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, CASE WHEN o_cu
 SELECT o_orderkey, o.p AS old_position, n.p AS new_position FROM o JOIN n USING (o_orderkey) WHERE o.p <> n.p""")
 def moved_rows(spark, d):
     orders = b.table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate", F.lit(1).alias("all"))
-    day = F.timestamp_diff("DAY", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("o_orderdate"))
+    day = F.unix_date(F.col("o_orderdate").cast("date")).cast("bigint")
     key = F.when(F.col("o_custkey") % 50 == 1, -F.col("o_orderkey")).otherwise(F.col("o_orderkey"))
     old = prefix.ranked(orders, ["all"], day, [F.col("o_orderdate"), F.col("o_orderkey")], "p")
     new = prefix.ranked(orders, ["all"], day, [F.col("o_orderdate"), key], "p")
