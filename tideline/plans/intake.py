@@ -233,10 +233,9 @@ def string_functions(spark, d):
 
 @query("date_functions", "F3", """
 SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || 'Z' AS utc_text, CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS INTEGER) AS days,
-  CAST(year(ts) AS INTEGER) AS y, CAST(month(ts) AS INTEGER) AS m, CAST(quarter(ts) AS INTEGER) AS q, ts + INTERVAL 8 HOUR AS from_pacific FROM events""")
+  CAST(year(ts) AS INTEGER) AS y, CAST(month(ts) AS INTEGER) AS m, CAST(quarter(ts) AS INTEGER) AS q, ts + CASE WHEN ts >= TIMESTAMP '2024-03-10 03:00:00' AND ts < TIMESTAMP '2024-11-03 02:00:00' THEN INTERVAL 7 HOUR ELSE INTERVAL 8 HOUR END AS from_pacific FROM events""")
 def date_functions(spark, d):
     ts = F.col("ts")
-    # January and February timestamps: Pacific wall clock is eight hours behind UTC.
     return b.table(spark, d, "events").select(
         "event_id", F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("utc_text"), F.datediff(ts, F.lit(date(2024, 1, 1))).alias("days"),
         F.year(ts).alias("y"), F.month(ts).alias("m"), F.quarter(ts).alias("q"),
