@@ -127,7 +127,7 @@ def linked_pairs(sets: list[np.ndarray], percent: int, query: np.ndarray | None
     """
     size = np.array([len(s) for s in sets], np.int64)
     flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
-    _, token = np.unique(flat, return_inverse=True)
+    _, token = np.unique(flat, return_inverse=True)  # sorts
     left = np.arange(len(sets)) if query is None else np.flatnonzero(query)
     right = left if query is None else np.flatnonzero(~query)
     alive = np.ones(len(sets), bool)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tideline.llm import jaccard, repetition
+from tideline.llm import jaccard, planes, repetition
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -25,6 +25,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_file(name: str) -> str:
+    """Where the public vocabulary files are; every worker has them installed."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
 WORDS = r"regexp_extract_all(coalesce({}, ''), '[^\x20\x09-\x0D]+')"
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -47,3 +54,8 @@ select d.doc_id, coalesce(n.n, 0) as n_shingles, (select min(y) from r where r.x
 from documents d left join n using (doc_id)""")
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"), k=3, percent=90)
+
+
+@query()
+def op4_bit_plane_shuffling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return planes.encode_table(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))

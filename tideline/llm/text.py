@@ -139,7 +139,8 @@ def with_row(hashes: np.ndarray, row: np.ndarray) -> np.ndarray:
 def repeated(keys: np.ndarray) -> np.ndarray:
     """For each key, whether it occurs at least twice."""
     ordered = np.sort(keys)
-    twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+    twice = ordered[1:][ordered[1:] == ordered[:-1]]
+    twice = twice[np.append(True, twice[1:] != twice[:-1])] if len(twice) else twice
     if not len(twice):
         return np.zeros(len(keys), bool)
     top = np.zeros(1 << 16, bool)
