@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tideline.llm import jaccard, planes, repetition
+from tideline.llm import decontaminate, jaccard, planes, quality, repetition, sampling, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -59,3 +59,43 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op4_bit_plane_shuffling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planes.encode_table(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
+@query(rf"""
+with i as (select item_id, {WORDS.format(LOWER.format("text"))} as w,
+             len({WORDS.format("regexp_extract(rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '^((?s).*)' || chr(10) || '[^' || chr(10) || ']*$', 1)")}) as nq
+           from benchmark),
+longest as (select max(len(w)) as l from i where len(w) >= 5),
+ig as (select item_id, nq, p, array_to_string(w[p + 1:p + 5], ' ') as g from (select *, unnest(range(0, len(w) - 4)) as p from i where len(w) >= 5)),
+ip as (select item_id, g, bool_or(nq = 0 or p < nq) as q, bool_or(nq = 0 or p + 5 > nq) as a from ig group by 1, 2),
+n as (select item_id, count(*) as n_item, count(*) filter (where q) as n_q, count(*) filter (where a) as n_a from ip group by 1),
+d as (select doc_id, {WORDS.format(LOWER.format("text"))} as w from documents),
+dg as (select doc_id, p, array_to_string(w[p + 1:p + 5], ' ') as g from (select *, unnest(range(0, len(w) - 4)) as p from d where len(w) >= 5)),
+hit as (select doc_id, p, item_id, g, q, a from dg join ip using (g)),
+win as (select doc_id, item_id, g, q, a, p // l as win from hit, longest
+        union select doc_id, item_id, g, q, a, p // l - 1 from hit, longest where p // l > 0 and (p + 4) // l = p // l),
+c as (select doc_id, item_id, win, count(*) as n_shared, count(*) filter (where q) as s_q, count(*) filter (where a) as s_a from win group by 1, 2, 3),
+best as (select c.*, n_item, s_q / n_q as question_overlap, s_a / n_a as answer_overlap,
+           row_number() over (partition by doc_id, item_id order by n_shared desc, s_q / n_q desc, s_a / n_a desc) as k
+         from c join n using (item_id) where 100 * n_shared >= 80 * n_item and s_q > 0 and s_a > 0)
+select doc_id, item_id, n_item, n_shared from best where k = 1""")
+def op10_bm25_wand_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = decontaminate.contaminated_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return pairs.select("doc_id", "item_id", "n_item", "n_shared")
+
+
+def verdict(scores: DataFrame, folds: int, held_out: int, least: float) -> DataFrame:
+    return scores.select("doc_id", (sampling.fold("doc_id", folds) == held_out).alias("held_out"), "score",
+                         (F.col("score") >= least).cast("int").alias("predicted"))
+
+
+@query()
+def op3_levenshtein_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return verdict(toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"))), 4, 2, 0.3)
+
+
+@query()
+def op8_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return verdict(quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels"))), 3, 1, 0.5)
