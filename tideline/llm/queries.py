@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tideline.llm import decontaminate, jaccard, planes, quality, repetition, sampling, toxicity
+from tideline.llm import decontaminate, jaccard, pitman_yor, planes, quality, repetition, sampling, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -99,3 +99,8 @@ def op3_levenshtein_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return verdict(quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels"))), 3, 1, 0.5)
+
+
+@query()
+def op6_hierarchical_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.score(table(spark, sf_dir, "documents"))
