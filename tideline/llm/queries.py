@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tideline.llm import decontaminate, jaccard, pitman_yor, planes, quality, repetition, sampling, toxicity
+from tideline.llm import decontaminate, jaccard, mixing, pitman_yor, planes, quality, repetition, sampling, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -104,3 +104,25 @@ def op8_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op6_hierarchical_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pitman_yor.score(table(spark, sf_dir, "documents"))
+
+
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+
+
+@query()
+def op9_boosted_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+MIX = {"good": 0.88, "low": 0.03, "toxic": 0.09}
+
+
+def domains(labels: DataFrame) -> DataFrame:
+    """The labelled table as domains: low quality, or else toxic, or else good."""
+    return labels.select("doc_id", F.when(F.col("quality") == 0, "low").when(F.col("toxic") == 1, "toxic").when(
+        (F.col("quality") == 1) & (F.col("toxic") == 0), "good").alias("domain"))
+
+
+@query()
+def op1_soft_membership_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixing_rates(table(spark, sf_dir, "documents"), domains(table(spark, sf_dir, "labels")), MIX)
