@@ -272,3 +272,15 @@ def _with_leader(k: int):
                 yield pa.RecordBatch.from_arrays([part.column(0), leaders.slice(at, len(part)), part.column(1)], schema=schema)
                 at += len(part)
     return run
+
+
+def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one row per group of near duplicates, the one with the smallest doc_id; all columns kept.
+
+    Rows with a repeated doc_id count as copies; rows with a null doc_id or an empty set stay.
+    """
+    groups = jaccard_components(docs, k, percent)
+    stay = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_stay")).distinct()
+    named = docs.where("doc_id is not null")
+    kept = named.join(stay, F.col("doc_id") == F.col("_stay"), "left_semi").dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where("doc_id is null"))

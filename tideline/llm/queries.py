@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tideline.llm import decontaminate, jaccard, mixing, pitman_yor, planes, quality, repetition, sampling, toxicity, urls
+from tideline.llm import decontaminate, jaccard, mixing, pitman_yor, planes, quality, repetition, sampling, substrings, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -126,3 +126,8 @@ def domains(labels: DataFrame) -> DataFrame:
 @query()
 def op1_soft_membership_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixing_rates(table(spark, sf_dir, "documents"), domains(table(spark, sf_dir, "labels")), MIX)
+
+
+@query()
+def op7_bucket_pointer_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"))

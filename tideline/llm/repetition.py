@@ -117,3 +117,13 @@ def repetition_rules(docs: DataFrame) -> DataFrame:
     no shuffle; memory per task is bounded by a block of 2 MB or the longest text. Other columns of ``docs`` are not read.
     """
     return docs.select("doc_id", "text").mapInArrow(_run, COLUMNS)
+
+
+def drop_rejected(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, all columns as they are; one pass, no shuffle."""
+    def run(batches):
+        for batch in batches:
+            keep = [measure(block)["kept"] for block in T.blocks(batch)]
+            yield batch.filter(pa.array(np.concatenate(keep) if keep else np.zeros(0, bool)))
+
+    return docs.mapInArrow(run, docs.schema)
