@@ -185,8 +185,10 @@ def repeated_starts(docs: DataFrame) -> DataFrame:
     """(doc_id, first, last): runs of start positions whose ``LENGTH``-byte string also starts elsewhere. Runs may touch."""
     docs = docs.select("doc_id", "text")
     entries = durable(docs.mapInArrow(_entries, ENTRIES))
-    buckets = entries.groupBy("bucket").agg(F.count("*").alias("c"), (F.min("ident") != F.max("ident")).alias("mixed")).where("c > 1")
-    twins = durable(entries.join(buckets.select("bucket", "mixed"), "bucket"))
+    # Written first, so that both sides of the joins are plain shuffles: Spark can then split a hot bucket.
+    buckets = durable(entries.groupBy("bucket").agg(F.count("*").alias("c"), (F.min("ident") != F.max("ident")).alias("mixed")).where("c > 1")
+                      .select("bucket", "mixed"))
+    twins = durable(entries.join(buckets, "bucket"))
     classes = twins.where("mixed").groupBy("bucket", "ident").agg(F.count("*").alias("weight"), F.min(F.struct("doc_id", "place")).alias("at"))
     classes = durable(classes.select("bucket", "ident", "weight", "at.doc_id", "at.place"))
     first, more = place_column(F.col("place"))
@@ -198,8 +200,9 @@ def repeated_starts(docs: DataFrame) -> DataFrame:
     snippets = durable(docs.dropDuplicates(["doc_id"]).join(wanted.withColumnRenamed("doc_id", "_doc"), F.col("doc_id").eqNullSafe(F.col("_doc")))
                        .select("doc_id", "text", "wanted").mapInArrow(_snippets, SNIPPETS))
     runs = durable(snippets.mapInArrow(_runs, RUNS))
-    cores = runs.groupBy("core").agg(F.count("*").alias("c"), (F.min("ident") != F.max("ident")).alias("mixed")).where("c > 1")
-    paired = durable(runs.join(cores.select("core", "mixed"), "core"))
+    cores = durable(runs.groupBy("core").agg(F.count("*").alias("c"), (F.min("ident") != F.max("ident")).alias("mixed")).where("c > 1")
+                    .select("core", "mixed"))
+    paired = durable(runs.join(cores, "core"))
     same = paired.groupBy("core", "ident").agg(F.count("*").alias("c"), F.min(F.struct("rep", "k")).alias("at"), F.min("weight").alias("least"), F.max("mixed").alias("mixed"))
     same = durable(same.select("core", "ident", "c", "at.rep", "at.k", "mixed", ((F.col("c") == 1) & (F.col("least") == 1)).alias("open")))
     level1 = paired.where("weight = 1").join(same.where("c > 1").select("core", "ident"), ["core", "ident"]).select(
