@@ -213,7 +213,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     rep = known.join(classes.select(F.col("cls").alias("doc_id"), F.col("n").alias("_n"), F.col("hi").alias("_hi"), F.col("lo").alias("_lo")),
                      "doc_id").where("n = _n and hi = _hi and lo = _lo").select(F.col("doc_id").alias("cls"), F.explode("ranges").alias("x"))
     signatures = rep.select("cls", F.col("x.r").alias("r"), F.col("x.size").alias("size"), F.explode("x.sigs").alias("sig"))
-    count = signatures.groupBy("sig").agg(F.count("*").alias("cnt")).where("cnt > 1")
+    count = durable(signatures.groupBy("sig").agg(F.count("*").alias("cnt")).where("cnt > 1"))
     own = Window.partitionBy("cls", "size", "r")
     shared = (signatures.join(count, "sig").distinct()
               .withColumn("n_shared", F.count("*").over(own)).where("n_shared >= r")
@@ -221,8 +221,15 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     shared = durable(shared.select("cls", "sig", "r", (F.col("place") >= F.col("r")).alias("indexed")))
 
     first = shared.where("indexed").groupBy("sig").agg(F.min("cls").alias("leader"), F.count("*").alias("c")).where("c > 1")
+    # Of the leaders with which a class shares most signatures (or half as many), the first: near copies then agree on one.
     best = (shared.where("indexed").join(first.select("sig", "leader"), "sig").groupBy("cls", "leader").agg(F.count("*").alias("c"))
-            .groupBy("cls").agg(F.max_by("leader", F.struct(F.col("cls") != F.col("leader"), "c", -F.col("leader"))).alias("leader")))
+            .groupBy("cls").agg(F.collect_list(F.struct("leader", "c")).alias("l"), F.max(F.when(F.col("cls") != F.col("leader"), F.col("c"))).alias("most"))
+            .select("cls", F.coalesce(F.array_min(F.transform(F.filter("l", lambda x: x["c"] * 2 >= F.col("most")), lambda x: x["leader"])),
+                                      "cls").alias("leader")))
+    best = durable(best)
+    for _ in range(2):  # a leader that follows another takes its group along, so a family is few groups
+        upper = best.select(F.col("cls").alias("leader"), F.col("leader").alias("upper"))
+        best = best.join(upper, "leader").select("cls", F.col("upper").alias("leader"))
     tokens = durable(docs.join(best.select(F.col("cls").alias("doc_id"), "leader"), "doc_id")
                      .select("doc_id", "text", "leader").dropDuplicates(["doc_id"])
                      .mapInArrow(_with_leader(k), "cls long, leader long, tokens array<long>"))
