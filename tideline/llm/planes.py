@@ -7,6 +7,7 @@ ids, plane sizes in bytes, crc32 of the ids, and which documents the ids belong
 
 from __future__ import annotations
 
+import unicodedata
 import uuid
 import zlib
 from collections import deque
@@ -61,7 +62,7 @@ class WordEncoder:
     Pieces are found by a 64-bit hash and checked by a second one. The memory is cleared when it holds ``keep`` pieces.
     """
 
-    def __init__(self, path: str, keep: int = 400_000):
+    def __init__(self, path: str, keep: int = 300_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -79,25 +80,34 @@ class WordEncoder:
         self.at = np.zeros(1025, np.int64)
         self.pool = np.zeros(4096, np.uint32)
 
-    def fresh_ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    @staticmethod
+    def entries(piece: str) -> int:
+        """Number of the splitter's entries in Latin letters with or without closing commas and stops; 0: not of this form."""
+        stem = piece.rstrip(".,")
+        if not stem or not stem.isalpha() or not (stem.isascii() or (
+                max(stem) < "\u0250" and unicodedata.is_normalized("NFC", stem) and stem.lower().isalpha())):
+            return 0
+        return 1 + (len(stem) < len(piece))
+
+    def fresh_ids(self, pieces: list[str], entries: list[int]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of each piece, one after the other, and their numbers."""
-        if all(p.isascii() and p.isalpha() for p in pieces):  # one entry each, whose last id closes a word
+        if entries[0]:  # encoded as one text; the last id of every entry closes a word
             flat = np.array(self.tokenizer.encode(" ".join(pieces), add_special_tokens=False).ids, np.uint32)
             ends = np.flatnonzero(self.closes[flat])
-            if len(ends) == len(pieces):
-                return flat, np.diff(ends, prepend=-1)
+            if len(ends) == sum(entries):
+                return flat, np.diff(ends[np.cumsum(entries) - 1], prepend=-1)
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
         size = np.fromiter(map(len, ids), np.int64, len(ids))
         return np.fromiter((x for one in ids for x in one), np.uint32, int(size.sum())), size
 
     def learn(self, keys: list[int], check: np.ndarray, pieces: list[str]) -> None:
         n = len(self.known)
-        simple = [p.isascii() and p.isalpha() for p in pieces]
-        order = sorted(range(len(pieces)), key=simple.__getitem__)
-        keys, check, pieces = [keys[i] for i in order], check[order], [pieces[i] for i in order]
-        split = len(pieces) - sum(simple)
+        entries = [self.entries(p) for p in pieces]
+        order = sorted(range(len(pieces)), key=lambda i: entries[i] > 0)
+        keys, check, pieces, entries = [keys[i] for i in order], check[order], [pieces[i] for i in order], [entries[i] for i in order]
+        split = entries.count(0)
         for i, j in [(i, min(i + 10_000, top)) for low, top in ((0, split), (split, len(pieces))) for i in range(low, top, 10_000)]:
-            flat, size = self.fresh_ids(pieces[i:j])
+            flat, size = self.fresh_ids(pieces[i:j], entries[i:j])
             m = j - i
             if n + m + 1 > len(self.at):
                 self.check = np.resize(self.check, 2 * (n + m))
@@ -205,7 +215,7 @@ def _writer(make: Callable[[], Callable[[T.Block], tuple[np.ndarray, np.ndarray]
 
         for batch in batches:
             names = batch.column(batch.schema.get_field_index("doc_id")).to_pylist()
-            for block in T.blocks(batch):
+            for block in T.blocks(batch, limit=T.BLOCK_BYTES // 2):
                 ids, bounds = encode(block)
                 for i, (lo, hi) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
                     held.append((names[block.lo + i], np.append(ids[lo:hi], np.uint32(end_id)), 0))

@@ -16,7 +16,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 20
 SEPARATORS = b"\x20\x09\x0a\x0b\x0c\x0d"
 
 _U = np.uint64
