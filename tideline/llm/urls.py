@@ -43,7 +43,8 @@ def lexical(pages: DataFrame) -> DataFrame:
     """Adds the lexical features (all but the suffix rates), and the host's last label and last two labels."""
     url = F.coalesce("url", F.lit(""))
     size = F.length(url)
-    share = lambda c: (size - F.length(F.replace(url, c, F.lit("")))) / size
+    some = F.greatest(size, F.lit(1))
+    share = lambda c: (size - F.length(F.replace(url, c, F.lit("")))) / some
     # Distinct characters are few, so the fold is short even for very long urls.
     letters = F.array_distinct(F.split(url, ""))
     query = F.regexp_extract(url, r"(?s)^[^?#]*\?([^#]*)", 1)
@@ -52,7 +53,7 @@ def lexical(pages: DataFrame) -> DataFrame:
         F.size(F.split("host", r"\.")).cast("double").alias("host_depth"),
         (F.length("path") - F.length(F.replace("path", F.lit("/"), F.lit("")))).cast("double").alias("path_depth"),
         F.length("path").cast("double").alias("path_length"),
-        F.coalesce(F.length(F.regexp_replace(url, "[^0-9]", "")) / size, F.lit(0.0)).alias("digit_ratio"),
+        (F.length(F.regexp_replace(url, "[^0-9]", "")) / some).alias("digit_ratio"),
         F.aggregate(F.filter(letters, lambda c: c != ""), F.lit(0.0), lambda a, c: a - share(c) * F.log2(share(c))).alias("entropy"),
         F.when(query == "", 0.0).otherwise(F.size(F.split(query, "&")).cast("double")).alias("parameters"),
         F.length(query).cast("double").alias("query_length"), url.contains("#").cast("double").alias("fragment"),
