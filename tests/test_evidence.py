@@ -152,3 +152,24 @@ def test_results_do_not_depend_on_the_session_zone(spark):
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     assert want[0][0] == datetime(2024, 11, 3, 8, 30)
+
+
+def test_checked_join_checks_even_when_no_right_column_is_used(spark):
+    from pyspark.errors import PySparkException
+
+    from tideline.operators import reconcile
+
+    many = spark.createDataFrame([(1,), (2,)], "k int")
+    twice = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "k int, v string")
+    with pytest.raises(PySparkException, match="repeats a key"):
+        reconcile.checked_join(many, twice, ["k"]).select("k").count()
+    assert reconcile.checked_join(many, twice.where("v <> 'b'"), ["k"]).count() == 2
+
+
+def test_value_bucket_orders_infinities(spark):
+    from tideline.operators import prefix
+
+    values = [float("-inf"), -1e300, -1.0, 0.0, 1e-300, 1.0, 1e12, 1e300, float("inf"), float("nan")]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
+    got = [r[0] for r in rows.orderBy("i").select(prefix.value_bucket(F.col("v"), 512)).collect()]
+    assert got == sorted(got) and len(set(got)) == len(got)

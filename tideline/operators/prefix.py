@@ -14,14 +14,15 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 
 def value_bucket(value: Column, resolution: int = 64) -> Column:
-    """Monotone coarse bucket of a finite number: about 1 % wide at resolution 64.
+    """Monotone coarse bucket of a number: about 1 % wide at resolution 64; infinities and NaN have outer buckets.
 
     Uses the logarithm of the magnitude, which is semi-monotonic by specification, so
     ``a <= b`` implies ``value_bucket(a) <= value_bucket(b)``.
     """
     v = value.cast("double")
     magnitude = F.floor(F.log2(F.abs(v)) * resolution).cast("bigint") + 1100 * resolution
-    return F.when(v == 0, F.lit(0).cast("bigint")).when(v > 0, magnitude).otherwise(-magnitude)
+    outer = F.lit(1 << 40)
+    return F.when(F.isnan(v), outer + 1).when(v == float("inf"), outer).when(v == float("-inf"), -outer).when(v == 0, F.lit(0).cast("bigint")).when(v > 0, magnitude).otherwise(-magnitude)
 
 
 def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:

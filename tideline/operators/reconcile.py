@@ -22,12 +22,19 @@ def key_reconciliation(left: DataFrame, right: DataFrame, keys: Sequence[str]) -
 
 
 def checked_join(many: DataFrame, one: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Join that fails the job when the right side repeats a key."""
+    """Join that fails the job when the right side repeats a key.
+
+    The check is a row filter below the join, so it runs whichever columns are selected above. Keys are reduced to their
+    count first; a null key matches nothing and may repeat.
+    """
     keys = list(keys)
     rest = [c for c in one.columns if c not in keys]
-    unique = one.groupBy(*keys).agg(F.count("*").alias("_n"), *[F.first(c).alias(c) for c in rest])
-    guarded = unique.select(*keys, *[F.when(F.col("_n") == 1, F.col(c)).otherwise(
-        F.raise_error(F.lit("right side repeats a key")).cast(one.schema[c].dataType)).alias(c) for c in rest])
+    named = F.lit(True)
+    for k in keys:
+        named = named & F.col(k).isNotNull()
+    unique = one.where(named).groupBy(*keys).agg(F.count("*").alias("_n"), *[F.first(c).alias(c) for c in rest])
+    guarded = unique.where(F.when(F.col("_n") == 1, True).otherwise(
+        F.raise_error(F.lit("right side repeats a key")).cast("boolean"))).select(*keys, *rest)
     return many.join(guarded, keys, how)
 
 

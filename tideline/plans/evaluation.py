@@ -213,10 +213,13 @@ def coverage_group_rates(spark, d):
 
 @query("record_count_histogram", "A20", with_ctes(*FEATURE_CTES, body="""
 SELECT b.bin, lower, upper, upper_closed, count(f.entity_id) AS n FROM (
-  SELECT CAST(range AS INTEGER) AS bin, range * 10e0 AS lower, range * 10e0 + 10 AS upper, range = 9 AS upper_closed FROM range(0, 10)) b
+  SELECT CAST(range AS INTEGER) AS bin, range * top / 10e0 AS lower, (range + 1) * top / 10e0 AS upper, range = 9 AS upper_closed
+  FROM range(0, 10), (SELECT CAST(greatest(coalesce(max(prior_price_record_count), 1), 1) AS DOUBLE) AS top FROM feat)) b
 LEFT JOIN feat f ON prior_price_record_count >= lower AND (prior_price_record_count < upper OR (upper_closed AND prior_price_record_count <= upper)) GROUP BY 1, 2, 3, 4"""))
 def record_count_histogram(spark, d):
-    return catalog.histogram(features_of(spark, d), "prior_price_record_count", [10.0 * i for i in range(11)])
+    rows = features_of(spark, d)
+    top = float(max(rows.agg(F.max("prior_price_record_count")).first()[0] or 1, 1))
+    return catalog.histogram(rows, "prior_price_record_count", [i * top / 10.0 for i in range(11)])
 
 
 # ------------------------------------------------------------------ metrics over scored rows

@@ -177,7 +177,8 @@ def equivalence_except_name(spark, d):
 @query("table_fingerprint", "U5")
 def table_fingerprint(spark, d):
     parts = [reconcile.fingerprint(b.table(spark, d, n)).select(F.lit(n).alias("table"), "*")
-             for n in ("lineitem", "orders", "part", "events", "documents")]
+             for n in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages",
+                       "benchmark", "labels", "conversations")]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
