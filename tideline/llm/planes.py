@@ -59,10 +59,11 @@ class WordEncoder:
 
     The vocabulary drops white space and never merges across it, so a text's ids are those of its words in order. A word of
     only ASCII letters, commas and full stops is lower-cased and cut between letters and marks, as its splitter does.
-    Pieces are found by a 64-bit hash and checked by a second one. The memory is cleared when it holds ``keep`` pieces.
+    Pieces are found by a 64-bit hash in a sorted array and checked by a second one. The memory, some 50 bytes a piece, is
+    cleared when it holds ``keep`` pieces.
     """
 
-    def __init__(self, path: str, keep: int = 300_000):
+    def __init__(self, path: str, keep: int = 1_500_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -75,11 +76,19 @@ class WordEncoder:
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[int, int] = {}
+        self.keys = np.zeros(0, np.uint64)  # ascending
+        self.number = np.zeros(0, np.int64)  # of the key's piece
         self.check = np.zeros(1024, np.uint64)
         self.at = np.zeros(1025, np.int64)
         self.pool = np.zeros(4096, np.uint32)
 
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Number of each key's piece; -1: not known."""
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.number[at], -1)
+
     @staticmethod
     def entries(piece: str) -> int:
         """Number of the splitter's entries in Latin letters with or without closing commas and stops; 0: not of this form."""
@@ -100,11 +109,12 @@ class WordEncoder:
         size = np.fromiter(map(len, ids), np.int64, len(ids))
         return np.fromiter((x for one in ids for x in one), np.uint32, int(size.sum())), size
 
-    def learn(self, keys: list[int], check: np.ndarray, pieces: list[str]) -> None:
-        n = len(self.known)
+    def learn(self, keys: np.ndarray, check: np.ndarray, pieces: list[str]) -> None:
+        """Add pieces; ``keys`` ascend and are new."""
+        n = known = len(self.keys)
         entries = [self.entries(p) for p in pieces]
         order = sorted(range(len(pieces)), key=lambda i: entries[i] > 0)
-        keys, check, pieces, entries = [keys[i] for i in order], check[order], [pieces[i] for i in order], [entries[i] for i in order]
+        check, pieces, entries = check[order], [pieces[i] for i in order], [entries[i] for i in order]
         split = entries.count(0)
         for i, j in [(i, min(i + 10_000, top)) for low, top in ((0, split), (split, len(pieces))) for i in range(low, top, 10_000)]:
             flat, size = self.fresh_ids(pieces[i:j], entries[i:j])
@@ -119,8 +129,11 @@ class WordEncoder:
             self.at[n] = top
             self.at[n + 1:n + m + 1] = top + np.cumsum(size)
             self.check[n:n + m] = check[i:i + m]
-            self.known.update(zip(keys[i:i + m], range(n, n + m), strict=True))
             n += m
+        number = np.empty(len(keys), np.int64)
+        number[order] = np.arange(known, n)
+        slot = np.searchsorted(self.keys, keys)
+        self.keys, self.number = np.insert(self.keys, slot, keys), np.insert(self.number, slot, number)
 
     def pieces(self, block: T.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start and end of every piece, and the bytes with plain words lower-cased."""
@@ -146,17 +159,18 @@ class WordEncoder:
             return np.zeros(0, np.uint32), np.zeros(rows + 1, np.int64)
         key, check = T.span_hash(T.BYTE_VALUE[data], start, end), T.span_hash(_CHECK[data], start, end)
         unique, first, inverse = np.unique(key, return_index=True, return_inverse=True)
-        number = unique.tolist()
-        fresh = [i for i, k in enumerate(number) if k not in self.known]
-        if len(self.known) + len(fresh) > self.keep:
+        number = self.find(unique)
+        fresh = np.flatnonzero(number < 0)
+        if len(self.keys) + len(fresh) > self.keep:
             self.clear()
-            fresh = list(range(len(number)))
-        if fresh:
+            fresh = np.arange(len(unique))
+        if len(fresh):
             where = first[fresh]
             raw = data.tobytes()
-            self.learn([number[i] for i in fresh], check[where],
+            self.learn(unique[fresh], check[where],
                        [raw[x:y].decode("utf-8", "replace") for x, y in zip(start[where].tolist(), end[where].tolist(), strict=True)])
-        index = np.fromiter(map(self.known.__getitem__, number), np.int64, len(number))[inverse]
+            number = self.find(unique)
+        index = number[inverse]
         size, begin = self.at[index + 1] - self.at[index], self.at[index]
         last = np.cumsum(size)
         take = np.arange(int(last[-1])) + np.repeat(begin - (last - size), size)
