@@ -44,7 +44,7 @@ def dense_grid(spark, columns: dict[str, list]) -> DataFrame:
 
 
 def grouped_gap_stats(context: DataFrame, years: list[int]) -> DataFrame:
-    """Gap statistics over several axes and per year, dense: every axis value has its rows."""
+    """Gap statistics of eligible pairs over several axes and per year, dense: every axis value has its rows."""
     spark = context.sparkSession
     axes = {"window_year": [str(y) for y in years], "category": list(rules.CATEGORIES),
             "pre_observed_state": list(rules.STATES), "post_observed_state": list(rules.STATES)}
@@ -62,7 +62,7 @@ def grouped_gap_stats(context: DataFrame, years: list[int]) -> DataFrame:
         *[entry(F.concat(year, F.lit(":" + a)), F.col(a))
           for a in ("category", "pre_observed_state", "post_observed_state")])
     # Aggregate equal (year, category, states, gaps) first: far fewer rows get expanded.
-    slim = context.groupBy("window_year", "category", "pre_observed_state", "post_observed_state",
+    slim = context.where("eligible").groupBy("window_year", "category", "pre_observed_state", "post_observed_state",
                            *GAPS).agg(F.count("*").alias("w"))
     long = melt_gaps(slim, "window_year", "category", "pre_observed_state", "post_observed_state", "w") \
         .select("metric", "days", "w", F.inline(members))
@@ -88,15 +88,16 @@ def weighted_gap_stats(long: DataFrame, keys, digits: int = 6) -> DataFrame:
 
 
 def state_crosstab(context: DataFrame, by: str, side: str) -> DataFrame:
+    """Eligible pairs by one column and the nearest state of one side."""
     state = F.col(f"{side}_observed_state")
-    return context.groupBy(by).agg(
+    return context.where("eligible").groupBy(by).agg(
         F.count("*").alias("pairs"),
         *[F.count_if(state == s).alias(s) for s in rules.STATES])
 
 
 def sensitivity_members(context: DataFrame) -> DataFrame:
     """Long-form membership: non-A pairs in every recency / year / category slice they satisfy."""
-    rows = context.where(F.col("category") != "A").select(
+    rows = context.where(F.col("eligible") & (F.col("category") != "A")).select(
         "entity_id", F.col("window_year"), F.col("category").alias("own_category"),
         "pre_observed_state", "post_observed_state", "pre_gap_days", "post_gap_days")
     return _slices(rows, F.lit(1))
@@ -122,7 +123,7 @@ def _post_name(state: str) -> str:
 def sensitivity_table(context: DataFrame, years: list[int]) -> DataFrame:
     """The dense limit x year x category x state table with post-state counts and gap statistics."""
     spark = context.sparkSession
-    slim = context.where(F.col("category") != "A").groupBy(
+    slim = context.where(F.col("eligible") & (F.col("category") != "A")).groupBy(
         "window_year", F.col("category").alias("own_category"), "pre_observed_state",
         "post_observed_state", "pre_gap_days", "post_gap_days").agg(F.count("*").alias("w"))
     rows = _slices(slim, F.col("w"))

@@ -57,20 +57,34 @@ def inside_counts(observations: DataFrame, calendar: Calendar) -> DataFrame:
         F.when(comparable, F.col("_max_regular")).alias("max_regular"))
 
 
+def history_status(entities: DataFrame) -> Column:
+    """Status of an entity's history: its column ``history_status`` (null: absent), or valid for all without one."""
+    if "history_status" in entities.columns:
+        return F.coalesce("history_status", F.lit("absent"))
+    return F.lit("valid")
+
+
 def direct_evidence(entities: DataFrame, observations: DataFrame, calendar: Calendar) -> DataFrame:
-    """Every entity and window with its evidence category; blank when not eligible."""
+    """Every entity and window with its evidence category; blank when not eligible or not known.
+
+    A history that is not ``valid`` shows nothing certain: no category, status ``unknown_history``, and no counts
+    either unless it is ``partial``. A valid history without records is D.
+    """
     counts = ["records", "discounts", "full_prices", "ambiguous", "null_deals"]
-    pairs = entity_windows(entities.select("entity_id", "release_date"), calendar)
+    pairs = entity_windows(entities.select("entity_id", "release_date", history_status(entities).alias("_history")), calendar)
     joined = pairs.join(inside_counts(observations, calendar), ["entity_id", "window_year"], "left")
-    shown = [F.when(F.col("eligible"), F.coalesce(c, F.lit(0))).alias(c) for c in counts]
+    known = F.col("eligible") & (F.col("_history") == "valid")
+    counted = F.col("eligible") & F.col("_history").isin("valid", "partial")
+    shown = [F.when(counted, F.coalesce(c, F.lit(0))).alias(c) for c in counts]
     rows = joined.select(
-        "entity_id", "window_year", "window_start", "window_end", "release_date",
-        "release_timing", "eligibility_status", "eligible", *shown,
-        *[F.when(F.col("eligible"), F.col(c)).alias(c) for c in
+        "entity_id", "window_year", "window_start", "window_end", "release_date", "release_timing",
+        F.when(F.col("eligible") & ~known, "unknown_history").otherwise(F.col("eligibility_status")).alias("eligibility_status"),
+        "eligible", known.alias("_known"), *shown,
+        *[F.when(counted, F.col(c)).alias(c) for c in
           ("first_ts", "last_ts", "max_cut", "currencies", "min_price", "max_regular",
            "on_start_date", "on_end_date")])
-    return rows.withColumn("category", F.when(F.col("eligible"), rules.evidence_category(
-        F.col("records"), F.col("discounts"), F.col("full_prices"))))
+    return rows.withColumn("category", F.when(F.col("_known"), rules.evidence_category(
+        F.col("records"), F.col("discounts"), F.col("full_prices")))).drop("_known")
 
 
 # ------------------------------------------------------------------ surrounding context
@@ -121,13 +135,16 @@ def entity_segments(entities: DataFrame, segments: DataFrame, calendar: Calendar
     happens before the per-window expansion, so it moves one short row set per entity.
     """
     markers = entities.select("entity_id", F.lit(-1).alias("segment"),
-                              F.lit(True).alias("known"), "release_date")
+                              F.lit(True).alias("known"), "release_date", history_status(entities).alias("history_status"))
     both = segments.unionByName(markers, allowMissingColumns=True).repartition("entity_id")
     return calendar.each_window(both, segments=True)
 
 
 def pair_context(entities: DataFrame, observations: DataFrame, calendar: Calendar) -> DataFrame:
-    """Per entity and window: counts on each side, nearest state before and after, gaps."""
+    """Per entity and window: counts on each side, nearest state before and after, gaps.
+
+    The category is blank when the window is not eligible or the history not valid, as in ``direct_evidence``.
+    """
     segments = segment_summary(observations, calendar)
     rows = entity_segments(entities, segments, calendar)
     seg, first, last = F.col("segment"), F.col("first_segment"), F.col("last_segment")
@@ -139,7 +156,7 @@ def pair_context(entities: DataFrame, observations: DataFrame, calendar: Calenda
     near = lambda s, f, c, t: f(F.when(on[s], F.col(c)), F.when(on[s], F.col(t)))
     keys = ["entity_id", "window_year", "start_date", "end_date", "window_start", "window_end"]
     wide = rows.groupBy(*keys).agg(
-        F.max("known").alias("known"), F.max("release_date").alias("release_date"),
+        F.max("known").alias("known"), F.max("release_date").alias("release_date"), F.max("history_status").alias("_history"),
         *[total(s, c) for s in SIDES for c in counts],
         F.max(F.when(on["before"], F.col("last_ts"))).alias("pre_ts"),
         F.min(F.when(on["after"], F.col("first_ts"))).alias("post_ts"),
@@ -154,13 +171,13 @@ def pair_context(entities: DataFrame, observations: DataFrame, calendar: Calenda
         "*", rules.release_timing(release, F.col("start_date"), F.col("end_date")).alias("release_timing"),
         rules.eligibility_status(release, F.col("start_date")).alias("eligibility_status"),
         (release <= F.col("start_date")).alias("eligible"),
-        rules.evidence_category(F.col("inside_n"), F.col("inside_n_discount"),
-                                F.col("inside_n_full")).alias("category"),
+        F.when((release <= F.col("start_date")) & (F.col("_history") == "valid"), rules.evidence_category(
+            F.col("inside_n"), F.col("inside_n_discount"), F.col("inside_n_full"))).alias("category"),
         state_name(F.col("pre_state")).alias("pre_observed_state"),
         state_name(F.col("post_state")).alias("post_observed_state"),
         rules.gap_days(F.col("pre_ts"), start).alias("pre_gap_days"),
         rules.gap_days(end, F.col("post_ts")).alias("post_gap_days"),
-        rules.gap_days(F.col("pre_ts"), F.col("post_ts")).alias("surrounding_days"))
+        rules.gap_days(F.col("pre_ts"), F.col("post_ts")).alias("surrounding_days")).drop("_history")
 
 
 def nearest_records(observations: DataFrame, context: DataFrame) -> DataFrame:
@@ -182,8 +199,8 @@ def nearest_records(observations: DataFrame, context: DataFrame) -> DataFrame:
 
 def interpretation_cues(observations: DataFrame, context: DataFrame,
                         history_conflicts: DataFrame) -> DataFrame:
-    """Ordered review reasons and overlapping pattern flags per entity and window."""
-    rows = context.join(history_conflicts, "entity_id", "left")
+    """Ordered review reasons and overlapping pattern flags per entity and eligible window."""
+    rows = context.where("eligible").join(history_conflicts, "entity_id", "left")
     one_differs = F.when(
         F.col("pre_conflict") & F.col("post_conflict"), F.lit(None).cast("boolean")) \
         .when(F.col("pre_conflict") | F.col("post_conflict"), F.lit(True)) \

@@ -12,7 +12,7 @@ def label_rows(evidence: DataFrame) -> DataFrame:
     cat = F.col("category")
     return evidence.select(
         "*", rules.label_value(cat).alias("discount_observed"),
-        F.when(F.col("eligible"), rules.pu_status(cat)).otherwise("unknown").alias("pu_status"),
+        F.coalesce(F.when(F.col("eligible"), rules.pu_status(cat)), F.lit("unknown")).alias("pu_status"),
         F.coalesce(cat == "C", F.lit(True)).alias("ambiguity_flag"),
         (F.coalesce(cat == "C", F.lit(True))
          | (F.col("eligibility_status") != "eligible_by_release_date")).alias("requires_review"))

@@ -113,21 +113,20 @@ def permutation_importance(fitted: Fitted, rows: DataFrame, label: str = "discou
     """Drop in ROC-AUC when one predictor is shuffled, over several repeats, as one job.
 
     The shuffle is a join: row number i receives the value of the row whose hash rank is i for
-    that predictor and repeat. Both ranks use hash buckets, so no task sorts a whole predictor.
+    that predictor and repeat. Both ranks use hash buckets, so no task sorts a whole predictor. Only
+    single values are shuffled; a row's features x repeats replacements meet it in one join.
     """
     base = fitted.inputs(rows).select("entity_id", "window_year", F.col(label).cast("int").alias("actual"), "x") \
         .withColumn("_all", F.lit(1)) \
         .withColumn("priority", F.sha2(F.concat_ws("|", F.lit(seed), "entity_id", "window_year"), 256))
     order = [F.col("priority"), F.col("entity_id"), F.col("window_year")]
     numbered = durable(prefix.ranked(base, ["_all"], sampling.hash_bucket(), order, "i").drop("_all", "priority"))
-    cells = numbered.select(
-        "i", "x", "actual", F.explode(F.sequence(F.lit(0), F.lit(len(fitted.features) - 1))).alias("f")) \
-        .select("*", F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("repeat"))
-    donors = cells.select("f", "repeat", "i", F.col("x")[F.col("f")].alias("value"),
-                          F.sha2(F.concat_ws("|", F.lit(seed), "f", "repeat", "i"), 256).alias("priority"))
-    shuffled = prefix.ranked(donors, ["f", "repeat"], sampling.hash_bucket(), [F.col("priority"), F.col("i")], "slot") \
-        .select("f", "repeat", F.col("slot").alias("i"), "value")
-    replaced = cells.join(shuffled, ["f", "repeat", "i"]).withColumn(
+    donors = numbered.select("i", F.posexplode("x").alias("f", "value")) \
+        .select("*", F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("repeat")) \
+        .withColumn("priority", F.sha2(F.concat_ws("|", F.lit(seed), "f", "repeat", "i"), 256))
+    shuffled = prefix.ranked(donors, ["f", "repeat"], sampling.hash_bucket(), [F.col("priority"), F.col("i")], "slot")
+    swaps = shuffled.groupBy(F.col("slot").alias("i")).agg(F.collect_list(F.struct("f", "repeat", "value")).alias("swaps"))
+    replaced = numbered.join(swaps, "i").select("actual", "x", F.inline("swaps")).withColumn(
         "x", F.transform("x", lambda v, k: F.when(k == F.col("f"), F.col("value")).otherwise(v)))
     auc = metrics.evaluate(fitted.predict_inputs(replaced), ["f", "repeat"]).select("f", "repeat", "roc_auc")
     full = metrics.evaluate(fitted.predict_inputs(numbered.withColumn("_all", F.lit(1))), ["_all"]).select("roc_auc").scalar()

@@ -35,6 +35,12 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
         release.alias("release_date"))
 
 
+def known_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities with the status of their history; some are planted as absent, invalid or partly parsed."""
+    status = F.expr("CASE entity_id % 40 WHEN 17 THEN 'invalid' WHEN 27 THEN 'partial' WHEN 7 THEN NULL ELSE 'valid' END")
+    return entities(spark, sf_dir).withColumn("history_status", status)
+
+
 def raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nested records as a history document holds them."""
     li = table(spark, sf_dir, "lineitem")
@@ -86,6 +92,9 @@ ENTITIES = """entities AS (
   SELECT p_partkey AS entity_id, p_name AS name, p_brand AS publisher, p_type AS genre,
          p_size AS activity, p_retailprice AS price,
          CAST(DATE '1993-01-01' + CAST((p_partkey * 37) % 2900 AS INTEGER) AS DATE) AS release_date
+  FROM part),
+history_of AS (
+  SELECT p_partkey AS entity_id, CASE p_partkey % 40 WHEN 7 THEN 'absent' WHEN 17 THEN 'invalid' WHEN 27 THEN 'partial' ELSE 'valid' END AS history_status
   FROM part)"""
 
 ALL_OBS = """flat_obs AS (
@@ -155,18 +164,20 @@ INSIDE = """inside AS (
   FROM tagged WHERE side = 'inside' GROUP BY 1, 2)"""
 
 EVIDENCE = """evidence AS (
-  SELECT p.*, CASE WHEN eligible THEN coalesce(records, 0) END AS records,
-    CASE WHEN eligible THEN coalesce(discounts, 0) END AS discounts,
-    CASE WHEN eligible THEN coalesce(full_prices, 0) END AS full_prices,
-    CASE WHEN eligible THEN coalesce(ambiguous, 0) END AS ambiguous,
-    CASE WHEN eligible THEN coalesce(null_deals, 0) END AS null_deals,
-    CASE WHEN eligible THEN CASE WHEN coalesce(records, 0) = 0 THEN 'D' WHEN discounts > 0 THEN 'A'
+  SELECT p.* REPLACE (CASE WHEN p.eligible AND h.history_status <> 'valid' THEN 'unknown_history' ELSE p.eligibility_status END AS eligibility_status),
+    CASE WHEN eligible AND history_status IN ('valid', 'partial') THEN coalesce(records, 0) END AS records,
+    CASE WHEN eligible AND history_status IN ('valid', 'partial') THEN coalesce(discounts, 0) END AS discounts,
+    CASE WHEN eligible AND history_status IN ('valid', 'partial') THEN coalesce(full_prices, 0) END AS full_prices,
+    CASE WHEN eligible AND history_status IN ('valid', 'partial') THEN coalesce(ambiguous, 0) END AS ambiguous,
+    CASE WHEN eligible AND history_status IN ('valid', 'partial') THEN coalesce(null_deals, 0) END AS null_deals,
+    CASE WHEN eligible AND history_status = 'valid' THEN CASE WHEN coalesce(records, 0) = 0 THEN 'D' WHEN discounts > 0 THEN 'A'
          WHEN full_prices = records THEN 'B' ELSE 'C' END END AS category
-  FROM pairs p LEFT JOIN inside i USING (entity_id, window_year))"""
+  FROM pairs p JOIN history_of h ON h.entity_id = p.entity_id
+  LEFT JOIN inside i ON i.entity_id = p.entity_id AND i.window_year = p.window_year)"""
 
 LABELS = """labels0 AS (
   SELECT *, CASE WHEN category = 'A' THEN 1 WHEN category IN ('B', 'D') THEN 0 END AS discount_observed,
-    CASE WHEN NOT eligible THEN 'unknown' WHEN category = 'A' THEN 'positive' ELSE 'unlabeled' END AS pu_status,
+    CASE WHEN category IS NULL THEN 'unknown' WHEN category = 'A' THEN 'positive' ELSE 'unlabeled' END AS pu_status,
     coalesce(category = 'C', true) AS ambiguity_flag,
     (coalesce(category = 'C', true) OR eligibility_status <> 'eligible_by_release_date') AS requires_review
   FROM evidence),
@@ -217,9 +228,9 @@ context AS (
     epoch_us(p.window_start) / 86400e6 - epoch_us(pre_ts) / 86400e6 AS pre_gap_days,
     epoch_us(post_ts) / 86400e6 - epoch_us(p.window_end) / 86400e6 AS post_gap_days,
     epoch_us(post_ts) / 86400e6 - epoch_us(pre_ts) / 86400e6 AS surrounding_days,
-    CASE WHEN coalesce(inside_n, 0) = 0 THEN 'D' WHEN inside_n_discount > 0 THEN 'A'
-         WHEN inside_n_full = inside_n THEN 'B' ELSE 'C' END AS category
-  FROM pairs p LEFT JOIN side_n s USING (entity_id, window_year) LEFT JOIN side_c c USING (entity_id, window_year)
+    CASE WHEN p.eligible AND h.history_status = 'valid' THEN CASE WHEN coalesce(inside_n, 0) = 0 THEN 'D' WHEN inside_n_discount > 0 THEN 'A'
+         WHEN inside_n_full = inside_n THEN 'B' ELSE 'C' END END AS category
+  FROM pairs p JOIN history_of h USING (entity_id) LEFT JOIN side_n s USING (entity_id, window_year) LEFT JOIN side_c c USING (entity_id, window_year)
   LEFT JOIN grp a ON a.entity_id = p.entity_id AND a.ts = s.pre_ts
   LEFT JOIN grp b ON b.entity_id = p.entity_id AND b.ts = s.post_ts)"""
 
@@ -262,5 +273,9 @@ SCORES = """scores AS (
   CROSS JOIN (VALUES ('short_scale', 5e1), ('long_scale', 2e2)) AS m(model, width))"""
 
 
+# Context of eligible pairs only.
+ELIGIBLE_CONTEXT = CONTEXT.replace("context AS (", "every_context AS (", 1) + ",\ncontext AS (SELECT * FROM every_context WHERE eligible)"
+
+
 def with_ctes(*ctes: str, body: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n" + body.strip()

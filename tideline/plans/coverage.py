@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tideline.operators import coverage
 from tideline.plans import bindings as b
 from tideline.plans.bindings import OBS, TAGGED, WIN, ENTITIES, with_ctes
-from tideline.plans.evidence import CAL, CONTEXT_CTES, context_of
+from tideline.plans.evidence import CAL, ELIGIBLE_CTES, context_of
 from tideline.plans.registry import query
 
 QUANTILES = ", ".join(
@@ -18,14 +18,14 @@ def quantile_sql(value: str, prefix: str = "") -> str:
     return QUANTILES.format(v=value, p=prefix)
 
 
-@query("gap_statistics", "A7", with_ctes(*CONTEXT_CTES, body=f"""
+@query("gap_statistics", "A7", with_ctes(*ELIGIBLE_CTES, body=f"""
 SELECT metric, count(days) AS n, count(*) - count(days) AS missing, round(avg(days), 6) AS mean,
   {quantile_sql('days')}
 FROM (SELECT 'pre_gap_days' AS metric, pre_gap_days AS days FROM context
       UNION ALL SELECT 'post_gap_days', post_gap_days FROM context
       UNION ALL SELECT 'surrounding_days', surrounding_days FROM context) GROUP BY 1"""))
 def gap_statistics(spark, d):
-    return coverage.gap_stats(coverage.melt_gaps(context_of(spark, d)), ["metric"], "days")
+    return coverage.gap_stats(coverage.melt_gaps(context_of(spark, d).where("eligible")), ["metric"], "days")
 
 
 AXES_SQL = f"""
@@ -56,7 +56,7 @@ FROM grid g LEFT JOIN axes a ON a.group_axis = g.group_axis AND a.group_value =
 GROUP BY 1, 2, 3"""
 
 
-@query("grouped_gap_statistics", "A8", with_ctes(*CONTEXT_CTES, body=AXES_SQL).replace("\n, long", ", long"))
+@query("grouped_gap_statistics", "A8", with_ctes(*ELIGIBLE_CTES, body=AXES_SQL).replace("\n, long", ", long"))
 def grouped_gap_statistics(spark, d):
     return coverage.grouped_gap_stats(context_of(spark, d), CAL.years)
 
@@ -64,7 +64,7 @@ def grouped_gap_statistics(spark, d):
 def _crosstab_sql(by: str, side: str) -> str:
     counts = ", ".join(f"count(*) FILTER (WHERE {side}_observed_state = '{s}') AS {s}"
                        for s in ("full_price", "discount", "ambiguous", "missing"))
-    return with_ctes(*CONTEXT_CTES, body=f"SELECT {by}, count(*) AS pairs, {counts} FROM context GROUP BY 1")
+    return with_ctes(*ELIGIBLE_CTES, body=f"SELECT {by}, count(*) AS pairs, {counts} FROM context GROUP BY 1")
 
 
 @query("state_by_year", "A9", _crosstab_sql("window_year", "pre"))
@@ -90,7 +90,7 @@ pool AS (
   WHERE c.category <> 'A')"""
 
 
-@query("sensitivity_slices", "A6", with_ctes(*CONTEXT_CTES, body=SLICES_SQL + f""",
+@query("sensitivity_slices", "A6", with_ctes(*ELIGIBLE_CTES, body=SLICES_SQL + f""",
 grid AS (SELECT scenario, y.slice_year, k.slice_category, s.pre_observed_state FROM lim
   CROSS JOIN (VALUES ('all'), ('1998'), ('1999'), ('2000')) AS y(slice_year)
   CROSS JOIN (VALUES ('all_non_A'), ('B'), ('C'), ('D')) AS k(slice_category)
@@ -115,7 +115,7 @@ def sensitivity_slices(spark, d):
     return coverage.sensitivity_table(context_of(spark, d), CAL.years)
 
 
-@query("sensitivity_members", "A6", with_ctes(*CONTEXT_CTES, body=SLICES_SQL + """
+@query("sensitivity_members", "A6", with_ctes(*ELIGIBLE_CTES, body=SLICES_SQL + """
 SELECT scenario, slice_year, slice_category, pre_observed_state, entity_id, window_year FROM pool WHERE matches"""
 ).replace("\n, lim", ", lim"))
 def sensitivity_members(spark, d):
@@ -189,7 +189,7 @@ def event_sequence(spark, d):
     return coverage.event_sequence(b.entities(spark, d), b.observations(spark, d), CAL)
 
 
-@query("context_extremes", "K4", with_ctes(*CONTEXT_CTES, body="""
+@query("context_extremes", "K4", with_ctes(*ELIGIBLE_CTES, body="""
 , two AS (SELECT entity_id, window_year, round(pre_gap_days + post_gap_days, 6) AS gap_sum,
     row_number() OVER (PARTITION BY window_year ORDER BY pre_gap_days + post_gap_days, entity_id) AS near,
     row_number() OVER (PARTITION BY window_year ORDER BY pre_gap_days + post_gap_days DESC, entity_id DESC) AS far

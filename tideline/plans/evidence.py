@@ -17,15 +17,20 @@ CAL = b.CALENDAR
 EVIDENCE_CTES = (ENTITIES, OBS, WIN, PAIRS, TAGGED, INSIDE, EVIDENCE)
 LABEL_CTES = (*EVIDENCE_CTES, LABELS)
 CONTEXT_CTES = (ENTITIES, OBS, WIN, PAIRS, TAGGED, CONTEXT)
+ELIGIBLE_CTES = (ENTITIES, OBS, WIN, PAIRS, TAGGED, b.ELIGIBLE_CONTEXT)
 FEATURE_CTES = (ENTITIES, OBS, WIN, PAIRS, TAGGED, FEATURES)
 
 
 def context_of(spark, d):
-    return evidence.pair_context(b.entities(spark, d), b.observations(spark, d), CAL)
+    return evidence.pair_context(b.known_entities(spark, d), b.observations(spark, d), CAL)
+
+
+def evidence_of(spark, d):
+    return evidence.direct_evidence(b.known_entities(spark, d), b.observations(spark, d), CAL)
 
 
 def labels_of(spark, d):
-    ev = evidence.direct_evidence(b.entities(spark, d), b.observations(spark, d), CAL)
+    ev = evidence_of(spark, d)
     return labels.with_policy(labels.label_rows(ev))
 
 
@@ -115,7 +120,7 @@ def window_evidence_counts(spark, d):
 SELECT entity_id, window_year, eligibility_status, records, discounts, full_prices, ambiguous,
        null_deals, category FROM evidence"""))
 def evidence_categories(spark, d):
-    return evidence.direct_evidence(b.entities(spark, d), b.observations(spark, d), CAL).select(
+    return evidence_of(spark, d).select(
         "entity_id", "window_year", "eligibility_status", "records", "discounts", "full_prices",
         "ambiguous", "null_deals", "category")
 
@@ -152,13 +157,13 @@ def nearest_states(spark, d):
         F.round("surrounding_days", 6).alias("surrounding_days"))
 
 
-@query("side_summary", "A4", with_ctes(*CONTEXT_CTES, body="""
+@query("side_summary", "A4", with_ctes(*ELIGIBLE_CTES, body="""
 SELECT entity_id, window_year, category, history_first_ts, history_last_ts, """ + ", ".join(
     f"{s}_{c}" for s in ("before", "inside", "after")
     for c in ("n", "n_discount", "n_full", "n_ambiguous", "n_null_deal", "n_conflicts")) + """
 FROM context"""))
 def side_summary(spark, d):
-    return context_of(spark, d).select(
+    return context_of(spark, d).where("eligible").select(
         "entity_id", "window_year", "category", "history_first_ts", "history_last_ts",
         *[f"{s}_{c}" for s in evidence.SIDES
           for c in ("n", "n_discount", "n_full", "n_ambiguous", "n_null_deal", "n_conflicts")])
@@ -178,7 +183,7 @@ def timestamp_conflicts(spark, d):
     return evidence.conflicts(b.observations(spark, d))
 
 
-@query("interpretation_cues", "P24", with_ctes(*CONTEXT_CTES, body="""
+@query("interpretation_cues", "P24", with_ctes(*ELIGIBLE_CTES, body="""
 , sets AS (
   SELECT c.entity_id, c.window_year,
     (SELECT list_sort(list(DISTINCT CAST(o.sig AS VARCHAR))) FROM obs o WHERE o.entity_id = c.entity_id AND o.ts = c.pre_ts) AS pre_set,

@@ -38,16 +38,17 @@ def boosted_scores(spark, d):
 
 @query("held_out_metrics", "M6 M7 M8 M10 M11 M12 M13 M14 U1")
 def held_out_metrics(spark, d):
+    """All four models on the last year."""
     p = parts(spark, d)
-    fitted = [models.fit(k, p["final"]) for k in ("prior_baseline", "logistic_regression", "random_forest")]
-    return metrics.evaluate(models.score(fitted, p[2000]), ["model"])
+    fitted = [models.fit(k, p["final"]) for k in models.MODEL_ORDER]
+    return metrics.evaluate(durable(models.score(fitted, p[2000])), ["model"])
 
 
 @query("held_out_subgroups", "M18 W12")
 def held_out_subgroups(spark, d):
-    """Metrics of a fitted model by history, discount, missingness and density subgroups."""
+    """Metrics of all four models by history, discount, missingness and density subgroups."""
     p = parts(spark, d)
-    scored = models.score([models.fit("logistic_regression", p["final"])], p[2000])
+    scored = durable(models.score([models.fit(k, p["final"]) for k in models.MODEL_ORDER], p[2000]))
     rows = scored.join(p[2000].drop("discount_observed"), ["entity_id", "window_year"])
     families = metrics.feature_families(F.size(prepare.missing_names()))
     return metrics.evaluate(metrics.by_segments(rows, families), ["model", "family", "segment"])
@@ -62,13 +63,15 @@ def coverage_only_ablation(spark, d):
 @query("model_importances", "M22")
 def model_importances(spark, d):
     p = parts(spark, d)
-    return models.importances([models.fit(k, p["final"]) for k in ("logistic_regression", "random_forest")], "final")
+    return models.importances([models.fit(k, p["final"]) for k in models.MODEL_ORDER], "final")
 
 
 @query("permutation_importance", "M23")
 def permutation_importance(spark, d):
+    """Both tree models, every predictor."""
     p = parts(spark, d)
-    return models.permutation_importance(models.fit("random_forest", p["final"]), p[2000])
+    forest, boosted = (models.permutation_importance(models.fit(k, p["final"]), p[2000]) for k in ("random_forest", "boosted_trees"))
+    return forest.unionByName(boosted)
 
 
 @query("second_experiment", "M24 M19")
@@ -86,4 +89,4 @@ def refit_later_window(spark, d):
     """Refit on every labelled year, score the later window, attach availability."""
     p = parts(spark, d)
     later = features.features(b.entities(spark, d), b.observations(spark, d), b.CALENDAR_2001)
-    return models.refit_rows(models.fit("random_forest", p["all"]), later, rules.coverage_group(F.col("prior_price_record_count")))
+    return models.refit_rows(models.fit("boosted_trees", p["all"]), later, rules.coverage_group(F.col("prior_price_record_count")))

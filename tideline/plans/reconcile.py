@@ -10,7 +10,7 @@ from tideline.operators.windows import Calendar, Window, _ntz, tag_records
 from tideline.plans import bindings as b
 from tideline.plans.bindings import CONTEXT, ENTITIES, OBS, PAIRS, TAGGED, WIN, with_ctes
 from tideline.plans.evidence import (CAL, CONTEXT_CTES, EVIDENCE_CTES, FEATURE_CTES, LABEL_CTES, MODEL_CTES,
-                                     context_of, features_of, labels_of)
+                                     context_of, evidence_of, features_of, labels_of)
 from tideline.plans.registry import query
 from datetime import timedelta
 
@@ -45,7 +45,7 @@ SELECT c."column", count(*) FILTER (WHERE same) AS agree, count(*) FILTER (WHERE
   SELECT 'category' AS "column", e.category IS NOT DISTINCT FROM x.category AS same FROM evidence e JOIN context x USING (entity_id, window_year)
   UNION ALL SELECT 'window_start', e.window_start IS NOT DISTINCT FROM x.window_start FROM evidence e JOIN context x USING (entity_id, window_year)) c GROUP BY 1"""))
 def merge_agreement(spark, d):
-    ev = evidence.direct_evidence(b.entities(spark, d), b.observations(spark, d), CAL)
+    ev = evidence_of(spark, d)
     return reconcile.agreement(ev, context_of(spark, d), ["entity_id", "window_year"], ["category", "window_start"])
 
 
@@ -59,7 +59,7 @@ UNION ALL SELECT entity_id, window_year, 'row_missing_in_saved', NULL, NULL FROM
 """).replace("\n, saved", ", saved"))
 def saved_evidence_reconciliation(spark, d):
     """A saved table with planted errors and without its C rows, recomputed from the raw records."""
-    now = evidence.direct_evidence(b.entities(spark, d), b.observations(spark, d), CAL).where("eligible") \
+    now = evidence_of(spark, d).where("eligible") \
         .select("entity_id", "window_year", "records", "category")
     k = F.col("entity_id")
     saved = now.where("category <> 'C'").select(
@@ -188,7 +188,7 @@ def table_fingerprint(spark, d):
 @query("canonical_order", "K5", with_ctes(*EVIDENCE_CTES, body="""
 SELECT entity_id, window_year, category, row_number() OVER (ORDER BY entity_id, window_year) AS position FROM evidence"""))
 def canonical_order(spark, d):
-    ev = evidence.direct_evidence(b.entities(spark, d), b.observations(spark, d), CAL) \
+    ev = evidence_of(spark, d) \
         .select("entity_id", "window_year", "category").withColumn("_all", F.lit(1))
     return prefix.ranked(ev, ["_all"], prefix.value_bucket(F.col("entity_id"), 512),
                          [F.col("entity_id"), F.col("window_year")], "position").drop("_all")
