@@ -173,3 +173,17 @@ def test_value_bucket_orders_infinities(spark):
     rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
     got = [r[0] for r in rows.orderBy("i").select(prefix.value_bucket(F.col("v"), 512)).collect()]
     assert got == sorted(got) and len(set(got)) == len(got)
+
+
+def test_history_that_is_not_valid_gets_no_category_or_label(spark):
+    status = F.expr("CASE entity_id WHEN 2 THEN 'invalid' WHEN 3 THEN 'partial' WHEN 4 THEN NULL ELSE 'valid' END")
+    ents = entities(spark, [(i, OLD) for i in (1, 2, 3, 4)]).withColumn("history_status", status)
+    rows = obs(spark, [row(i, 0, "2023-01-01T00:00:00") for i in (1, 2, 3)])
+    lab = labels.with_policy(labels.label_rows(evidence.direct_evidence(ents, rows, CAL))).where("eligible")
+    got = {(r["entity_id"], r["category"], r["records"] is None, r["discount_observed"], r["pu_status"], r["model_eligible"])
+           for r in lab.where("window_year = 2023").collect()}
+    assert got == {(1, "D", False, 0, "unlabeled", True), (2, None, True, None, "unknown", False),
+                   (3, None, False, None, "unknown", False), (4, None, True, None, "unknown", False)}
+    assert {r[0] for r in lab.where("entity_id > 1").select("eligibility_status").collect()} == {"unknown_history"}
+    ctx = evidence.pair_context(ents, rows, CAL).where("category IS NOT NULL")
+    assert {r[0] for r in ctx.select("entity_id").collect()} == {1}
