@@ -125,14 +125,15 @@ def mixing_rates(docs: DataFrame, labelled: DataFrame, weights: dict[str, float]
 
 def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], least: float = 1.0, most: float = 8.0) -> DataFrame:
     """``docs`` with each row repeated as its rate says, columns kept. With ``least`` 1 no row is lost: scarce domains are repeated
-    instead of others being thinned. The fitted steps are few numbers, so the second pass computes rates in place: no shuffle."""
+    instead of others being thinned. Rows and posteriors are written once, so that no gradient step computes a posterior again;
+    the fitted steps are few numbers, so the second pass computes rates in place: no shuffle."""
     names, model = fit_domains(docs, labelled)
     names = names or ["all"]
     own = docs.columns
-    boxed = docs.select(F.struct(*own).alias("_row"), "doc_id", "text")
-    members = durable(posteriors(docs.select("text"), names, model).select("_tokens", "_p"))
+    boxed = docs.select(F.struct(*own).alias("_row"), "text")
+    members = durable(posteriors(boxed, names, model).select("_row", "_tokens", "_p"))
     history = fit_rates(members, aligned(weights, names), None, least, most)
-    rated = posteriors(boxed, names, model).withColumn("_rate", rate_column(history, least, most))
-    again = F.sequence(F.lit(1).cast("long"), copies(F.col("_rate"), "doc_id", "text"))
-    return rated.where(copies(F.col("_rate"), "doc_id", "text") > 0).select("_row", F.explode(again).alias("_copy")).select(
+    rated = members.withColumn("_copies", copies(rate_column(history, least, most), "_row.doc_id", "_row.text"))
+    again = F.sequence(F.lit(1).cast("long"), F.col("_copies"))
+    return rated.where(F.col("_copies") > 0).select("_row", F.explode(again).alias("_copy")).select(
         *[F.col("_row")[c].alias(c) for c in own])
