@@ -57,8 +57,8 @@ def lexical(pages: DataFrame) -> DataFrame:
         F.aggregate(F.filter(letters, lambda c: c != ""), F.lit(0.0), lambda a, c: a - share(c) * F.log2(share(c))).alias("entropy"),
         F.when(query == "", 0.0).otherwise(F.size(F.split(query, "&")).cast("double")).alias("parameters"),
         F.length(query).cast("double").alias("query_length"), url.contains("#").cast("double").alias("fragment"),
-        F.length(F.regexp_extract("path", r"([0-9]*)[^0-9]*$", 1)).cast("double").alias("tail_digits"),
-        F.regexp_extract("host", r"([^.]*)$", 1).alias("suffix"), F.regexp_extract("host", r"([^.]*\.?[^.]*)$", 1).alias("domain"))
+        F.length(F.regexp_extract(F.reverse("path"), r"^[^0-9]*([0-9]*)", 1)).cast("double").alias("tail_digits"),
+        F.substring_index("host", ".", -1).alias("suffix"), F.substring_index("host", ".", -2).alias("domain"))
 
 
 def rates(labelled: DataFrame, key: str, name: str) -> DataFrame:
