@@ -4,7 +4,9 @@ A classifier fitted on a labelled table gives every document a posterior over do
 fitted so that the expected domain token totals ``t_k = sum_d r_d n_d p_dk`` match the targets ``T_k``: projected gradient on
 ``sum_k (t_k - T_k)^2 / s_k`` (``s_k``: totals at rate 1) in the metric of the token counts, which has step bound 1 because
 posteriors sum to one. A document's rate depends on its posterior and on the few residual vectors so far, so an iteration is one pass
-that sums ``K`` numbers; nothing per document is kept between passes. Built-in column functions and MLlib only.
+that sums ``K`` numbers. After some iterations the rates so far are written, so that a pass replays few of them. The fit ends when
+the targets are met, or when they cannot be met within the bounds on rates and the squared error no longer falls. Built-in column
+functions and MLlib only.
 """
 
 from __future__ import annotations
@@ -19,7 +21,9 @@ from tideline.session import durable
 DIMENSIONS = 1 << 13
 PER_DOMAIN = 2500
 ROUNDS = 60
+REPLAY = 8  # steps that a pass replays before rates are written
 TOLERANCE = 1e-3
+PROGRESS = 1e-3  # least relative fall of the squared error in an iteration
 SEPARATORS = "[ \\t\\n\\x0B\\f\\r]+"
 
 
@@ -66,13 +70,13 @@ def posteriors(docs: DataFrame, names: list[str], model) -> DataFrame:
             .drop("_words", "_tf", "_features", "_raw", "_probability", "_prediction"))
 
 
-def rate_column(history: list[list[float]], least: float, most: float) -> Column:
-    """The rate after the given gradient steps, starting at 1 and projected to [least, most] after each."""
+def rate_column(history: list[list[float]], least: float, most: float, start: Column | None = None) -> Column:
+    """The rate after the given gradient steps, starting at 1 (or ``start``) and projected to [least, most] after each."""
     if not history:
-        return F.lit(min(max(1.0, least), most))
+        return F.lit(min(max(1.0, least), most)) if start is None else start
     steps = F.array(*[F.array(*[F.lit(float(x)) for x in g]) for g in history])
     down = lambda g: F.aggregate(F.zip_with("_p", g, lambda p, x: p * x), F.lit(0.0), lambda a, x: a + x)
-    return F.aggregate(steps, F.lit(1.0), lambda r, g: F.least(F.lit(most), F.greatest(F.lit(least), r - down(g))))
+    return F.aggregate(steps, F.lit(1.0) if start is None else start, lambda r, g: F.least(F.lit(most), F.greatest(F.lit(least), r - down(g))))
 
 
 def fit_rates(members: DataFrame, weights: list[float], total: float | None = None, least: float = 0.0, most: float = 1e9) -> list[list[float]]:
@@ -88,12 +92,18 @@ def fit_rates(members: DataFrame, weights: list[float], total: float | None = No
         total = sum(now) if least < 1 else max([s / w for s, w in zip(now, weights, strict=True) if w > 0], default=0.0)
     target = [w * total for w in weights]
     history: list[list[float]] = []
+    members, written = members.select("_tokens", "_p").withColumn("_rate", rate_column([], least, most)), 0
+    before = float("inf")
     for _ in range(ROUNDS):
         gap = [a - b for a, b in zip(now, target, strict=True)]
-        if max(map(abs, gap), default=0.0) <= TOLERANCE * max(total, 1e-9):
+        error = sum(g * g / s for g, s in zip(gap, size, strict=True))
+        if max(map(abs, gap), default=0.0) <= TOLERANCE * max(total, 1e-9) or error > (1 - PROGRESS) * before:
             break
+        before = error
+        if len(history) - written == REPLAY:
+            members, written = durable(members.withColumn("_rate", rate_column(history[written:], least, most, F.col("_rate")))), len(history)
         history.append([g / s for g, s in zip(gap, size, strict=True)])
-        now = [x or 0.0 for x in sums(rate_column(history, least, most))]
+        now = [x or 0.0 for x in sums(rate_column(history[written:], least, most, F.col("_rate")))]
     return history
 
 
