@@ -256,3 +256,28 @@ def test_mix_keeps_every_row(spark, docs, labels):
     assert all(count[i] >= 1 for i, _ in corpus())
     assert mixing.mixing_rates(empty(docs), domains(labels), MIX).count() == 0
     assert mixing.mixing_rates(docs, domains(labels).where("false"), MIX).count() == len(corpus())
+
+
+def test_pitman_yor_learns_from_previous_words(spark):
+    rng = random.Random(5)
+    words = [f"{a}{b}xy" for a in "abcdefgh" for b in "klmno"]  # all with the same ending
+    follow = {(a, b): rng.choice(words) for a in words[:12] for b in words[:12]}
+    after = {w: words[:12][(i * 5 + 3) % 12] for i, w in enumerate(words[:12])}
+
+    def held_out_perplexity(texts, parts):
+        rows = pitman_yor.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(parts)).where("held_out").collect()
+        return 10 ** (-sum(r["score"] for r in rows) / sum(r["n_tokens"] for r in rows))
+
+    chains, triples = [], []
+    for _ in range(200):
+        w, chain = rng.choice(words[:12]), []
+        for _ in range(20):
+            chain.append(w)
+            w = after[w]
+        chains.append(" ".join(chain))
+        # The third word follows from both before it; the previous word alone says little.
+        pairs = [(rng.choice(words[:12]), rng.choice(words[:12])) for _ in range(10)]
+        triples.append(" ".join(f"{a} {b} {follow[a, b]}" for a, b in pairs))
+    assert held_out_perplexity(chains, 4) < 2
+    few, many = held_out_perplexity(triples, 1), held_out_perplexity(triples, 7)
+    assert few < 9 and abs(few - many) < 0.03 * few  # 12 * 12 * 1 for three words is 5.2 a word
