@@ -281,3 +281,28 @@ def test_pitman_yor_learns_from_previous_words(spark):
     assert held_out_perplexity(chains, 4) < 2
     few, many = held_out_perplexity(triples, 1), held_out_perplexity(triples, 7)
     assert few < 9 and abs(few - many) < 0.03 * few  # 12 * 12 * 1 for three words is 5.2 a word
+
+
+def test_lexicon_keeps_every_telling_word(spark):
+    rows = []
+    for i in range(6000):  # a clean row stands for many labelled ones
+        words = ["plain", "quoted" if i < 2 else "other"]
+        rows.append((0, 583.0, " ".join(words)))
+        rows.append((1, 1.0, " ".join(["plain", "quoted" if i < 1700 else "other", f"term{i // 10}x"])))
+    found = toxicity.learn_lexicon(spark.createDataFrame(rows, "label int, weight double, text string"))
+    assert "quoted" in found and "plain" not in found and "other" not in found
+    assert {f"term{i}x" for i in range(600)} <= set(found)
+
+
+def test_automata_find_the_nearest_term():
+    rng = random.Random(6)
+    terms = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(3, 12))) for _ in range(150)})
+    machine = toxicity.Automata(terms)
+    words = ["".join(rng.choice("abcd") for _ in range(rng.randint(1, 13))) for _ in range(1500)] + terms
+    chars = np.array([ord(c) for w in words for c in w], np.uint32)
+    bounds = np.concatenate([[0], np.cumsum([len(w) for w in words])])
+    for _ in range(2):  # new words, then known ones
+        term, far = machine.find(chars, bounds[:-1], bounds[1:])
+        for w, t, d in zip(words, term.tolist(), far.tolist(), strict=True):
+            near = min(((distance(w, x), i) for i, x in enumerate(terms) if distance(w, x) <= toxicity.edits(x)), default=(99, -1))
+            assert (d, t) == near

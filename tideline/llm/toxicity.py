@@ -1,7 +1,7 @@
 """Toxicity: Levenshtein automata intersected with a lexicon trie, and scores of the hits' context windows.
 
-The lexicon is learned from labelled training documents (words that mark the toxic ones). The automaton of all words within an
-edit bound of any term is one deterministic table, stepped over all words of a block at once in numpy. Hits are weighed by
+The lexicon is learned from labelled training documents (words that mark the toxic ones). The automata of all words within an
+edit bound of any term are deterministic tables of some terms each, stepped over all words of a block at once in numpy. Hits are weighed by
 how well (term, distance) separates the classes in the sample, and split by context: words near quotation marks count as
 quotation, others as abuse. A logistic fit over these sums gives the score.
 """
@@ -18,8 +18,10 @@ from pyspark.sql import DataFrame, functions as F
 from tideline.llm import sampling, text as T
 
 PER_CLASS = 6000
-LEXICON = 240
 MIN_DOCS = 4
+RATIO = 4.0
+CHUNK = 32
+MEMORY = 1 << 20
 WINDOW = 12
 QUOTES = "\"“”„«»‹›"
 N_FEATURES = 6
@@ -79,7 +81,11 @@ class Automaton:
         rows, queue = [[0] * (len(alphabet) + 1)], [first]
         while queue:
             state, row = queue.pop(0), []
+            expected = {c for node, _ in state for c in children[node]}
             for c in [None, *alphabet]:
+                if row and c not in expected:  # as good as a character of no term
+                    row.append(row[0])
+                    continue
                 after: dict[int, int] = {}
                 for node, e in state:
                     if e + 1 <= reach[node]:
@@ -117,6 +123,47 @@ class Automaton:
         return state
 
 
+class Automata:
+    """Automata of ``CHUNK`` terms of like length each, so that tables grow as the lexicon does and a word runs through those near its length."""
+
+    def __init__(self, terms: list[str]):
+        self.terms = terms
+        order = sorted(range(len(terms)), key=lambda k: (edits(terms[k]), len(terms[k]), terms[k]))
+        chunks = [sorted(order[i:i + CHUNK]) for i in range(0, len(terms), CHUNK)]
+        self.parts = [(np.array(chunk, np.int32), Automaton([terms[k] for k in chunk])) for chunk in chunks]
+        self.reach = [(min(len(t) - edits(t) for t in part.terms), max(len(t) + edits(t) for t in part.terms)) for _, part in self.parts]
+        self.known = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+
+    def nearest(self, chars: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        best, near = np.full(len(start), len(self.terms), np.int32), np.full(len(start), 99, np.int32)
+        size = end - start
+        for (number, part), (least, most) in zip(self.parts, self.reach, strict=True):
+            at = np.flatnonzero((size >= least) & (size <= most))
+            state = part.run(part.classes[chars], start[at], end[at])
+            ok = part.term[state] >= 0
+            at, t, d = at[ok], number[part.term[state[ok]]], part.distance[state[ok]]
+            better = (d < near[at]) | ((d == near[at]) & (t < best[at]))
+            best[at[better]], near[at[better]] = t[better], d[better]
+        return np.where(near < 99, best, -1), near
+
+    def find(self, chars: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Nearest term of each word (-1: none; the first of equally near ones) and its distance. Words met before are looked up."""
+        word, one, of = np.unique(T.span_hash(T.mix(chars.astype(np.uint64) + np.uint64(1)), start, end), return_index=True, return_inverse=True)
+        known = self.known
+        at = np.minimum(np.searchsorted(known[0], word), max(len(known[0]) - 1, 0))
+        old = known[0][at] == word if len(known[0]) else np.zeros(len(word), bool)
+        term, distance = np.full(len(word), -1, np.int32), np.full(len(word), 99, np.int32)
+        term[old], distance[old] = known[1][at[old]], known[2][at[old]]
+        new = ~old
+        term[new], distance[new] = self.nearest(chars, start[one[new]], end[one[new]])
+        if len(known[0]) > MEMORY:
+            known = tuple(x[:0] for x in known)
+        both = [np.concatenate([x, y]) for x, y in zip(known, (word[new], term[new], distance[new]), strict=True)]
+        order = np.argsort(both[0], kind="stable")
+        self.known = tuple(x[order] for x in both)
+        return term[of], distance[of]
+
+
 def code_points(block: T.Block) -> tuple[np.ndarray, np.ndarray]:
     """Lower-cased characters (beyond the basic plane: 0xFFFF) of a block, and the bounds of its texts."""
     points = np.frombuffer(block.data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
@@ -124,7 +171,7 @@ def code_points(block: T.Block) -> tuple[np.ndarray, np.ndarray]:
     return _LOWER[np.minimum(points, 0xFFFF)], lead[block.bounds]
 
 
-def hits(block: T.Block, automaton: Automaton) -> tuple[np.ndarray, ...]:
+def hits(block: T.Block, automaton: Automata) -> tuple[np.ndarray, ...]:
     """Row, word number, term, distance and quoted flag of each hit; and the words of each row."""
     chars, bounds = code_points(block)
     wordy = _WORDY[chars]
@@ -141,16 +188,16 @@ def hits(block: T.Block, automaton: Automaton) -> tuple[np.ndarray, ...]:
     lo, hi = np.searchsorted(letters, word_start), np.searchsorted(letters, stop) - 1
     some = np.flatnonzero(hi >= lo)
     start, end = letters[lo[some]], letters[hi[some]] + 1
-    state = automaton.run(automaton.classes[chars], start, end)
-    found = np.flatnonzero(automaton.term[state] >= 0)
-    word, state = some[found], state[found]
+    term, distance = automaton.find(chars, start, end)
+    found = np.flatnonzero(term >= 0)
+    word, term, distance = some[found], term[found], distance[found]
     row = np.searchsorted(first, word, "right") - 1
     marks = np.searchsorted(word_start, np.flatnonzero(_QUOTE[chars]), "right") - 1  # words with a quotation mark
     quoted = np.zeros(len(word), bool)
     for i, (w, r) in enumerate(zip(word.tolist(), row.tolist(), strict=True)):
         near = marks[np.searchsorted(marks, max(w - WINDOW, first[r])):np.searchsorted(marks, min(w + WINDOW + 1, first[r + 1]))]
         quoted[i] = len(near) > 1 and near[0] <= w <= near[-1]
-    return row, word - first[row], automaton.term[state], automaton.distance[state], quoted, np.diff(first)
+    return row, word - first[row], term, distance, quoted, np.diff(first)
 
 
 def features(found: tuple[np.ndarray, ...], weights: np.ndarray) -> np.ndarray:
@@ -172,7 +219,7 @@ def features(found: tuple[np.ndarray, ...], weights: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    def __init__(self, automaton: Automaton, weights: np.ndarray, linear: np.ndarray):
+    def __init__(self, automaton: Automata, weights: np.ndarray, linear: np.ndarray):
         self.automaton, self.weights, self.linear = automaton, weights, linear
 
     def scores(self, block: T.Block) -> tuple[np.ndarray, np.ndarray]:
@@ -182,19 +229,24 @@ class Model:
 
 
 def learn_lexicon(sample: DataFrame) -> list[str]:
-    """Words of the sample's toxic documents that few clean ones hold, the most telling first; at most ``LEXICON``."""
-    words = sample.select("label", "weight", F.explode(F.array_distinct(F.regexp_extract_all(
+    """Words whose share of the toxic documents is over ``RATIO`` times that of the clean ones, both smoothed; the most telling first.
+
+    A word is in ``MIN_DOCS`` toxic documents of the sample at least, which bounds their number. Shares do not depend on how many labelled
+    rows a sampled one stands for.
+    """
+    rows = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
+    words = sample.select("label", F.explode(F.array_distinct(F.regexp_extract_all(
         F.lower("text"), F.lit(r"[\p{L}\p{M}\p{N}]+"), F.lit(0)))).alias("w")).where("length(w) between 3 and 40")
-    counts = words.groupBy("w").agg(F.sum(F.when(F.col("label") == 1, 1).otherwise(0)).alias("toxic"),
-                                    F.sum(F.when(F.col("label") == 0, F.col("weight")).otherwise(0)).alias("clean"))
-    good = counts.where((F.col("toxic") >= MIN_DOCS) & (F.col("toxic") > 4 * (F.col("clean") + 0.5)))
-    return [r["w"] for r in good.orderBy(F.desc(F.col("toxic") / (F.col("clean") + 1)), "w").limit(LEXICON).collect()]
+    counts = words.groupBy("w").agg(*[F.sum((F.col("label") == k).cast("int")).alias(c) for k, c in ((1, "toxic"), (0, "clean"))])
+    share = lambda c, k: (F.col(c) + 0.5) / (rows.get(k, 0) + 1.0)
+    good = counts.where(F.col("toxic") >= MIN_DOCS).withColumn("ratio", share("toxic", 1) / share("clean", 0)).where(F.col("ratio") > RATIO)
+    return [r["w"] for r in good.orderBy(F.desc("ratio"), "w").select("w").collect()]
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, lexicon: list[str] | None = None) -> Model:
     """Learn lexicon, hit weights and the score from at most ``2 * per_class`` labelled rows outside the held-out fold."""
     sample = sampling.labelled_sample(docs, labels, "toxic", 4, 2, per_class)
-    automaton = Automaton(sorted(learn_lexicon(sample) if lexicon is None else lexicon))
+    automaton = Automata(sorted(learn_lexicon(sample) if lexicon is None else lexicon))
 
     def run(batches):
         for batch in batches:
