@@ -306,3 +306,19 @@ def test_automata_find_the_nearest_term():
         for w, t, d in zip(words, term.tolist(), far.tolist(), strict=True):
             near = min(((distance(w, x), i) for i, x in enumerate(terms) if distance(w, x) <= toxicity.edits(x)), default=(99, -1))
             assert (d, t) == near
+
+
+def test_url_rates_count_all_rows_and_samples_hold_both_verdicts(spark):
+    urls_ = [(i, f"http://one.com/{i}") for i in range(300)] + [(1000 + i, f"http://n{i}.net/fr/x") for i in range(30)]
+    urls_ += [(2000 + i, "http://n0.net/fr/x") for i in range(500)]  # copies of one url
+    pages = spark.createDataFrame([*urls_, (9000, "http://n0.net/other"), (9001, "http://n29.net/other")], "page_id long, url string")
+    scores = {r["page_id"]: r["score"] for r in urls.filter_urls(pages, URL_RULES, 12).where("page_id >= 9000").collect()}
+    assert len(scores) == 2 and 0 not in scores.values()
+    rows = [(f"u{i}", float(i % 4 == 0), 1 + 99 * (i == 8)) for i in range(80)]
+    frame = spark.createDataFrame(rows, "url string, label double, copies long")
+    for sample, blocked in ((10, 5), (50, 20), (200, 20)):
+        drawn = urls.picked(frame, {0.0: 60, 1.0: 20}, sample).collect()
+        assert len(drawn) == len({r["url"] for r in drawn}) == min(sample, 80) and sum(r["label"] for r in drawn) == blocked
+        assert all(math.isclose(r["weight"], r["copies"] * (20 / blocked if r["label"] else 60 / (len(drawn) - blocked))) for r in drawn)
+    taught = spark.createDataFrame([("a", 1.0, 30), ("b", 0.0, 10)], "domain string, label double, copies long")
+    assert {r["domain"]: r["r"] for r in urls.rates(taught, "domain", "r").collect()} == {"a": 40 / 50, "b": 10 / 30}

@@ -61,34 +61,47 @@ def lexical(pages: DataFrame) -> DataFrame:
         F.substring_index("host", ".", -1).alias("suffix"), F.substring_index("host", ".", -2).alias("domain"))
 
 
-def rates(labelled: DataFrame, key: str, name: str) -> DataFrame:
-    """Smoothed share of blocked urls for each key of the sample (so at most as many rows as it has)."""
-    return labelled.groupBy(key).agg(((F.sum("label") + PRIOR / 2) / (F.count("*") + PRIOR)).alias(name))
+def rates(taught: DataFrame, key: str, name: str) -> DataFrame:
+    """Smoothed share of blocked rows for each key of all rows that rules decide; ``taught`` has distinct urls and their copies."""
+    return taught.groupBy(key).agg(
+        ((F.sum(F.col("label") * F.col("copies")) + PRIOR / 2) / (F.sum("copies") + PRIOR)).alias(name))
+
+
+def picked(taught: DataFrame, sizes: dict[float, int], sample: int) -> DataFrame:
+    """At most ``sample`` distinct urls in hash order, half of each verdict or what the other one leaves; weights stand for all rows."""
+    parts = []
+    for label, size in sizes.items():
+        others = sum(sizes.values()) - size
+        quota = min(size, max(sample // 2, sample - others))
+        parts.append(taught.where(F.col("label") == label).orderBy(F.xxhash64("url"), "url").limit(quota)
+                     .withColumn("weight", F.col("copies") * (size / quota)))
+    return parts[0].union(parts[1])
 
 
 def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], sample: int = SAMPLE) -> DataFrame:
     """page_id, host, path, rule, verdict and score of every row of ``pages`` (page_id, url).
 
-    Trees learn from at most ``sample`` urls that a rule decides, picked by hash order; if the rules leave only one verdict or
-    none, other urls are allowed. A null url, or one without ``://``, has an empty host and path, which the trees judge. Repeated rows are
+    Rates of suffixes and domains count all rows that a rule decides. Trees learn from at most ``sample`` distinct urls of them, with
+    copies as weight; if the rules leave only one verdict or none, other urls are allowed. A null url, or one without ``://``, has an empty host and path, which the trees judge. Repeated rows are
     judged each.
     """
     known = pages.select("page_id", "url").withColumns({"host": host(F.col("url")), "path": path(F.col("url"))})
     rule, verdict = ruled(rules)
     known = known.withColumns({"rule": rule, "ruled": verdict})
-    picked = durable(lexical(known.where("ruled is not null").orderBy(F.xxhash64("url"), "url").limit(sample))
-                     .withColumn("label", (F.col("ruled") == "block").cast("double")))
-    classes = [r["label"] for r in picked.select("label").distinct().collect()]
-    if len(classes) < 2:
+    taught = durable(known.where("ruled is not null").groupBy("url", "host", "path", (F.col("ruled") == "block").cast("double").alias("label"))
+                     .agg(F.count("*").alias("copies")).withColumns(
+        {"suffix": F.substring_index("host", ".", -1), "domain": F.substring_index("host", ".", -2)}))
+    sizes = {r["label"]: r["count"] for r in taught.groupBy("label").count().orderBy("label").collect()}
+    if len(sizes) < 2:
         return known.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.lit("allow")).alias("verdict"), F.lit(0.0).alias("score"))
-    suffix, domain = (durable(rates(picked, k, f"{k}_rate")) for k in ("suffix", "domain"))
+    suffix, domain = (durable(rates(taught, k, f"{k}_rate")) for k in ("suffix", "domain"))
 
     def vectors(df: DataFrame) -> DataFrame:
-        joined = df.join(F.broadcast(suffix), "suffix", "left").join(F.broadcast(domain), "domain", "left").fillna(0.5, ["suffix_rate", "domain_rate"])
+        joined = df.join(suffix, "suffix", "left").join(domain, "domain", "left").fillna(0.5, ["suffix_rate", "domain_rate"])
         return VectorAssembler(inputCols=FEATURES, outputCol="features").transform(joined)
 
-    trees = GBTClassifier(featuresCol="features", labelCol="label", maxIter=TREES, maxDepth=DEPTH, seed=3).fit(
-        durable(vectors(picked).select("features", "label").repartition(4)))
+    trees = GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight", maxIter=TREES, maxDepth=DEPTH, seed=3).fit(
+        durable(vectors(lexical(picked(taught.drop("suffix", "domain"), sizes, sample))).select("features", "label", "weight").repartition(4)))
     judged = trees.transform(vectors(lexical(known))).withColumn("score", vector_to_array("probability")[1])
     return judged.select("page_id", "host", "path", "rule",
                          F.coalesce("ruled", F.when(F.col("score") >= 0.5, "block").otherwise("allow")).alias("verdict"), "score")
