@@ -322,3 +322,13 @@ def test_url_rates_count_all_rows_and_samples_hold_both_verdicts(spark):
         assert all(math.isclose(r["weight"], r["copies"] * (20 / blocked if r["label"] else 60 / (len(drawn) - blocked))) for r in drawn)
     taught = spark.createDataFrame([("a", 1.0, 30), ("b", 0.0, 10)], "domain string, label double, copies long")
     assert {r["domain"]: r["r"] for r in urls.rates(taught, "domain", "r").collect()} == {"a": 40 / 50, "b": 10 / 30}
+
+
+def test_seating_in_steps_is_close_to_one_by_one():
+    rng = np.random.default_rng(0)
+    n, mass, discount, k = 1000, 30.0, 0.8, 3000
+    fast = pitman_yor.new_tables(np.full(k, n), discount, np.full(k, (mass - pitman_yor.STRENGTH) / discount), np.ones(k), rng)
+    slow = np.ones(k)
+    for i in range(1, n):
+        slow += rng.random(k) * (mass + i - discount * slow) < mass
+    assert abs(fast.mean() / slow.mean() - 1) < 0.015 and abs(fast.std() / slow.std() - 1) < 0.1
