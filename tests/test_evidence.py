@@ -166,15 +166,6 @@ def test_checked_join_checks_even_when_no_right_column_is_used(spark):
     assert reconcile.checked_join(many, twice.where("v <> 'b'"), ["k"]).count() == 2
 
 
-def test_value_bucket_orders_infinities(spark):
-    from tideline.operators import prefix
-
-    values = [float("-inf"), -1e300, -1.0, 0.0, 1e-300, 1.0, 1e12, 1e300, float("inf"), float("nan")]
-    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
-    got = [r[0] for r in rows.orderBy("i").select(prefix.value_bucket(F.col("v"), 512)).collect()]
-    assert got == sorted(got) and len(set(got)) == len(got)
-
-
 def test_history_that_is_not_valid_gets_no_category_or_label(spark):
     status = F.expr("CASE entity_id WHEN 2 THEN 'invalid' WHEN 3 THEN 'partial' WHEN 4 THEN NULL ELSE 'valid' END")
     ents = entities(spark, [(i, OLD) for i in (1, 2, 3, 4)]).withColumn("history_status", status)

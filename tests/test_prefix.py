@@ -19,17 +19,51 @@ def hot_rows(n=3000, seed=5):
     return out
 
 
-def test_value_bucket_is_monotone(spark):
-    values = sorted({v for _, _, v in hot_rows()} | {-1e300, -5e-324, 5e-324, 1e300, 1.0, 2.0, 0.9999999999999999})
+def slot_sizes(df, keys, order):
+    rows = prefix.with_slot(df, keys, order).groupBy("_slot").count().collect()
+    return [r["count"] for r in rows], [(r["_slot"]["key"], r["_slot"]["number"]) for r in rows]
+
+
+@pytest.mark.parametrize("value", [
+    "1000000000000 + id", "7", "IF(id % 2 = 0, double('infinity'), IF(id % 3 = 0, double('-infinity'), 0.0))", "pow(2.0, id % 1000)", "CAST(NULL AS INT)"])
+def test_no_slot_exceeds_three_times_its_share(spark, value):
+    n, parts = 200_000, 32
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        df = spark.range(n).selectExpr("id", "IF(id % 3 = 0, 'hot', CAST(id % 5000 AS STRING)) AS g", f"{value} AS v")
+        for keys in ([], ["g"]):
+            sizes, slots = slot_sizes(df, keys, [F.col("v"), F.col("id")])
+            assert sum(sizes) == n and len(slots) == len(set(slots))
+            assert max(sizes) <= 3 * n / parts
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_slots_rise_along_the_order(spark):
+    values = sorted({v for _, _, v in hot_rows()} | {float("-inf"), -1e300, -5e-324, 5e-324, 1e300, float("inf")}) + [float("nan")]
     df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
-    got = [r["b"] for r in df.select("i", prefix.value_bucket(F.col("v")).alias("b")).orderBy("i").collect()]
-    assert got == sorted(got) and len(set(got)) > 100
+    rows = prefix.with_slot(df, [], [F.col("v")]).orderBy("i").collect()
+    got = [r["_slot"]["number"] for r in rows]
+    assert got == sorted(got) and got[-1] > 0
+    assert prefix.with_slot(df.where("false"), [], [F.col("v")]).count() == 0
+
+
+def test_with_next_goes_round(spark):
+    r = random.Random(2)
+    keys = r.sample(range(10**12, 10**12 + 10**6), 500) + [None]
+    df = spark.createDataFrame([(k, f"t{k}") for k in keys], "k long, t string")
+    got = {x["k"]: x["next"]["t"] for x in prefix.with_next(df, [F.col("k")], ["t"]).collect()}
+    ring = [None] + sorted(k for k in keys if k is not None)
+    assert got == {k: f"t{ring[(i + 1) % len(ring)]}" for i, k in enumerate(ring)}
+    one = prefix.with_next(df.limit(1), [F.col("k")], ["k"]).first()
+    assert one["next"]["k"] == one["k"]
 
 
 def test_ranked_equals_row_number(spark):
     rows = hot_rows()
     df = spark.createDataFrame(rows, "g string, i int, v double")
-    got = prefix.ranked(df, ["g"], prefix.value_bucket(F.col("v")), [F.col("v"), F.col("i")]).collect()
+    got = prefix.ranked(df, ["g"], [F.col("v"), F.col("i")]).collect()
     want = {}
     for g in {r[0] for r in rows}:
         for k, r in enumerate(sorted((r for r in rows if r[0] == g), key=lambda r: (r[2], r[1])), 1):
@@ -39,7 +73,7 @@ def test_ranked_equals_row_number(spark):
 
 def test_null_keys_are_kept_as_a_group(spark):
     df = spark.createDataFrame([(None, 3.0), (None, 1.0), ("a", 2.0)], "g string, v double")
-    got = prefix.ranked(df, ["g"], prefix.value_bucket(F.col("v")), [F.col("v")]).collect()
+    got = prefix.ranked(df, ["g"], [F.col("v")]).collect()
     assert {(r["g"], r["v"]): r["rank"] for r in got} == {(None, 1.0): 1, (None, 3.0): 2, ("a", 2.0): 1}
     assert {r["g"]: r["m"] for r in prefix.quantiles(df, ["g"], "v", {"m": .5}).collect()} == {None: 2.0, "a": 2.0}
     assert {r["g"]: r["median"] for r in coverage.gap_stats(df, ["g"], "v").collect()} == {None: 2.0, "a": 2.0}

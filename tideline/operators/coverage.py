@@ -241,25 +241,24 @@ def history_totals(observations: DataFrame, requested_since: Column) -> DataFram
 def newest_first(observations: DataFrame) -> DataFrame:
     """Per entity: are records stored newest first (time never rises along the index)?
 
-    Order breaks are found inside index buckets and between adjacent buckets' edges.
+    Order breaks are found inside index slots and between adjacent slots' edges.
     """
-    bucket = prefix.value_bucket(F.col("record_index"))
-    rows = observations.select("entity_id", "record_index", "ts", bucket.alias("_b"))
-    inner = W.partitionBy("entity_id", "_b").orderBy("record_index")
+    rows = prefix.with_slot(observations.select("entity_id", "record_index", "ts"), ["entity_id"], [F.col("record_index")], "_b")
+    inner = W.partitionBy("_b").orderBy("record_index")
     local = rows.withColumn("_ok", F.coalesce(F.lag("ts").over(inner) >= F.col("ts"), F.lit(True)))
-    edges = local.groupBy("entity_id", "_b").agg(
+    edges = local.groupBy("_b").agg(
         F.min("_ok").alias("_ok"), F.count("*").alias("n"),
         F.min_by("ts", "record_index").alias("_head"), F.max_by("ts", "record_index").alias("_tail"))
-    outer = W.partitionBy("entity_id").orderBy("_b")
+    outer = W.partitionBy("_b.key").orderBy("_b.number")
     ok = F.col("_ok") & F.coalesce(F.lag("_tail").over(outer) >= F.col("_head"), F.lit(True))
-    return edges.select("entity_id", "n", ok.alias("_ok")).groupBy("entity_id").agg(
+    return edges.select("_b.key.entity_id", "n", ok.alias("_ok")).groupBy("entity_id").agg(
         F.sum("n").alias("records"), F.min("_ok").alias("newest_first"))
 
 
 def event_sequence(entities: DataFrame, observations: DataFrame, calendar) -> DataFrame:
     """Records and window markers in time order, long form with an exact position.
 
-    At equal times a marker precedes records. Positions come from the bucketed ranking, so a hot
+    At equal times a marker precedes records. Positions come from the slotted ranking, so a hot
     entity is not sorted in one task.
     """
     from tideline.operators.windows import tag_records
@@ -273,7 +272,6 @@ def event_sequence(entities: DataFrame, observations: DataFrame, calendar) -> Da
         "entity_id", "window_year", F.col("side").alias("event"), "ts", F.lit(1).alias("_late"), "record_index")
     merged = records.unionByName(mark("window_start", "window_start")).unionByName(mark("window_end", "window_end"))
     return prefix.ranked(merged, ["entity_id", "window_year"],
-                         F.unix_date(F.col("ts").cast("date")).cast("bigint"),
                          [F.col("ts"), F.col("_late"), F.col("record_index")], "position").drop("_late")
 
 

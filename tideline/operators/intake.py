@@ -25,7 +25,7 @@ def with_round(events: DataFrame) -> DataFrame:
     For attempts and rounds; results carry no entity of their own.
     """
     opened = F.when(F.col("kind") == "round", 1).otherwise(0).cast("bigint")
-    return prefix.prefix_sums(events, ["entity_id"], prefix.value_bucket(F.col("pos")), [F.col("pos")], {"rounds": opened}) \
+    return prefix.prefix_sums(events, ["entity_id"], [F.col("pos")], {"rounds": opened}) \
         .withColumnRenamed("rounds_before", "current_round")
 
 
@@ -37,7 +37,7 @@ def journal_violations(events: DataFrame) -> DataFrame:
     """
     kind = F.col("kind")
     attempts = events.where(kind == "attempt").withColumn("_all", F.lit(1))
-    numbered = prefix.ranked(attempts, ["_all"], prefix.value_bucket(F.col("pos"), 512), [F.col("pos")], "expected")
+    numbered = prefix.ranked(attempts, ["_all"], [F.col("pos")], "expected")
     gap = numbered.agg(F.lit("attempt_sequence").alias("rule"), F.count_if(F.col("sequence") != F.col("expected")).alias("violations"))
     per_round = count_violations(with_round(events.where(kind.isin("attempt", "round"))), {
         "round_sequence": (kind == "round") & (F.col("round") != F.col("current_round") + 1),
@@ -58,9 +58,8 @@ def journal_violations(events: DataFrame) -> DataFrame:
 def attempt_usage(events: DataFrame, per_key: int = 3, budget: int | None = None) -> DataFrame:
     """Number every attempt per (entity, endpoint, round) and overall; mark those over a cap."""
     attempts = events.where(F.col("kind") == "attempt").withColumn("_all", F.lit(1))
-    bucket = prefix.value_bucket(F.col("pos"), 512)
-    own = prefix.ranked(attempts, ["entity_id", "endpoint", "round"], bucket, [F.col("pos")], "use")
-    every = prefix.ranked(own, ["_all"], bucket, [F.col("pos")], "overall")
+    own = prefix.ranked(attempts, ["entity_id", "endpoint", "round"], [F.col("pos")], "use")
+    every = prefix.ranked(own, ["_all"], [F.col("pos")], "overall")
     over = (F.col("overall") > budget) if budget is not None else F.lit(False)
     return every.select("entity_id", "endpoint", "round", "pos", "use", "overall",
                         ((F.col("use") > per_key) | over).alias("over_cap"))

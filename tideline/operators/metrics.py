@@ -24,8 +24,7 @@ def score_counts(predictions: DataFrame, keys: Sequence[str], p: str = "p", actu
 
 def running(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Add true and false positives strictly above each distinct score."""
-    return prefix.prefix_sums(counts, keys, -prefix.value_bucket(F.col("p")), [F.desc("p")],
-                              {"pos": F.col("pos"), "neg": F.col("neg")})
+    return prefix.prefix_sums(counts, keys, [-F.col("p")], {"pos": F.col("pos"), "neg": F.col("neg")})
 
 
 def _ratio(num: Column, den: Column) -> Column:

@@ -120,11 +120,11 @@ def permutation_importance(fitted: Fitted, rows: DataFrame, label: str = "discou
         .withColumn("_all", F.lit(1)) \
         .withColumn("priority", F.sha2(F.concat_ws("|", F.lit(seed), "entity_id", "window_year"), 256))
     order = [F.col("priority"), F.col("entity_id"), F.col("window_year")]
-    numbered = durable(prefix.ranked(base, ["_all"], sampling.hash_bucket(), order, "i").drop("_all", "priority"))
+    numbered = durable(prefix.ranked(base, ["_all"], order, "i").drop("_all", "priority"))
     donors = numbered.select("i", F.posexplode("x").alias("f", "value")) \
         .select("*", F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("repeat")) \
         .withColumn("priority", F.sha2(F.concat_ws("|", F.lit(seed), "f", "repeat", "i"), 256))
-    shuffled = prefix.ranked(donors, ["f", "repeat"], sampling.hash_bucket(), [F.col("priority"), F.col("i")], "slot")
+    shuffled = prefix.ranked(donors, ["f", "repeat"], [F.col("priority"), F.col("i")], "slot")
     swaps = shuffled.groupBy(F.col("slot").alias("i")).agg(F.collect_list(F.struct("f", "repeat", "value")).alias("swaps"))
     replaced = numbered.join(swaps, "i").select("actual", "x", F.inline("swaps")).withColumn(
         "x", F.transform("x", lambda v, k: F.when(k == F.col("f"), F.col("value")).otherwise(v)))

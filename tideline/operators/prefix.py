@@ -1,9 +1,11 @@
 """Exact ordered computations that never put one whole group into one task.
 
-A plain window ordered over a group sorts that group in a single task. Here the order axis is cut
-into buckets by a monotone function of the order value. Bucket totals are pre-aggregated and
-running-summed (few rows per group); ranks inside a bucket are added on top. A group holding a
-third of all rows is thus spread over as many tasks as it has buckets, and results stay exact.
+A plain window ordered over a group sorts that group in a single task. Here the order axis of every
+large group is cut at quantiles of a sample of its own rows, so slots hold about equal numbers of rows
+whatever the values are: narrow ranges far from zero, infinities, or ties told apart by a later order column.
+Slot totals are pre-aggregated and running-summed (few rows per group); ranks inside a slot are added on top.
+A group holding a third of all rows is thus spread over as many tasks as a third of the partitions,
+and results stay exact wherever the cuts fall.
 """
 
 from __future__ import annotations
@@ -12,17 +14,45 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+SAMPLES = 64  # sampled rows for each slot: slot sizes vary by an eighth, twice the mean is far out
+NEAR = 16  # cuts are searched in two steps: every 16th one, then the 16 after it
 
-def value_bucket(value: Column, resolution: int = 64) -> Column:
-    """Monotone coarse bucket of a number: about 1 % wide at resolution 64; infinities and NaN have outer buckets.
 
-    Uses the logarithm of the magnitude, which is semi-monotonic by specification, so
-    ``a <= b`` implies ``value_bucket(a) <= value_bucket(b)``.
+def cut_points(rows: DataFrame, key: str, at: str) -> DataFrame:
+    """(key, cuts, coarse): ascending values of ``at`` that cut every large group into slots of about rows / partitions.
+
+    A group is large if it holds more than its share of a task. The sample is the rows with the smallest hashes of
+    (key, at), so parts merge, a re-run task samples the same rows, and equal rows count once. There are about as
+    many cuts as shuffle partitions in total, which bounds what the caller broadcasts.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sizes = rows.groupBy(key).agg(F.count("*").alias("_n"))
+    every = sizes.agg(F.sum("_n").alias("_n")).select("_n").scalar()
+    chance = F.shiftrightunsigned(F.xxhash64(key, at), 11) / F.lit(2.0 ** 53)
+    drawn = rows.where(chance * every < SAMPLES * parts).groupBy(key, at).agg(F.lit(1).alias("_one"))
+    large = drawn.join(sizes.where(F.col("_n") * parts > every), key)
+    own = W.partitionBy(key).orderBy(at)
+    cuts = large.withColumn("_r", F.row_number().over(own)).where(F.col("_r") % SAMPLES == 0) \
+        .groupBy(key).agg(F.sort_array(F.collect_list(at)).alias("cuts"))
+    return cuts.withColumn("coarse", F.filter("cuts", lambda _, i: i % NEAR == NEAR - 1))
+
+
+def with_slot(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str = "_slot") -> DataFrame:
+    """Add ``name``: (key, slot number), non-decreasing along the ascending ``order`` inside each key.
+
+    Null keys are a group of their own. Rows equal in every order column share a slot.
     """
-    v = value.cast("double")
-    magnitude = F.floor(F.log2(F.abs(v)) * resolution).cast("bigint") + 1100 * resolution
-    outer = F.lit(1 << 40)
-    return F.when(F.isnan(v), outer + 1).when(v == float("inf"), outer).when(v == float("-inf"), -outer).when(v == 0, F.lit(0).cast("bigint")).when(v > 0, magnitude).otherwise(-magnitude)
+    taken = {c.lower() for c in df.columns}
+    key, at, cuts, coarse, passed = (next(n for n in (c + "_" * i for i in range(len(taken) + 1)) if n not in taken)
+                                     for c in ("_key", "_at", "_cuts", "_coarse", "_passed"))
+    rows = df.withColumns({key: F.struct(*keys) if keys else F.struct(F.lit(1).alias("all")),
+                           at: F.struct(*[c.alias(f"c{i}") for i, c in enumerate(order)])})
+    found = cut_points(rows.select(key, at), key, at).withColumnsRenamed({"cuts": cuts, "coarse": coarse})
+    below = lambda points: F.size(F.filter(points, lambda c: c <= F.col(at)))
+    slot = F.col(passed) + below(F.slice(cuts, F.col(passed) + 1, NEAR))
+    return rows.join(F.broadcast(found), key, "left").withColumn(passed, below(F.col(coarse)) * NEAR) \
+        .withColumn(name, F.struct(F.col(key).alias("key"), F.when(F.col(cuts).isNull(), 0).otherwise(slot).alias("number"))) \
+        .select(*df.columns, name)
 
 
 def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -33,16 +63,14 @@ def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "
     return a.join(b, "_key", how).drop("_key")
 
 
-def prefix_sums(df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[Column],
-                measures: Mapping[str, Column]) -> DataFrame:
+def prefix_sums(df: DataFrame, keys: Sequence[str], order: Sequence[Column], measures: Mapping[str, Column]) -> DataFrame:
     """Add ``<name>_before``: the sum of each measure over earlier rows of the key.
 
-    ``bucket`` must be non-decreasing along ``order``; ``order`` must be total inside a bucket.
-    Key and bucket travel as one struct, so rows with null keys are kept as a group of their own.
+    ``order`` is ascending and must be total inside a key. Rows with null keys are kept as a group of their own.
     """
-    rows = df.withColumn("_slot", F.struct(F.struct(*keys).alias("key"), bucket.alias("bucket")))
+    rows = with_slot(df, keys, order)
     totals = rows.groupBy("_slot").agg(*[F.sum(m).alias(f"_t_{n}") for n, m in measures.items()])
-    earlier = W.partitionBy("_slot.key").orderBy("_slot.bucket").rowsBetween(W.unboundedPreceding, -1)
+    earlier = W.partitionBy("_slot.key").orderBy("_slot.number").rowsBetween(W.unboundedPreceding, -1)
     offsets = totals.select("_slot", *[
         F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_o_{n}") for n in measures])
     local = W.partitionBy("_slot").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
@@ -52,13 +80,26 @@ def prefix_sums(df: DataFrame, keys: Sequence[str], bucket: Column, order: Seque
           for n, m in measures.items()])
 
 
-def ranked(df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[Column],
-           name: str = "rank") -> DataFrame:
-    """Exact ``row_number`` per key (1-based) with the bucketed scheme."""
-    return (prefix_sums(df, keys, bucket, order, {"_one": F.lit(1).cast("bigint")})
+def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str = "rank") -> DataFrame:
+    """Exact ``row_number`` per key (1-based) along the ascending ``order``, from slot totals."""
+    return (prefix_sums(df, keys, order, {"_one": F.lit(1).cast("bigint")})
             .withColumn(name, F.col("_one_before") + 1).drop("_one_before"))
 
 
+def with_next(df: DataFrame, order: Sequence[Column], columns: Sequence[str], name: str = "next") -> DataFrame:
+    """Add ``name``: a struct of ``columns`` of the row that follows in the ascending ``order``; after the last, the first.
+
+    ``order`` must be total. A slot's last row takes the first row of the next slot, from one row per slot.
+    """
+    rows = with_slot(df, [], order).withColumn("_row", F.struct(*columns))
+    heads = rows.groupBy("_slot").agg(F.min_by("_row", F.struct(*order)).alias("_head"))
+    chain = W.orderBy("_slot.number")  # a few rows: one for each slot
+    first = F.first("_head").over(chain.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    after = heads.select("_slot", F.coalesce(F.lead("_head").over(chain), first).alias("_after"))
+    return rows.join(after, "_slot").select(
+        *df.columns, F.coalesce(F.lead("_row").over(W.partitionBy("_slot").orderBy(*order)), F.col("_after")).alias(name))
+
+
 def _constant_key(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
     return (df, list(keys)) if keys else (df.withColumn("_all", F.lit(1)), ["_all"])
 
@@ -74,7 +115,7 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str,
               fractions: Mapping[str, float]) -> DataFrame:
     """Exact linear-interpolation quantiles per key, one column per named fraction.
 
-    Distinct values are pre-aggregated; only buckets that contain
+    Distinct values are pre-aggregated; only slots that contain
     a wanted position are ranked.
     """
     src, ks = _constant_key(df, keys)
@@ -85,10 +126,10 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str,
 def quantiles_of_counts(counts: DataFrame, ks: Sequence[str],
                         fractions: Mapping[str, float]) -> DataFrame:
     """Quantiles of ``value`` rows that each stand for ``copies`` equal values."""
-    counts = counts.withColumn("_slot", F.struct(F.struct(*ks).alias("key"), value_bucket(F.col("value")).alias("bucket")))
+    counts = with_slot(counts, ks, [F.col("value")])
     per_bucket = counts.groupBy("_slot").agg(F.sum("copies").alias("_c"))
     key = W.partitionBy("_slot.key")
-    running = key.orderBy("_slot.bucket").rowsBetween(W.unboundedPreceding, -1)
+    running = key.orderBy("_slot.number").rowsBetween(W.unboundedPreceding, -1)
     placed = per_bucket.select(
         "_slot", "_c", F.coalesce(F.sum("_c").over(running), F.lit(0)).alias("_before"), F.sum("_c").over(key).alias("_n"))
     wanted = F.array(*[F.struct(F.lit(n).alias("_name"), F.lit(float(f)).alias("_f"))
@@ -98,7 +139,7 @@ def quantiles_of_counts(counts: DataFrame, ks: Sequence[str],
     spots = spots.withColumn("_k0", F.floor(pos)).withColumn("_w", pos - F.floor(pos)) \
         .withColumn("_k1", F.least(F.col("_k0") + 1, F.col("_n") - 1))
     covers = lambda k: (F.col("_before") <= k) & (k < F.col("_before") + F.col("_c"))
-    # At most two buckets per wanted fraction: the list below is bounded by the fractions.
+    # At most two slots per wanted fraction: the list below is bounded by the fractions.
     spots = spots.where(covers(F.col("_k0")) | covers(F.col("_k1"))).groupBy("_slot").agg(
         F.max("_before").alias("_before"),
         F.collect_list(F.struct("_name", "_k0", "_k1", "_w")).alias("_wanted"))
@@ -117,8 +158,7 @@ def quantiles_of_counts(counts: DataFrame, ks: Sequence[str],
 
 def average_ranks(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``value, copies`` rows with the tie-averaged rank of each distinct value."""
-    placed = prefix_sums(counts, keys, value_bucket(F.col("value")), [F.col("value")],
-                         {"copies": F.col("copies")})
+    placed = prefix_sums(counts, keys, [F.col("value")], {"copies": F.col("copies")})
     return placed.withColumn("rank", F.col("copies_before") + (F.col("copies") + 1) / F.lit(2.0)) \
         .drop("copies_before")
 

@@ -10,18 +10,13 @@ from tideline.functions import rules
 from tideline.operators import prefix
 
 
-def hash_bucket(digest: str = "priority") -> Column:
-    """First 16 bits of a hex digest: a monotone bucket for orders by that digest."""
-    return F.conv(F.substring(digest, 1, 4), 16, 10).cast("bigint")
-
-
 def with_priority(df: DataFrame, id_col: str = "entity_id", prefix_text: str = "42|") -> DataFrame:
     return df.withColumn("priority", rules.hash_priority(F.col(id_col), prefix_text))
 
 
 def rank_in_stratum(df: DataFrame, stratum: str, id_col: str = "entity_id") -> DataFrame:
-    """Exact rank by (priority, id) in each stratum, spread over hash buckets."""
-    return prefix.ranked(df, [stratum], hash_bucket(), [F.col("priority"), F.col(id_col)], "stratum_rank")
+    """Exact rank by (priority, id) in each stratum, spread over slots."""
+    return prefix.ranked(df, [stratum], [F.col("priority"), F.col(id_col)], "stratum_rank")
 
 
 def interleave(df: DataFrame, stratum: str, strata: Sequence[str]) -> DataFrame:
@@ -94,7 +89,7 @@ def capped_pick(df: DataFrame, quotas: DataFrame, stratum: Sequence[str], owner:
     """
     by_owner = W.partitionBy(owner).orderBy("priority", "entity_id")
     capped = df.withColumn("_o", F.row_number().over(by_owner)).where(F.col("_o") <= cap).drop("_o")
-    ranked = prefix.ranked(capped, list(stratum), hash_bucket(), [F.col("priority"), F.col("entity_id")], "pick")
+    ranked = prefix.ranked(capped, list(stratum), [F.col("priority"), F.col("entity_id")], "pick")
     return ranked.join(quotas, list(stratum)).where(F.col("pick") <= F.col("quota"))
 
 

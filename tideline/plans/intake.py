@@ -24,9 +24,9 @@ def journal(spark, d):
         F.col("event_id").alias("pos"), F.col("user_id").alias("entity_id"), kind.alias("kind"), F.lit(1).alias("all"),
         F.when(F.col("value") < 20, "lookup").otherwise("history").alias("endpoint"),
         F.when(F.col("event_type") == "purchase", 200).when(F.col("event_type") == "error", F.when(F.col("event_id") % 50 == 1, 999).otherwise(500)).alias("http_status"))
-    bucket, order = prefix.value_bucket(F.col("pos"), 512), [F.col("pos")]
-    counted = prefix.prefix_sums(rows, ["all"], bucket, order, {"attempts": F.when(F.col("kind") == "attempt", 1).otherwise(0).cast("bigint")})
-    counted = prefix.prefix_sums(counted, ["entity_id"], bucket, order, {"rounds": F.when(F.col("kind") == "round", 1).otherwise(0).cast("bigint")})
+    order = [F.col("pos")]
+    counted = prefix.prefix_sums(rows, ["all"], order, {"attempts": F.when(F.col("kind") == "attempt", 1).otherwise(0).cast("bigint")})
+    counted = prefix.prefix_sums(counted, ["entity_id"], order, {"rounds": F.when(F.col("kind") == "round", 1).otherwise(0).cast("bigint")})
     slip = F.when(F.col("pos") % 101 == 5, 1).otherwise(0)
     # The derived numbers are written once, as a real journal would hold them.
     return durable(counted.select(

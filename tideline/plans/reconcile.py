@@ -150,10 +150,9 @@ n AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, CASE WHEN o_cu
 SELECT o_orderkey, o.p AS old_position, n.p AS new_position FROM o JOIN n USING (o_orderkey) WHERE o.p <> n.p""")
 def moved_rows(spark, d):
     orders = b.table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate", F.lit(1).alias("all"))
-    day = F.unix_date(F.col("o_orderdate").cast("date")).cast("bigint")
     key = F.when(F.col("o_custkey") % 50 == 1, -F.col("o_orderkey")).otherwise(F.col("o_orderkey"))
-    old = prefix.ranked(orders, ["all"], day, [F.col("o_orderdate"), F.col("o_orderkey")], "p")
-    new = prefix.ranked(orders, ["all"], day, [F.col("o_orderdate"), key], "p")
+    old = prefix.ranked(orders, ["all"], [F.col("o_orderdate"), F.col("o_orderkey")], "p")
+    new = prefix.ranked(orders, ["all"], [F.col("o_orderdate"), key], "p")
     return reconcile.moved_rows(old, new, ["o_orderkey"], "p")
 
 
@@ -193,8 +192,7 @@ SELECT entity_id, window_year, category, row_number() OVER (ORDER BY entity_id,
 def canonical_order(spark, d):
     ev = evidence_of(spark, d) \
         .select("entity_id", "window_year", "category").withColumn("_all", F.lit(1))
-    return prefix.ranked(ev, ["_all"], prefix.value_bucket(F.col("entity_id"), 512),
-                         [F.col("entity_id"), F.col("window_year")], "position").drop("_all")
+    return prefix.ranked(ev, ["_all"], [F.col("entity_id"), F.col("window_year")], "position").drop("_all")
 
 
 @query("identical_duplicates", "A28", with_ctes(b.ALL_OBS, body="""
