@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tideline.llm import decontaminate, jaccard, mixing, pitman_yor, planes, quality, repetition, sampling, substrings, toxicity, urls
+from tideline.llm import (
+    decontaminate, fingerprints, jaccard, mixing, pitman_yor, planes, quality, repetition, sampling, spelling, substrings, toxicity, urls, vector_codes)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -131,3 +132,18 @@ def op1_soft_membership_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op7_bucket_pointer_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+@query(vector_codes.oracle())
+def op13_value_dictionary_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compressed(table(spark, sf_dir, "embeddings"))
+
+
+@query(spelling.oracle())
+def op11_trie_pair_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variant_groups(table(spark, sf_dir, "documents"))
+
+
+@query(fingerprints.oracle())
+def op12_bottom_k_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
