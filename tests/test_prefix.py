@@ -19,37 +19,38 @@ def hot_rows(n=3000, seed=5):
     return out
 
 
-def slot_sizes(df, keys, order):
-    rows = prefix.with_slot(df, keys, order).groupBy("_slot").count().collect()
-    return [r["count"] for r in rows], [(r["_slot"]["key"], r["_slot"]["number"]) for r in rows]
+@pytest.fixture
+def many_slots(spark):
+    """32 partitions that AQE leaves apart, although they are small."""
+    wanted = {"spark.sql.shuffle.partitions": "32", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    yield 32
+    for k, v in before.items():
+        spark.conf.set(k, v)
 
 
 @pytest.mark.parametrize("value", [
     "1000000000000 + id", "7", "IF(id % 2 = 0, double('infinity'), IF(id % 3 = 0, double('-infinity'), 0.0))", "pow(2.0, id % 1000)", "CAST(NULL AS INT)"])
-def test_no_slot_exceeds_three_times_its_share(spark, value):
-    n, parts = 200_000, 32
-    before = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", parts)
-    try:
-        df = spark.range(n).selectExpr("id", "IF(id % 3 = 0, 'hot', CAST(id % 5000 AS STRING)) AS g", f"{value} AS v")
-        for keys in ([], ["g"]):
-            sizes, slots = slot_sizes(df, keys, [F.col("v"), F.col("id")])
-            assert sum(sizes) == n and len(slots) == len(set(slots))
-            assert max(sizes) <= 3 * n / parts
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", before)
-
-
-def test_slots_rise_along_the_order(spark):
+def test_no_slot_exceeds_three_times_its_share(spark, many_slots, value):
+    n = 100_000
+    df = spark.range(n).selectExpr("id", "IF(id % 3 = 0, 'hot', CAST(id % 5000 AS STRING)) AS g", f"{value} AS v")
+    for keys in ([], ["g"]):
+        rows = prefix.with_slot(df, keys, [F.col("v"), F.col("id")]).groupBy("_slot.number").count().collect()
+        assert sum(r["count"] for r in rows) == n and max(r["count"] for r in rows) <= 3 * n / many_slots
+
+
+def test_slots_rise_along_the_order(spark, many_slots):
     values = sorted({v for _, _, v in hot_rows()} | {float("-inf"), -1e300, -5e-324, 5e-324, 1e300, float("inf")}) + [float("nan")]
     df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
     rows = prefix.with_slot(df, [], [F.col("v")]).orderBy("i").collect()
     got = [r["_slot"]["number"] for r in rows]
-    assert got == sorted(got) and got[-1] > 0
+    assert got == sorted(got) and len(set(got)) > 20
     assert prefix.with_slot(df.where("false"), [], [F.col("v")]).count() == 0
 
 
-def test_with_next_goes_round(spark):
+def test_with_next_goes_round(spark, many_slots):
     r = random.Random(2)
     keys = r.sample(range(10**12, 10**12 + 10**6), 500) + [None]
     df = spark.createDataFrame([(k, f"t{k}") for k in keys], "k long, t string")
@@ -60,7 +61,7 @@ def test_with_next_goes_round(spark):
     assert one["next"]["k"] == one["k"]
 
 
-def test_ranked_equals_row_number(spark):
+def test_ranked_equals_row_number(spark, many_slots):
     rows = hot_rows()
     df = spark.createDataFrame(rows, "g string, i int, v double")
     got = prefix.ranked(df, ["g"], [F.col("v"), F.col("i")]).collect()
@@ -86,7 +87,7 @@ def quantile(values, f):
     return v[lo] + (v[min(lo + 1, len(v) - 1)] - v[lo]) * (pos - lo)
 
 
-def test_quantiles_equal_brute_force(spark):
+def test_quantiles_equal_brute_force(spark, many_slots):
     rows = hot_rows()
     df = spark.createDataFrame(rows + [("hot", -1, None)], "g string, i int, v double")
     fr = {"a": 0.0, "b": .1, "c": .5, "d": .95, "e": 1.0}

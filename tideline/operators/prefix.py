@@ -1,7 +1,7 @@
 """Exact ordered computations that never put one whole group into one task.
 
-A plain window ordered over a group sorts that group in a single task. Here the order axis of every
-large group is cut at quantiles of a sample of its own rows, so slots hold about equal numbers of rows
+A plain window ordered over a group sorts that group in a single task. Here the order axis is cut at
+quantiles of a sample of the rows, so slots hold about equal numbers of rows
 whatever the values are: narrow ranges far from zero, infinities, or ties told apart by a later order column.
 Slot totals are pre-aggregated and running-summed (few rows per group); ranks inside a slot are added on top.
 A group holding a third of all rows is thus spread over as many tasks as a third of the partitions,
@@ -14,45 +14,18 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-SAMPLES = 64  # sampled rows for each slot: slot sizes vary by an eighth, twice the mean is far out
-NEAR = 16  # cuts are searched in two steps: every 16th one, then the 16 after it
-
-
-def cut_points(rows: DataFrame, key: str, at: str) -> DataFrame:
-    """(key, cuts, coarse): ascending values of ``at`` that cut every large group into slots of about rows / partitions.
-
-    A group is large if it holds more than its share of a task. The sample is the rows with the smallest hashes of
-    (key, at), so parts merge, a re-run task samples the same rows, and equal rows count once. There are about as
-    many cuts as shuffle partitions in total, which bounds what the caller broadcasts.
-    """
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sizes = rows.groupBy(key).agg(F.count("*").alias("_n"))
-    every = sizes.agg(F.sum("_n").alias("_n")).select("_n").scalar()
-    chance = F.shiftrightunsigned(F.xxhash64(key, at), 11) / F.lit(2.0 ** 53)
-    drawn = rows.where(chance * every < SAMPLES * parts).groupBy(key, at).agg(F.lit(1).alias("_one"))
-    large = drawn.join(sizes.where(F.col("_n") * parts > every), key)
-    own = W.partitionBy(key).orderBy(at)
-    cuts = large.withColumn("_r", F.row_number().over(own)).where(F.col("_r") % SAMPLES == 0) \
-        .groupBy(key).agg(F.sort_array(F.collect_list(at)).alias("cuts"))
-    return cuts.withColumn("coarse", F.filter("cuts", lambda _, i: i % NEAR == NEAR - 1))
-
+from tideline.session import durable
 
 def with_slot(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str = "_slot") -> DataFrame:
-    """Add ``name``: (key, slot number), non-decreasing along the ascending ``order`` inside each key.
+    """Add ``name``: (key, slot number), where slot numbers rise along the ascending ``order`` inside each key.
 
-    Null keys are a group of their own. Rows equal in every order column share a slot.
+    Range partitioning cuts the axis (keys, order) at quantiles of a sample of these rows, so a slot holds some rows /
+    ``spark.sql.shuffle.partitions`` of them at most, or what AQE takes for one small partition. The rows are written with their slots:
+    every reader, a re-run task included, sees the same cuts. Null keys are a group of their own. Rows equal in all order columns share a slot.
     """
-    taken = {c.lower() for c in df.columns}
-    key, at, cuts, coarse, passed = (next(n for n in (c + "_" * i for i in range(len(taken) + 1)) if n not in taken)
-                                     for c in ("_key", "_at", "_cuts", "_coarse", "_passed"))
-    rows = df.withColumns({key: F.struct(*keys) if keys else F.struct(F.lit(1).alias("all")),
-                           at: F.struct(*[c.alias(f"c{i}") for i, c in enumerate(order)])})
-    found = cut_points(rows.select(key, at), key, at).withColumnsRenamed({"cuts": cuts, "coarse": coarse})
-    below = lambda points: F.size(F.filter(points, lambda c: c <= F.col(at)))
-    slot = F.col(passed) + below(F.slice(cuts, F.col(passed) + 1, NEAR))
-    return rows.join(F.broadcast(found), key, "left").withColumn(passed, below(F.col(coarse)) * NEAR) \
-        .withColumn(name, F.struct(F.col(key).alias("key"), F.when(F.col(cuts).isNull(), 0).otherwise(slot).alias("number"))) \
-        .select(*df.columns, name)
+    key = F.struct(*keys) if keys else F.struct(F.lit(1).alias("all"))
+    cut = df.repartitionByRange(*[F.col(k) for k in keys], *order)
+    return durable(cut.withColumn(name, F.struct(key.alias("key"), F.spark_partition_id().alias("number"))))
 
 
 def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
