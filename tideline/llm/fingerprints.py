@@ -38,7 +38,8 @@ def shingles(text: Column, k: int = WORDS) -> Column:
     words = F.filter(F.split(F.coalesce(text, F.lit("")), SEPARATORS), lambda w: w != "")
     none = F.array().cast("array<string>")
     return let(words, lambda w: F.when(F.size(w) == 0, none).when(F.size(w) < k, F.array(F.array_join(w, " "))).otherwise(
-        F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (k - 1), F.lit(1))), lambda i: F.array_join(F.slice(w, i, k), " "))))
+        # Single elements are read in place; a slice would copy the whole array for every window.
+        F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - k, F.lit(0))), lambda i: F.concat_ws(" ", *[F.get(w, i + j) for j in range(k)]))))
 
 
 def bottom(hashes: Column, k: int = K) -> Column:
