@@ -32,7 +32,7 @@ def obs(spark, rows):
 
 
 def entities(spark, rows):
-    return spark.createDataFrame([(i, d) for i, d in rows], "entity_id bigint, release_date date")
+    return spark.createDataFrame([(i, d, "valid") for i, d in rows], "entity_id bigint, release_date date, history_status string")
 
 
 def one(df, **match):

@@ -58,10 +58,13 @@ def inside_counts(observations: DataFrame, calendar: Calendar) -> DataFrame:
 
 
 def history_status(entities: DataFrame) -> Column:
-    """Status of an entity's history: its column ``history_status`` (null: absent), or valid for all without one."""
-    if "history_status" in entities.columns:
-        return F.coalesce("history_status", F.lit("absent"))
-    return F.lit("valid")
+    """Status of an entity's history, from the required column ``history_status`` (null: absent).
+
+    Without it nothing is known about unread histories; ``sources.history.with_history_status`` derives it from the documents.
+    """
+    if "history_status" not in entities.columns:
+        raise ValueError("entities need the column history_status")
+    return F.coalesce("history_status", F.lit("absent"))
 
 
 def direct_evidence(entities: DataFrame, observations: DataFrame, calendar: Calendar) -> DataFrame:
@@ -98,13 +101,16 @@ def state_name(code: Column) -> Column:
             .when(code == 3, "ambiguous").otherwise("missing"))
 
 
-def segment_summary(observations: DataFrame, calendar: Calendar) -> DataFrame:
-    """Per entity and elementary time segment; every later step works on these few rows."""
-    per_instant = obs_ops.instants(observations)
+def segment_summary(observations: DataFrame, calendar: Calendar, *tags: str) -> DataFrame:
+    """Per entity and elementary time segment (and tag columns); every later step works on these few rows.
+
+    Written once (``session.durable``), it can serve context, features and labels with one scan of the records.
+    """
+    per_instant = obs_ops.instants(observations, *tags)
     valid_ts = F.when(F.col("n_discount") + F.col("n_full") > 0, F.col("ts"))
     state = _state_code()
     return per_instant.withColumn("segment", calendar.segment(F.col("ts"))) \
-        .groupBy("entity_id", "segment").agg(
+        .groupBy("entity_id", "segment", *tags).agg(
             *[F.sum(c).alias(c) for c in ("n", "n_discount", "n_full", "n_ambiguous", "n_null_deal")],
             F.count_if("conflict").alias("n_conflicts"),
             F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"),
@@ -134,19 +140,20 @@ def entity_segments(entities: DataFrame, segments: DataFrame, calendar: Calendar
     Entity rows join the stream as a marker segment instead of through a join, and the shuffle
     happens before the per-window expansion, so it moves one short row set per entity.
     """
-    markers = entities.select("entity_id", F.lit(-1).alias("segment"),
-                              F.lit(True).alias("known"), "release_date", history_status(entities).alias("history_status"))
+    markers = entities.select("entity_id", F.lit(-1).alias("segment"), F.lit(True).alias("known"), "release_date",
+                              *[c for c in ("history_status",) if c in entities.columns])
     both = segments.unionByName(markers, allowMissingColumns=True).repartition("entity_id")
     return calendar.each_window(both, segments=True)
 
 
-def pair_context(entities: DataFrame, observations: DataFrame, calendar: Calendar) -> DataFrame:
+def pair_context(entities: DataFrame, observations: DataFrame | None, calendar: Calendar, segments: DataFrame | None = None) -> DataFrame:
     """Per entity and window: counts on each side, nearest state before and after, gaps.
 
     The category is blank when the window is not eligible or the history not valid, as in ``direct_evidence``.
+    ``segments`` is a ready ``segment_summary`` of the observations.
     """
-    segments = segment_summary(observations, calendar)
-    rows = entity_segments(entities, segments, calendar)
+    segments = segment_summary(observations, calendar) if segments is None else segments
+    rows = entity_segments(entities.withColumn("history_status", history_status(entities)), segments, calendar)
     seg, first, last = F.col("segment"), F.col("first_segment"), F.col("last_segment")
     real = seg >= 0
     on = {"before": real & (seg < first), "inside": (seg >= first) & (seg <= last),
@@ -180,6 +187,11 @@ def pair_context(entities: DataFrame, observations: DataFrame, calendar: Calenda
         rules.gap_days(F.col("pre_ts"), F.col("post_ts")).alias("surrounding_days")).drop("_history")
 
 
+def history_conflict_counts(segments: DataFrame) -> DataFrame:
+    """(entity_id, history_conflicts) of entities with same-time conflicts, from a segment summary."""
+    return segments.groupBy("entity_id").agg(F.sum("n_conflicts").alias("history_conflicts")).where("history_conflicts > 0")
+
+
 def nearest_records(observations: DataFrame, context: DataFrame) -> DataFrame:
     """All tied nearest records before and after, long form with the representative marked.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -30,14 +30,13 @@ def static_features(release: Column, start_date: Column) -> list[Column]:
             (release == start_date).cast("int").alias("audit_release_hour_uncertain")]
 
 
-def prior_summary(entities: DataFrame, observations: DataFrame, calendar: Calendar) -> DataFrame:
-    """Everything known strictly before each window start, per entity and window."""
-    rows = entity_segments(entities, segment_summary(observations, calendar), calendar)
+def prior_summary(rows: DataFrame, *versions: str) -> DataFrame:
+    """Everything known strictly before each window start, per entity and window (and version), from ``entity_segments``."""
     prior = (F.col("segment") >= 0) & (F.col("segment") < F.col("first_segment"))
     p = lambda c: F.when(prior, F.col(c))
     total = lambda c: F.coalesce(F.sum(p(c)), F.lit(0))
     latest = lambda c: F.max_by(p(c), p("valid_ts"))
-    return rows.groupBy("entity_id", "window_year", "start_date", "window_start").agg(
+    return rows.groupBy("entity_id", "window_year", "start_date", "window_start", *versions).agg(
         F.max("known").alias("known"), F.max("release_date").alias("release_date"),
         total("n").alias("prior_n"), (total("n_discount") + total("n_full")).alias("valid_n"),
         total("n_discount").alias("discount_n"), total("n_null_deal").alias("null_deal_n"),
@@ -58,11 +57,19 @@ def money_issue(home_currency: str = "USD") -> Column:
             .when(F.col("valid_conflict"), "conflicting_latest_timestamp"))
 
 
-def features(entities: DataFrame, observations: DataFrame, calendar: Calendar, *,
-             home_currency: str = "USD", with_diagnostics: bool = False) -> DataFrame:
-    """Feature rows for every eligible entity and window; nulls are never filled."""
-    rows = prior_summary(entities, observations, calendar)
-    rows = rows.where(F.col("release_date") <= F.col("start_date")) \
+def features(entities: DataFrame, observations: DataFrame | None, calendar: Calendar, *,
+             home_currency: str = "USD", with_diagnostics: bool = False, segments: DataFrame | None = None) -> DataFrame:
+    """Feature rows for every eligible entity and window; nulls are never filled.
+
+    ``segments`` is a ready ``segment_summary`` of the observations.
+    """
+    segments = segment_summary(observations, calendar) if segments is None else segments
+    return feature_rows(prior_summary(entity_segments(entities, segments, calendar)), home_currency, with_diagnostics)
+
+
+def feature_rows(prior: DataFrame, home_currency: str = "USD", with_diagnostics: bool = False, keep: Sequence[str] = ()) -> DataFrame:
+    """Features from ``prior_summary`` rows, with the ``keep`` columns."""
+    rows = prior.where(F.col("release_date") <= F.col("start_date")) \
         .withColumn("money_issue", money_issue(home_currency))
     n, d, cutoff = F.col("valid_n"), F.col("discount_n"), F.col("window_start")
     has = n > 0
@@ -85,7 +92,7 @@ def features(entities: DataFrame, observations: DataFrame, calendar: Calendar, *
         F.col("null_deal_n").alias("prior_null_deal_count"),
         F.col("conflict_n").alias("prior_conflict_groups"),
         F.col("valid_conflict").alias("latest_valid_conflict")]
-    return rows.select("entity_id", "window_year", cutoff.alias("prediction_cutoff"),
+    return rows.select("entity_id", "window_year", *keep, cutoff.alias("prediction_cutoff"),
                        *static, *price, uncertain, *extra)
 
 
@@ -157,14 +164,30 @@ def differing_rows(left: DataFrame, right: DataFrame, keys=("entity_id", "window
     return compare_versions(left, right, keys).where("changed").drop("changed")
 
 
-def _per_window(calendar: Calendar, compared) -> DataFrame:
-    parts = [compared(w).agg(F.lit(w.year).alias("window_year"), F.count("*").alias("compared_rows"),
-                             F.count_if("changed").alias("changed_rows")) for w in calendar.windows]
-    return reduce(DataFrame.unionByName, parts)
+def in_versions(rows: DataFrame, versions: Mapping[str, Column]) -> DataFrame:
+    """Every row once for each version whose condition holds for it, with the version's name."""
+    names = F.array_compact(F.array(*[F.when(F.coalesce(holds, F.lit(False)), name) for name, holds in versions.items()]))
+    return rows.withColumn("version", F.explode(names))
+
+
+def version_differences(rows: DataFrame, versions: Mapping[str, Column]) -> DataFrame:
+    """(entity_id, window_year, changed): whether the features of two versions of the records differ.
+
+    ``rows`` are ``entity_segments``; a version keeps those where its condition holds. Both versions are aggregated in the same
+    pass, so the records are read once, whatever the number of windows.
+    """
+    found = feature_rows(prior_summary(in_versions(rows, versions), "version"), keep=("version",))
+    value = F.struct(*[c for c in found.columns if c not in ("entity_id", "window_year", "version")])
+    one, other = [F.max(F.when(F.col("version") == name, value)) for name in versions]
+    return found.groupBy("entity_id", "window_year").agg((~one.eqNullSafe(other)).alias("changed"))
+
+
+def _per_window(changes: DataFrame) -> DataFrame:
+    return changes.groupBy("window_year").agg(F.count("*").alias("compared_rows"), F.count_if("changed").alias("changed_rows"))
 
 
 def boundary_probe(entities: DataFrame, calendar: Calendar, like: DataFrame, shop_id: int) -> DataFrame:
-    """One synthetic discount exactly at each window start for every entity."""
+    """One synthetic discount exactly at each window start for every entity, with the window as ``probe``."""
     rows = calendar.each_window(entities.select("entity_id"))
     probe = rows.select(
         "entity_id", F.lit(-1).cast("bigint").alias("record_index"), F.col("window_start").alias("ts"),
@@ -173,30 +196,30 @@ def boundary_probe(entities: DataFrame, calendar: Calendar, like: DataFrame, sho
         F.lit(100).cast("bigint").alias("price_amount_int"), F.lit("USD").alias("price_currency"),
         F.lit(100.0).alias("regular"), F.lit(10000).cast("bigint").alias("regular_amount_int"),
         F.lit("USD").alias("regular_currency"), F.lit(99.0).alias("cut"),
-        F.lit("discount").alias("kind"), F.lit(None).cast("string").alias("issue"))
-    return like.unionByName(probe.select(*[F.col(c).cast(t) for c, t in like.dtypes]))
+        F.lit("discount").alias("kind"), F.lit(None).cast("string").alias("issue"), F.col("window_year").alias("probe"))
+    return probe.select(*[F.col(c).cast(t) for c, t in like.dtypes], "probe")
 
 
 def future_removal_differences(entities: DataFrame, observations: DataFrame,
                                calendar: Calendar) -> DataFrame:
-    """Per window: rows whose features change when records at or after the cutoff are removed."""
-    full = features(entities, observations, calendar)
-    return _per_window(calendar, lambda w: compare_versions(
-        full.where(F.col("window_year") == w.year),
-        features(entities, observations.where(F.col("ts") < _ntz(w.start)), calendar.only(w.year))))
+    """Per window: rows whose features change when records at or after the cutoff are removed.
+
+    A window start is an edge of the segments, so the shorter version is a choice of segment rows.
+    """
+    rows = entity_segments(entities, segment_summary(observations, calendar), calendar)
+    return _per_window(version_differences(rows, {"all": F.lit(True), "before": F.col("segment") < F.col("first_segment")}))
 
 
 def boundary_insertion_differences(entities: DataFrame, observations: DataFrame,
                                    calendar: Calendar, shop_id: int) -> DataFrame:
-    """Per window: rows whose features change when a discount is added exactly at the cutoff."""
-    full = features(entities, observations, calendar)
-
-    def compared(w):
-        only = calendar.only(w.year)
-        return compare_versions(full.where(F.col("window_year") == w.year), features(
-            entities, boundary_probe(entities, only, observations, shop_id), only))
+    """Per window: rows whose features change when a discount is added exactly at the cutoff.
 
-    return _per_window(calendar, compared)
+    Probes join the records before the one aggregation and stay apart from them by their tag.
+    """
+    tagged = observations.withColumn("probe", F.lit(None).cast("int")).unionByName(boundary_probe(entities, calendar, observations, shop_id))
+    rows = entity_segments(entities, segment_summary(tagged, calendar, "probe"), calendar)
+    own = F.col("probe").isNull()
+    return _per_window(version_differences(rows, {"plain": own, "probed": own | (F.col("probe") == F.col("window_year"))}))
 
 
 def lineage(entities: DataFrame, observations: DataFrame, calendar: Calendar) -> DataFrame:
@@ -224,13 +247,15 @@ def lineage_summary(entities: DataFrame, observations: DataFrame, calendar: Cale
 
 def old_filter_impact(entities: DataFrame, observations: DataFrame, calendar: Calendar,
                       older_cutoff: Column) -> DataFrame:
-    """Entities whose features change under an older record filter, and records left out."""
-    w = calendar.windows[-1]
-    only = calendar.only(w.year)
-    changed = differing_rows(features(entities, observations, only),
-                             features(entities, observations.where(F.col("ts") < older_cutoff), only))
-    sides = tag_records(observations, only).agg(
-        F.count_if(F.col("side") == "inside").alias("in_window_records"),
-        F.count_if(F.col("side") == "after").alias("after_window_records"),
-        F.count_if(F.col("side") != "before").alias("excluded_records"))
-    return sides.select(changed.agg(F.count("*")).scalar().alias("changed_entities"), "*")
+    """Entities whose features change under an older record filter, and records left out, from one scan of the records."""
+    only = calendar.only(calendar.windows[-1].year)
+    segments = segment_summary(observations.withColumn("older", F.col("ts") < older_cutoff), only, "older")
+    rows = entity_segments(entities, segments, only)
+    marker = F.col("segment") < 0
+    changed = version_differences(rows, {"all": F.lit(True), "older": marker | F.col("older")})
+    inside = (F.col("segment") >= F.col("first_segment")) & (F.col("segment") <= F.col("last_segment"))
+    count = lambda holds, name: F.coalesce(F.sum(F.when(holds, F.col("n"))), F.lit(0)).alias(name)
+    sides = only.each_window(segments, segments=True).agg(
+        count(inside, "in_window_records"), count(F.col("segment") > F.col("last_segment"), "after_window_records"),
+        count(F.col("segment") >= F.col("first_segment"), "excluded_records"))
+    return sides.select(changed.agg(F.count_if("changed")).scalar().alias("changed_entities"), "*")

@@ -163,6 +163,63 @@ def ledger_violations(ledger: DataFrame, pairs: DataFrame, windows: Calendar, en
     return own.unionByName(bad_reuse).unionByName(dup).unionByName(stray).unionByName(bare)
 
 
+# What a reviewer may say about a conflict, and the one kind of coverage that can prove an absence.
+CONFLICTS = ("YES", "NO", "NOT_ASSESSABLE")
+COMPLETE = "continuous_documented_complete"
+
+
+def _scoped() -> Column:
+    """A claim names shop, currency, region and purchase scope, and can be verified independently."""
+    c = F.col
+    return F.coalesce(c("store_explicit") & c("verifiable"), F.lit(False)) & c("currency").isNotNull() & c("region").isNotNull() & c("purchase_scope").isNotNull()
+
+
+def _documented() -> Column:
+    """Coverage of the complete kind, with a document and a proof."""
+    c = F.col
+    return F.coalesce((c("coverage_kind") == COMPLETE) & c("completeness_url").startswith("https://") & (F.trim("coverage_proof") != ""), F.lit(False))
+
+
+def ledger_provenance_violations(ledger: DataFrame, sources: DataFrame) -> DataFrame:
+    """Rules on where reviewed evidence comes from and what a claim must bring along, one row per rule.
+
+    Besides the columns of ``ledger_violations``: ``source_id``, known to ``sources``; ``conflict``; ``store_explicit, verifiable, purchase_scope``;
+    and for absences ``coverage_kind, completeness_url, coverage_proof``.
+    """
+    c = F.col
+    own = count_violations(ledger, {
+        "conflict_value": ~c("conflict").isin(*CONFLICTS),
+        "conflict_without_observation": ~c("observation_available") & (c("conflict") != "NOT_ASSESSABLE"),
+        "verified_without_observation": ~c("observation_available") & (F.coalesce("verifiable", F.lit(False)) | F.coalesce("store_explicit", F.lit(False)) | c("purchase_scope").isNotNull()),
+        "discount_scope": c("supports_discount") & ~_scoped(),
+        "absence_scope": c("supports_absence") & ~_scoped(),
+        "absence_documentation": c("supports_absence") & ~_documented()})
+    named = sources.groupBy("source_id").agg(F.count("*").alias("_n"))
+    count = lambda rows, name: rows.agg(F.lit(name).alias("rule"), F.count("*").alias("violations"))
+    return own.unionByName(count(ledger.join(named, "source_id", "left_anti"), "unknown_source")).unionByName(count(named.where("_n > 1"), "repeated_source"))
+
+
+def absence_coverage(ledger: DataFrame, windows: Calendar, end: Column) -> DataFrame:
+    """(entity_id, window_year, covered, first_gap): whether a pair's documented intervals together cover its whole window.
+
+    Only scoped and documented absence claims that end by ``end`` count, clipped to the half-open window. Openings and closings are summed for each time and
+    running sums over times (``prefix.prefix_sums``) give how many intervals are open after it, so a pair with a third of
+    all rows is no single task. A time without an open interval begins a gap; pairs without a usable claim are uncovered from the window's start.
+    """
+    c, pair = F.col, ["entity_id", "window_year"]
+    claims = ledger.where("supports_absence").withColumn("w", F.filter(windows.literal_array(), lambda w: w["window_year"] == c("window_year"))[0]).where("w IS NOT NULL")
+    usable = F.coalesce(_scoped() & _documented() & (c("coverage_end") <= end), F.lit(False))
+    start, stop = F.greatest("coverage_start", "w.window_start"), F.least("coverage_end", "w.window_end")
+    times = claims.where(usable).select(*pair, start.alias("a"), stop.alias("z")).where("a < z").select(
+        *pair, F.inline(F.array(F.struct(c("a").alias("t"), F.lit(1).alias("step")), F.struct(c("z").alias("t"), F.lit(-1).alias("step")))))
+    steps = times.groupBy(*pair, "t").agg(F.sum("step").alias("step"))
+    depth = prefix.prefix_sums(steps, pair, [c("t")], {"open": c("step")})
+    found = depth.groupBy(*pair).agg(F.min("t").alias("first"), F.min(F.when(c("open_before") + c("step") == 0, c("t"))).alias("closed"))
+    all_pairs = claims.groupBy(*pair).agg(F.min("w.window_start").alias("begin"), F.min("w.window_end").alias("stop"))
+    gap = F.when(c("first").isNull() | (c("first") > c("begin")), c("begin")).when(c("closed") < c("stop"), c("closed"))
+    return all_pairs.join(found, pair, "left").select(*pair, gap.isNull().alias("covered"), gap.alias("first_gap"))
+
+
 def ledger_summary(ledger: DataFrame, pairs: DataFrame) -> DataFrame:
     """Pair counts by what the ledger holds for them; one row per pair is enough to count."""
     key = ["entity_id", "window_year"]

@@ -101,8 +101,8 @@ def with_state(observations: DataFrame) -> DataFrame:
     return observations.select("*", state_hash(1).alias("state_a"), state_hash(2).alias("state_b"))
 
 
-def instants(observations: DataFrame) -> DataFrame:
-    """One row per entity and timestamp; the only shuffle that carries every observation.
+def instants(observations: DataFrame, *tags: str) -> DataFrame:
+    """One row per entity and timestamp (and tag columns); the only shuffle that carries every observation.
 
     All buffers are fixed-width, so this is a hash aggregate with map-side combining: a hot
     entity spreads over its timestamps and a hot timestamp collapses before the shuffle.
@@ -114,7 +114,7 @@ def instants(observations: DataFrame) -> DataFrame:
     rows = with_state(observations)
     differ = lambda cond: (F.min(F.when(cond, F.col("state_a"))) != F.max(F.when(cond, F.col("state_a")))) \
         | (F.min(F.when(cond, F.col("state_b"))) != F.max(F.when(cond, F.col("state_b"))))
-    return rows.groupBy("entity_id", "ts").agg(
+    return rows.groupBy("entity_id", "ts", *tags).agg(
         F.count("*").alias("n"), F.count_if(discount).alias("n_discount"),
         F.count_if(kind == "full_price").alias("n_full"),
         F.count_if(kind == "ambiguous").alias("n_ambiguous"),

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
+
+from tideline.operators.evidence import inside_records
+from tideline.operators.windows import Calendar
 
 
 def key_reconciliation(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -63,6 +66,61 @@ def saved_mismatches(saved: DataFrame, recomputed: DataFrame, keys: Sequence[str
     return rows.select(*keys, F.inline(cells))
 
 
+def _defect(name: str, holds: Column, saved: Column | None = None, recomputed: Column | None = None) -> Column:
+    text = lambda c: F.lit(None).cast("string") if c is None else c.cast("string")
+    return F.when(F.coalesce(holds, F.lit(False)), F.struct(F.lit(name).alias("defect"), text(saved).alias("saved"), text(recomputed).alias("recomputed")))
+
+
+def record_mismatches(saved: DataFrame, observations: DataFrame, calendar: Calendar, fields: Sequence[str]) -> DataFrame:
+    """Every way in which saved in-window records differ from the records they claim to be, one row per record and defect.
+
+    ``saved`` has ``entity_id, window_year, record_index, ts`` and ``fields``; ``observations`` the same without the window, one row for
+    each record index of an entity. Defects: ``not_in_history`` (no record has that index), ``field:<name>`` (a value or the time differs),
+    ``outside_window`` (the saved time is not in the half-open window, or the year has none), ``repeated`` (the window holds the index more than
+    once) and ``missing`` (a record of the window was not saved). Without defects the saved indexes are exactly the window's, as a multiset.
+    """
+    c, key = F.col, ["entity_id", "window_year", "record_index"]
+    window = F.filter(calendar.literal_array(), lambda w: w["window_year"] == c("window_year"))[0]
+    names = ["ts", *fields]
+    raw = observations.select("entity_id", "record_index", F.struct(*names).alias("_raw"))
+    rows = saved.select(*key, *names).withColumn("_w", window).join(raw, ["entity_id", "record_index"], "left")
+    inside = (c("ts") >= c("_w.window_start")) & (c("ts") < c("_w.window_end"))
+    found = rows.select(*key, F.inline(F.array_compact(F.array(
+        _defect("not_in_history", c("_raw").isNull()), _defect("outside_window", ~F.coalesce(inside, F.lit(False)), c("ts")),
+        *[_defect(f"field:{n}", c("_raw").isNotNull() & ~c(n).eqNullSafe(c(f"_raw.{n}")), c(n), c(f"_raw.{n}")) for n in names]))))
+    none = F.lit(None).cast("string")
+    repeated = saved.groupBy(*key).agg(F.count("*").alias("_n")).where("_n > 1").select(
+        *key, F.lit("repeated").alias("defect"), c("_n").cast("string").alias("saved"), F.lit("1").alias("recomputed"))
+    missing = inside_records(observations, calendar).select(*key).join(saved.select(*key).distinct(), key, "left_anti").select(
+        *key, F.lit("missing").alias("defect"), none.alias("saved"), none.alias("recomputed"))
+    return found.unionByName(repeated).unionByName(missing)
+
+
+def lineage_mismatches(saved: DataFrame, used: DataFrame, saved_features: DataFrame, features: DataFrame) -> DataFrame:
+    """Pairs whose saved record indexes or last values are not those of the records: counts of indexes and a flag each.
+
+    ``saved`` and ``used`` hold ``entity_id, window_year, record_index`` of the records that a feature row rests on, as saved and as found
+    again; both are compared as multisets. The feature tables hold ``prior_price_record_count`` and ``last_observed_price``: the saved count must be
+    the number of indexes found, and the saved price (or its absence) that of the last record before the cutoff.
+    """
+    c, pair = F.col, ["entity_id", "window_year"]
+    one = lambda df, s, u: df.select(*pair, "record_index", F.lit(s).alias("_s"), F.lit(u).alias("_u"))
+    per_index = one(saved, 1, 0).unionByName(one(used, 0, 1)).groupBy(*pair, "record_index").agg(F.sum("_s").alias("_s"), F.sum("_u").alias("_u"))
+    counts = per_index.groupBy(*pair).agg(
+        F.sum(F.greatest(c("_u") - c("_s"), F.lit(0))).alias("missing_indexes"), F.sum(F.greatest(c("_s") - c("_u"), F.lit(0))).alias("extra_indexes"),
+        F.sum("_u").alias("_n"))
+    cols = ("prior_price_record_count", "last_observed_price")
+    rows = saved_features.select(*pair, *[c(x).alias(f"_saved_{x}") for x in cols], F.lit(True).alias("_in_saved")) \
+        .join(features.select(*pair, c(cols[1]), F.lit(True).alias("_in_found")), pair, "full_outer").join(counts, pair, "left")
+    zero = lambda x: F.coalesce(c(x), F.lit(0)).alias(x)
+    out = rows.select(
+        *pair, zero("missing_indexes"), zero("extra_indexes"),
+        (~c(f"_saved_{cols[0]}").eqNullSafe(F.coalesce("_n", F.lit(0)))).alias("count_differs"),
+        (~c(f"_saved_{cols[1]}").eqNullSafe(c(cols[1]))).alias("last_price_differs"),
+        (c("_in_saved").isNull() | c("_in_found").isNull()).alias("row_unmatched"))
+    return out.where("missing_indexes > 0 OR extra_indexes > 0 OR count_differs OR last_price_differs OR row_unmatched")
+
+
 def version_changes(old: DataFrame, new: DataFrame, keys: Sequence[str], reason: Column) -> DataFrame:
     """Removed rows with a reason and added rows, by full outer join on the record key.
 
@@ -134,6 +192,34 @@ def fingerprint(df: DataFrame) -> DataFrame:
                   F.coalesce(F.sum(F.xxhash64(*parts).cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")).cast("string").alias("fingerprint"))
 
 
+def canonical_text(df: DataFrame) -> Column:
+    """A row as text that other engines can write alike: columns by name, each as its length and text, null as ``-``.
+
+    Times are ISO texts to the microsecond, fractions are rounded to nine places, arrays are the texts of their elements.
+    """
+    def text(value: Column, kind: T.DataType) -> Column:
+        if isinstance(kind, (T.DoubleType, T.FloatType)):
+            return value.cast("double").try_cast("decimal(38,9)").cast("string")
+        if isinstance(kind, (T.TimestampNTZType, T.TimestampType)):
+            return F.date_format(value, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+        if isinstance(kind, T.ArrayType):
+            return F.array_join(F.transform(value, lambda x: F.coalesce(text(x, kind.elementType), F.lit("-"))), ",")
+        return value.cast("string")
+
+    parts = [text(F.col(f"`{f.name}`"), f.dataType) for f in sorted(df.schema, key=lambda f: f.name)]
+    return F.concat(*[F.coalesce(F.concat(F.octet_length(p).cast("string"), F.lit(":"), p), F.lit("-")) for p in parts])
+
+
+def neutral_fingerprint(df: DataFrame) -> DataFrame:
+    """(rows, fingerprint): sums of four 60-bit slices of each row's sha256, so order does not matter and any engine with sha256 agrees.
+
+    Equal sums for different row multisets need a collision in 240 bits. The slices are added as decimals, map-side first.
+    """
+    digest = F.sha2(canonical_text(df).cast("binary"), 256)
+    sliced = df.select(*[F.conv(F.substring(digest, 15 * i + 1, 15), 16, 10).cast("decimal(38,0)").alias(f"s{i}") for i in range(4)])
+    return sliced.agg(F.count("*").alias("rows"), F.concat_ws("-", *[F.coalesce(F.sum(f"s{i}"), F.lit(0)).cast("decimal(38,0)").cast("string") for i in range(4)]).alias("fingerprint"))
+
+
 def expected_values(actual: DataFrame, expected: Mapping[str, int]) -> DataFrame:
     """Headline facts (``fact, value``) next to their expected values."""
     table = F.create_map(*[x for k, v in expected.items() for x in (F.lit(k), F.lit(v).cast("bigint"))])

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tideline.functions import rules
-from tideline.operators import catalog, features, labels, metrics, prefix, prepare, sampling
+from tideline.operators import catalog, features, metrics, prefix, prepare, sampling
 from tideline.plans import bindings as b
 from tideline.plans.bindings import ENTITIES, FEATURES, OBS, PAIRS, SCORES, TAGGED, WIN, WIN_2001, with_ctes
 from tideline.plans.catalog import SPLIT_SQL, stable_hash_split
-from tideline.plans.evidence import CAL, FEATURE_CTES, MODEL_CTES, features_of, labels_of
+from tideline.plans.evidence import CAL, FEATURE_CTES, MODEL_CTES, features_of, labels_of, modeling_rows
 from tideline.plans.registry import query
 from tideline.session import durable
 
@@ -20,8 +20,7 @@ FIFTHS = [i * 0.2 for i in range(6)]
 
 # ------------------------------------------------------------------ splits
 def modeling_of(spark, d):
-    rows = labels.modeling_table(features_of(spark, d), labels_of(spark, d))
-    return rows.where("model_eligible")
+    return modeling_rows(spark, d).where("model_eligible")
 
 
 MODELING_SQL = """modeling AS (

@@ -12,6 +12,7 @@ from tideline.plans import bindings as b
 from tideline.plans.bindings import (ALL_OBS, CONTEXT, ENTITIES, EVIDENCE, FEATURES, INSIDE, LABELS,
                                      OBS, PAIRS, TAGGED, WIN, WIN_2001, with_ctes)
 from tideline.plans.registry import query
+from tideline.session import durable
 
 CAL = b.CALENDAR
 EVIDENCE_CTES = (ENTITIES, OBS, WIN, PAIRS, TAGGED, INSIDE, EVIDENCE)
@@ -34,6 +35,19 @@ def labels_of(spark, d):
     return labels.with_policy(labels.label_rows(ev))
 
 
+def segments_of(spark, d):
+    """The one scan of the records that context, features and labels share, written."""
+    return durable(evidence.segment_summary(b.observations(spark, d), CAL))
+
+
+def modeling_rows(spark, d):
+    """Features and targets of all eligible pairs, from one scan of the records."""
+    segments = segments_of(spark, d)
+    context = evidence.pair_context(b.known_entities(spark, d), None, CAL, segments)
+    return labels.modeling_table(features.features(b.entities(spark, d), None, CAL, segments=segments),
+                                 labels.with_policy(labels.label_rows(context)))
+
+
 def features_of(spark, d, **kw):
     return features.features(b.entities(spark, d), b.observations(spark, d), CAL, **kw)
 
@@ -204,9 +218,9 @@ SELECT entity_id, window_year, cues, cues <> '' AS requires_review, inside_n_dis
   pre_observed_state IN ('missing', 'ambiguous') AS no_clear_pre_state
 FROM cues""").replace("\n, sets AS", ", sets AS"))
 def interpretation_cues(spark, d):
-    obs = b.observations(spark, d)
-    history = evidence.conflicts(obs).groupBy("entity_id").agg(F.count("*").alias("history_conflicts"))
-    return evidence.interpretation_cues(obs, context_of(spark, d), history)
+    segments = segments_of(spark, d)
+    context = evidence.pair_context(b.known_entities(spark, d), None, CAL, segments)
+    return evidence.interpretation_cues(b.observations(spark, d), context, evidence.history_conflict_counts(segments))
 
 
 # ------------------------------------------------------------------ features
@@ -354,7 +368,7 @@ SELECT f.entity_id, f.window_year, f.prediction_cutoff, l.category, l.discount_o
   f.prior_price_record_count, f.prior_discount_count, f.last_observed_price, f.game_age_days
 FROM feat f JOIN lab l ON f.entity_id = l.entity_id AND f.window_year = l.window_year AND f.prediction_cutoff = l.window_start"""))
 def modeling_table(spark, d):
-    return labels.modeling_table(features_of(spark, d), labels_of(spark, d)).select(
+    return modeling_rows(spark, d).select(
         "entity_id", "window_year", "prediction_cutoff", "category", "discount_observed",
         "model_eligible", "prior_price_record_count", "prior_discount_count", "last_observed_price",
         "game_age_days")

@@ -208,6 +208,63 @@ def ledger_validation(spark, d):
     return intake.ledger_violations(ledger(spark, d), ledger_pairs(spark, d), LEDGER_WINDOWS, F.lit("2024-02-01").cast("timestamp_ntz"))
 
 
+def reviewed_ledger(spark, d):
+    """The ledger with provenance and with claims in several pieces; each rule is broken by some attempts."""
+    k = F.col("attempt_id")
+    seen, full = F.col("observation_available"), F.col("supports_absence")
+    day = lambda text: F.lit(text).cast("timestamp_ntz")
+    return ledger(spark, d).withColumns({
+        "supports_absence": k % 4 == 3,
+        "source_id": F.concat(F.lit("s"), (k % 10).cast("string")),
+        "conflict": F.when(k % 13 == 5, "MAYBE").when(~seen & (k % 7 != 4), "NOT_ASSESSABLE").when(F.col("contradicts"), "YES").otherwise("NO"),
+        "store_explicit": seen & (k % 17 != 3), "verifiable": F.when(seen | (k % 29 == 8), k % 19 != 4).otherwise(False),
+        "purchase_scope": F.when(seen & (k % 23 != 6), "base"),
+        "coverage_kind": F.when(k % 31 == 9, "sampled").otherwise("continuous_documented_complete"),
+        "completeness_url": F.concat(F.when(k % 37 == 10, "http").otherwise("https"), F.lit("://example.org/complete")),
+        "coverage_proof": F.when(k % 41 == 11, " ").otherwise("log"),
+        "coverage_start": F.when(k % 3 == 0, day("2024-01-01")).when(k % 3 == 1, day("2024-01-09")).otherwise(day("2024-01-14")),
+        "coverage_end": F.when(k % 3 == 0, day("2024-01-10")).when(k % 3 == 1, F.when(k % 8 == 3, day("2024-01-14")).otherwise(day("2024-01-13"))).when(k % 43 == 2, day("2024-03-01")).otherwise(day("2024-01-25"))})
+
+
+REVIEWED = LEDGER + """,
+rev AS (SELECT attempt_id, entity_id, 2024 AS window_year, seen, supports_discount, attempt_id % 4 = 3 AS absent, attempt_id % 10 AS source,
+    CASE WHEN attempt_id % 13 = 5 THEN 'MAYBE' WHEN NOT seen AND attempt_id % 7 <> 4 THEN 'NOT_ASSESSABLE' WHEN contradicts THEN 'YES' ELSE 'NO' END AS conflict,
+    seen AND attempt_id % 17 <> 3 AS store, (seen OR attempt_id % 29 = 8) AND attempt_id % 19 <> 4 AS verifiable, seen AND attempt_id % 23 <> 6 AS scoped, currency,
+    attempt_id % 31 <> 9 AND attempt_id % 37 <> 10 AND attempt_id % 41 <> 11 AS documented,
+    CASE attempt_id % 3 WHEN 0 THEN TIMESTAMP '2024-01-01' WHEN 1 THEN TIMESTAMP '2024-01-09' ELSE TIMESTAMP '2024-01-14' END AS a,
+    CASE attempt_id % 3 WHEN 0 THEN TIMESTAMP '2024-01-10' WHEN 1 THEN CASE WHEN attempt_id % 8 = 3 THEN TIMESTAMP '2024-01-14' ELSE TIMESTAMP '2024-01-13' END
+      ELSE CASE WHEN attempt_id % 43 = 2 THEN TIMESTAMP '2024-03-01' ELSE TIMESTAMP '2024-01-25' END END AS z FROM ledger)"""
+
+
+@query("ledger_provenance", "P22", with_ctes(REVIEWED, body="""
+SELECT 'conflict_value' AS rule, count(*) FILTER (WHERE conflict = 'MAYBE') AS violations FROM rev
+UNION ALL SELECT 'conflict_without_observation', count(*) FILTER (WHERE NOT seen AND conflict <> 'NOT_ASSESSABLE') FROM rev
+UNION ALL SELECT 'verified_without_observation', count(*) FILTER (WHERE NOT seen AND verifiable) FROM rev
+UNION ALL SELECT 'discount_scope', count(*) FILTER (WHERE supports_discount AND NOT (store AND verifiable AND scoped)) FROM rev
+UNION ALL SELECT 'absence_scope', count(*) FILTER (WHERE absent AND NOT (store AND verifiable AND scoped)) FROM rev
+UNION ALL SELECT 'absence_documentation', count(*) FILTER (WHERE absent AND NOT documented) FROM rev
+UNION ALL SELECT 'unknown_source', count(*) FILTER (WHERE source = 9) FROM rev
+UNION ALL SELECT 'repeated_source', CAST(1 AS BIGINT)"""))
+def ledger_provenance(spark, d):
+    """Sources s0 to s8 are in the inventory, s4 twice."""
+    sources = b.table(spark, d, "events").select((F.col("event_id") % 10).alias("s")).distinct().where("s < 9") \
+        .select(F.concat(F.lit("s"), F.col("s").cast("string")).alias("source_id"), F.explode(F.sequence(F.lit(1), F.when(F.col("s") == 4, 2).otherwise(1))))
+    return intake.ledger_provenance_violations(reviewed_ledger(spark, d), sources)
+
+
+@query("ledger_absence_coverage", "P22", with_ctes(REVIEWED, body="""
+, iv AS (SELECT entity_id, greatest(a, TIMESTAMP '2024-01-05') AS a, least(z, TIMESTAMP '2024-01-20') AS z FROM rev
+  WHERE absent AND store AND verifiable AND scoped AND documented AND z <= TIMESTAMP '2024-02-01'),
+isl AS (SELECT *, a > max(z) OVER (PARTITION BY entity_id ORDER BY a, z ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS fresh FROM iv),
+num AS (SELECT *, count(*) FILTER (WHERE fresh) OVER (PARTITION BY entity_id ORDER BY a, z ROWS UNBOUNDED PRECEDING) AS island FROM isl),
+run AS (SELECT entity_id, island, min(a) AS a, max(z) AS z FROM num GROUP BY 1, 2), head AS (SELECT * FROM run WHERE island = 0)
+SELECT p.entity_id, 2024 AS window_year, coalesce(h.a = TIMESTAMP '2024-01-05' AND h.z = TIMESTAMP '2024-01-20', false) AS covered,
+  CASE WHEN h.a IS NULL OR h.a > TIMESTAMP '2024-01-05' THEN TIMESTAMP '2024-01-05' WHEN h.z < TIMESTAMP '2024-01-20' THEN h.z END AS first_gap
+FROM (SELECT DISTINCT entity_id FROM rev WHERE absent) p LEFT JOIN head h USING (entity_id)""").replace("\n, iv AS", ", iv AS"))
+def ledger_absence_coverage(spark, d):
+    return intake.absence_coverage(reviewed_ledger(spark, d), LEDGER_WINDOWS, F.lit("2024-02-01").cast("timestamp_ntz"))
+
+
 @query("ledger_summary", "A32", with_ctes(LEDGER, body="""
 , f AS (SELECT entity_id, bool_or(page_accessible) AS a, bool_or(seen) AS o, bool_or(supports_discount) AS s, bool_or(supports_absence) AS n, bool_or(contradicts) AS c FROM ledger GROUP BY 1)
 SELECT count(*) AS pairs, count(*) FILTER (WHERE a) AS accessible_pairs, count(*) FILTER (WHERE o) AS observed_pairs, count(*) FILTER (WHERE s) AS positive_pairs,

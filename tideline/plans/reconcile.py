@@ -8,11 +8,12 @@ from tideline.functions import rules
 from tideline.operators import evidence, features, labels, prefix, reconcile
 from tideline.operators.windows import Calendar, Window, _ntz, tag_records
 from tideline.plans import bindings as b
-from tideline.plans.bindings import CONTEXT, ENTITIES, OBS, PAIRS, TAGGED, WIN, with_ctes
+from tideline.plans.bindings import ALL_OBS, CONTEXT, ENTITIES, OBS, PAIRS, TAGGED, WIN, with_ctes
 from tideline.plans.evidence import (CAL, CONTEXT_CTES, EVIDENCE_CTES, FEATURE_CTES, LABEL_CTES, MODEL_CTES,
                                      context_of, evidence_of, features_of, labels_of)
 from tideline.plans.registry import query
 from datetime import timedelta
+from functools import reduce
 
 # The older version of the calendar: whole days, one day longer at both ends.
 WIDE = Calendar.of([Window(w.year, w.start_date - timedelta(days=1), w.end_date + timedelta(days=1),
@@ -71,6 +72,59 @@ def saved_evidence_reconciliation(spark, d):
     return reconcile.saved_mismatches(saved, now, ["entity_id", "window_year"], ["records", "category"])
 
 
+FIELDS = ("price", "price_currency", "regular", "cut", "deal_status", "kind")
+DEFECT = "SELECT entity_id, window_year, record_index, {0} AS defect, {1} AS saved, {2} AS recomputed FROM {3}"
+
+
+@query("saved_record_reconciliation", "J8 L5", with_ctes(ALL_OBS, WIN, body="""
+, ins AS (SELECT o.*, w.window_year, w.window_start, w.window_end, record_index % 101 AS m FROM all_obs o JOIN win w ON ts >= window_start AND ts < window_end WHERE shop_id = 61),
+saved AS (SELECT * REPLACE (CASE WHEN m = 3 THEN -record_index ELSE record_index END AS record_index, CASE WHEN m = 7 THEN price + 1 ELSE price END AS price,
+    CASE WHEN m = 11 THEN 'XXX' ELSE price_currency END AS price_currency, CASE WHEN m = 13 THEN window_end ELSE ts END AS ts),
+    unnest(CASE m WHEN 17 THEN [1, 2] WHEN 19 THEN []::INTEGER[] ELSE [1] END) AS copy FROM ins),
+plain AS (SELECT DISTINCT ON (entity_id, window_year, record_index) * FROM saved)
+""" + "\nUNION ALL ".join([
+    DEFECT.format("'not_in_history'", "NULL", "NULL", "saved WHERE m = 3"), DEFECT.format("'outside_window'", "'out'", "NULL", "saved WHERE m = 13"),
+    DEFECT.format("'field:ts'", "'out'", "'in'", "saved WHERE m = 13"), DEFECT.format("'field:price'", "'raised'", "'as is'", "saved WHERE m = 7 AND price IS NOT NULL"),
+    DEFECT.format("'field:price_currency'", "'XXX'", "(SELECT price_currency FROM all_obs o WHERE o.entity_id = s.entity_id AND o.record_index = s.record_index)", "saved s WHERE m = 11"),
+    DEFECT.format("'repeated'", "'2'", "'1'", "plain WHERE m = 17"), DEFECT.format("'missing'", "NULL", "NULL", "ins WHERE m IN (3, 19)")])).replace("\n, ins AS", ", ins AS"))
+def saved_record_reconciliation(spark, d):
+    """Saved evidence records with one defect of each kind planted, held against the history."""
+    obs = b.observations(spark, d)
+    rows = evidence.inside_records(obs, CAL).withColumn("m", F.col("record_index") % 101)
+    c, m = F.col, F.col("m")
+    saved = rows.where("m <> 19").withColumns({
+        "record_index": F.when(m == 3, -c("record_index")).otherwise(c("record_index")), "price": F.when(m == 7, c("price") + 1).otherwise(c("price")),
+        "price_currency": F.when(m == 11, "XXX").otherwise(c("price_currency")), "ts": F.when(m == 13, c("window_end")).otherwise(c("ts"))})
+    saved = saved.withColumn("copy", F.explode(F.sequence(F.lit(1), F.when(m == 17, 2).otherwise(1))))
+    found = reconcile.record_mismatches(saved, obs, CAL, FIELDS)
+    # Times and prices are told by name here, so the twin needs no number formats.
+    saved_text = F.when(c("defect").isin("outside_window", "field:ts"), "out").when(c("defect") == "field:price", "raised").otherwise(c("saved"))
+    other = F.when(c("defect") == "field:ts", "in").when(c("defect") == "field:price", "as is").otherwise(c("recomputed"))
+    return found.withColumns({"saved": saved_text, "recomputed": other})
+
+
+@query("saved_lineage_reconciliation", "L5 L3", with_ctes(*FEATURE_CTES, body="""
+, used AS (SELECT t.entity_id, t.window_year, t.record_index FROM tagged t JOIN pairs p USING (entity_id, window_year) WHERE side = 'before' AND kind <> 'ambiguous' AND p.eligible),
+c AS (SELECT entity_id, window_year, count(*) FILTER (WHERE record_index % 53 = 5) AS gone, count(*) FILTER (WHERE record_index % 59 = 7) AS again, count(*) AS n FROM used GROUP BY 1, 2),
+f AS (SELECT f.*, coalesce(gone, 0) AS gone, coalesce(again, 0) AS again, entity_id % 41 = 3 AS stale, entity_id % 43 = 4 AS miscounted, entity_id % 47 = 5 AS dropped
+  FROM feat f LEFT JOIN c USING (entity_id, window_year))
+SELECT entity_id, window_year, CAST(gone AS BIGINT) AS missing_indexes, CAST(again AS BIGINT) AS extra_indexes, dropped OR miscounted AS count_differs,
+  CASE WHEN dropped THEN last_observed_price IS NOT NULL ELSE stale AND last_observed_price IS NOT NULL END AS last_price_differs, dropped AS row_unmatched FROM f
+WHERE gone > 0 OR again > 0 OR dropped OR miscounted OR (stale AND last_observed_price IS NOT NULL)""").replace("\n, used AS", ", used AS"))
+def saved_lineage_reconciliation(spark, d):
+    """Saved feature rows and their record indexes with planted defects, held against the records."""
+    ents, obs, c = b.entities(spark, d), b.observations(spark, d), F.col
+    used = features.lineage(ents, obs, CAL).where("used").select("entity_id", "window_year", "record_index")
+    saved = used.where("record_index % 53 <> 5").unionByName(used.where("record_index % 59 = 7 AND record_index % 53 <> 5")).unionByName(
+        used.where("record_index % 59 = 7 AND record_index % 53 = 5").withColumn("record_index", -c("record_index")))
+    now = features_of(spark, d)
+    k = c("entity_id")
+    kept = now.where("entity_id % 47 <> 5").withColumns({
+        "last_observed_price": F.when(k % 41 == 3, c("last_observed_price") + 1).otherwise(c("last_observed_price")),
+        "prior_price_record_count": F.when(k % 43 == 4, c("prior_price_record_count") + 1).otherwise(c("prior_price_record_count"))})
+    return reconcile.lineage_mismatches(saved, used, kept, now)
+
+
 VERSION_SQL = OLD_INSIDE + """,
 cur AS (SELECT t.entity_id, t.window_year, t.record_index FROM tagged t JOIN pairs p USING (entity_id, window_year) WHERE side = 'inside' AND p.eligible),
 old AS (SELECT o.entity_id, o.window_year, o.record_index, o.ts, o.window_start, o.window_end FROM old_inside o WHERE deal_status = 'object'),
@@ -187,6 +241,30 @@ def table_fingerprint(spark, d):
     return out
 
 
+# Columns of the fingerprinted tables with the kind of value they hold.
+FINGERPRINTED = {
+    "nation": "n_nationkey:i n_name:s n_regionkey:i", "customer": "c_custkey:i c_name:s c_nationkey:i c_acctbal:d c_mktsegment:s",
+    "orders": "o_orderkey:i o_custkey:i o_orderstatus:s o_totalprice:d o_orderdate:t o_orderpriority:s",
+    "lineitem": "l_orderkey:i l_partkey:i l_suppkey:i l_linenumber:i l_quantity:d l_extendedprice:d l_discount:d l_tax:d l_returnflag:s l_linestatus:s l_shipdate:t",
+    "events": "event_id:i ts:t user_id:i event_type:s value:d props:s", "documents": "doc_id:i text:s lang:s source:s n_chars:i",
+    "embeddings": "vec_id:i embedding:a label:i", "labels": "doc_id:i quality:i toxic:i"}
+AS_TEXT = {"i": "CAST({} AS VARCHAR)", "s": "{}", "d": "CAST(CAST({} AS DECIMAL(38,9)) AS VARCHAR)", "t": "strftime({}, '%Y-%m-%d %H:%M:%S.%f')",
+           "a": "array_to_string(list_transform({}, lambda x: CAST(CAST(CAST(x AS DOUBLE) AS DECIMAL(38,9)) AS VARCHAR)), ',')"}
+
+
+def fingerprint_sql(table, columns):
+    texts = [AS_TEXT[kind].format(name) for name, kind in sorted(x.split(":") for x in columns.split())]
+    row = " || ".join(f"coalesce(CAST(strlen({t}) AS VARCHAR) || ':' || {t}, '-')" for t in texts)
+    sums = " || '-' || ".join(f"CAST(coalesce(sum(CAST(CAST('0x' || substring(h, {15 * i + 1}, 15) AS UBIGINT) AS HUGEINT)), 0) AS VARCHAR)" for i in range(4))
+    return f"SELECT '{table}' AS \"table\", count(*) AS \"rows\", {sums} AS fingerprint FROM (SELECT sha256({row}) AS h FROM {table})"
+
+
+@query("table_fingerprint_neutral", "U5", " UNION ALL ".join(fingerprint_sql(t, c) for t, c in FINGERPRINTED.items()))
+def table_fingerprint_neutral(spark, d):
+    parts = [reconcile.neutral_fingerprint(b.table(spark, d, n)).select(F.lit(n).alias("table"), "*") for n in FINGERPRINTED]
+    return reduce(lambda x, y: x.unionByName(y), parts)
+
+
 @query("canonical_order", "K5", with_ctes(*EVIDENCE_CTES, body="""
 SELECT entity_id, window_year, category, row_number() OVER (ORDER BY entity_id, window_year) AS position FROM evidence"""))
 def canonical_order(spark, d):

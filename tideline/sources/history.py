@@ -2,16 +2,49 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 MONEY = "struct<amount:double,amountInt:bigint,currency:string>"
-RECORD = f"timestamp string, shop struct<id:int,name:string>, deal struct<price:{MONEY},regular:{MONEY},cut:double>"
-DOCUMENT = (
-    "entity_id bigint, provider_id string, "
-    "request struct<country:string,shop_id:int,since:string>, "
-    "lookup struct<found:boolean,id:string,status:string>, "
-    "evidence struct<http_status:int,received_at:string,body:string,server_date:string>, "
-    "history_status string, history array<string>")
+RECORD = f"timestamp string, shop struct<name:string>, deal struct<price:{MONEY},regular:{MONEY},cut:double>"
+
+# Where the published documents keep each field, and the endpoints they must name.
+PUBLISHED = {
+    "entity_id": "$.steam_appid",
+    "provider_id": "$.itad_game_id",
+    "country": "$.request_configuration.country",
+    "shop_id": "$.request_configuration.steam_shop_id",
+    "since": "$.request_configuration.requested_since",
+    "history_endpoint": "$.request_configuration.history_endpoint",
+    "lookup_endpoint": "$.request_configuration.lookup_endpoint",
+    "found": "$.lookup_response.found",
+    "lookup_id": "$.lookup_response.game.id",
+    "lookup_status": "$.collection_metadata.lookup_status",
+    "history_status": "$.collection_metadata.history_status",
+    "http_status": "$.history_evidence.http_status",
+    "params": "$.history_evidence.params",
+    "body": "$.history_evidence.body",
+    "history": "$.history_response",
+}
+PUBLISHED_ENDPOINTS = {"history_endpoint": "/games/history/v2", "lookup_endpoint": "/games/lookup/v1"}
+
+# A plainer layout without endpoints and parameters.
+COMPACT = {
+    "entity_id": "$.entity_id",
+    "provider_id": "$.provider_id",
+    "country": "$.request.country",
+    "shop_id": "$.request.shop_id",
+    "since": "$.request.since",
+    "found": "$.lookup.found",
+    "lookup_id": "$.lookup.id",
+    "lookup_status": "$.lookup.status",
+    "history_status": "$.history_status",
+    "http_status": "$.evidence.http_status",
+    "body": "$.evidence.body",
+    "history": "$.history",
+}
+KINDS = {"entity_id": "BIGINT", "shop_id": "BIGINT", "http_status": "BIGINT", "found": "BOOLEAN", "params": "OBJECT", "history": "ARRAY"}
 
 
 def read_documents(spark: SparkSession, path: str, *, one_per_line: bool = False) -> DataFrame:
@@ -27,42 +60,92 @@ def strict_json(text: Column) -> Column:
     return F.try_parse_json(text)
 
 
-def parse_documents(docs: DataFrame) -> DataFrame:
-    """Typed wrapper plus ``json_ok``. Records stay raw JSON, so one odd record spoils no other.
+def _field(whole: Column, name: str, path: str) -> Column:
+    """A field of a document if it has the kind of value it must have; containers as canonical JSON, keys in order."""
+    kind = KINDS.get(name, "STRING")
+    value = F.try_variant_get(whole, path, "variant")
+    typed = F.to_json(value) if kind in ("OBJECT", "ARRAY") else F.try_variant_get(whole, path, kind)
+    return F.when(F.schema_of_variant(value).startswith(kind), typed).alias(name)
+
+
+def _raw_records(path: str) -> Column:
+    """The elements of the array at ``path``, each as the text it has in the document."""
+    keys = path.removeprefix("$.").split(".")
+    schema = "array<string>"
+    for key in reversed(keys):
+        schema = f"struct<`{key}`:{schema}>"
+    found = F.from_json("text", schema)
+    for key in keys:
+        found = found[key]
+    return found
+
 
-    ``same_body`` compares the saved body with the stored records in canonical JSON (a variant
-    writes its keys in order).
+def parse_documents(docs: DataFrame, fields: Mapping[str, str] = COMPACT) -> DataFrame:
+    """Add ``json_ok`` and ``doc``, the fields found at the paths of ``fields``; a value of the wrong kind is null.
+
+    Records stay raw JSON in ``doc.records``, so one odd record spoils no other. ``same_body`` compares the saved body with
+    the stored records in canonical JSON.
     """
-    whole = strict_json(F.col("text"))
-    parsed = docs.select("path", "text", whole.isNotNull().alias("json_ok"), F.from_json("text", DOCUMENT).alias("doc"),
-                         F.to_json(F.try_variant_get(whole, "$.history", "variant")).alias("_records"))
-    same = F.to_json(strict_json(F.col("doc.evidence.body"))) == F.col("_records")
-    return parsed.withColumn("same_body", F.coalesce(same, F.lit(False))).drop("_records")
+    whole = F.col("_whole")
+    found = [_field(whole, name, path) for name, path in fields.items()]
+    absent = [F.lit(None).cast("string").alias(n) for n in PUBLISHED if n not in fields]
+    parsed = docs.withColumn("_whole", strict_json(F.col("text"))).select(
+        "path", "text", whole.isNotNull().alias("json_ok"), F.struct(*found, *absent, _raw_records(fields["history"]).alias("records")).alias("doc"))
+    return parsed.withColumn("same_body", F.coalesce(F.to_json(strict_json(F.col("doc.body"))) == F.col("doc.history"), F.lit(False)))
+
+
+def request_parameters(country: Column, shop_id: Column, since: Column, provider_id: Column) -> Column:
+    """Canonical JSON of the parameters that a history request must have carried."""
+    return F.to_json(strict_json(F.to_json(F.struct(
+        country.alias("country"), provider_id.alias("id"), shop_id.cast("string").alias("shops"), since.alias("since")))))
 
 
-def document_status(docs: DataFrame, country: str, shop_id: int, since: str) -> DataFrame:
-    """Provenance verdict per document: ``valid``, ``incomplete`` or ``invalid`` with a reason.
+def document_status(docs: DataFrame, country: str, shop_id: int, since: str, *, history_endpoint: str | None = None,
+                    lookup_endpoint: str | None = None, check_parameters: bool = False) -> DataFrame:
+    """Provenance verdict per document: ``valid``, ``incomplete`` or ``invalid`` with the first reason that holds.
 
-    The saved response body must parse to the same records as the stored array.
+    The saved response body must parse to the same records as the stored array. Endpoints are compared if given, request parameters
+    if asked for.
     """
-    d = lambda f: F.col(f"doc.{f}")
-    no = lambda cond: ~F.coalesce(cond, F.lit(False))
-    expected = F.when(F.size(d("history")) > 0, "history_received").otherwise("empty_history")
-    reason = (F.when(~F.col("json_ok"), "invalid_json")
-              .when(no(d("entity_id").isNotNull()), "missing_entity")
-              .when(no((d("request.country") == country) & (d("request.shop_id") == shop_id) & (d("request.since") == since)),
-                    "request_configuration")
-              .when(d("lookup.status") == "lookup_error", "lookup_error")
-              .when(no(d("lookup.status") == "matched") | no(d("lookup.found")) | no(d("lookup.id") == d("provider_id")), "lookup_mismatch")
-              .when(~d("history_status").isin("history_received", "empty_history"), "history_incomplete")
-              .when(no(d("evidence.http_status") == 200), "history_http_status")
-              .when(no(d("history").isNotNull() & F.col("same_body")), "body_mismatch")
-              .when(no(d("history_status") == expected), "history_status"))
-    status = (F.when(reason.isNull(), "valid").when(reason.isin("lookup_error", "history_incomplete"), "incomplete")
-              .otherwise("invalid"))
+    d = lambda f: F.col(f"doc.{f}")
+    no = lambda cond: ~F.coalesce(cond, F.lit(False))
+    expected = F.when(F.size(d("records")) > 0, "history_received").otherwise("empty_history")
+    endpoints = [d(n) == v for n, v in (("history_endpoint", history_endpoint), ("lookup_endpoint", lookup_endpoint)) if v is not None]
+    wanted = request_parameters(d("country"), d("shop_id"), d("since"), d("provider_id"))
+    checks = [
+        ("invalid_json", ~F.col("json_ok")),
+        ("missing_entity", d("entity_id").isNull()),
+        ("request_configuration", no((d("country") == country) & (d("shop_id") == shop_id) & (d("since") == since))),
+        *[("request_endpoint", no(same)) for same in endpoints],
+        ("lookup_error", F.coalesce(d("lookup_status") == "lookup_error", F.lit(False))),
+        ("lookup_mismatch", no(d("lookup_status") == "matched") | no(d("found")) | no(d("lookup_id") == d("provider_id"))),
+        ("history_incomplete", no(d("history_status").isin("history_received", "empty_history"))),
+        ("history_http_status", no(d("http_status") == 200)),
+        *([("request_parameters", no(d("params") == wanted))] if check_parameters else []),
+        ("body_mismatch", no(d("records").isNotNull() & d("history").isNotNull() & F.col("same_body"))),
+        ("history_status", no(d("history_status") == expected)),
+    ]
+    reason = F.coalesce(*[F.when(fails, name) for name, fails in checks])
+    status = F.when(reason.isNull(), "valid").when(reason.isin("lookup_error", "history_incomplete"), "incomplete").otherwise("invalid")
     return docs.withColumn("reason", reason).withColumn("status", status)
 
 
+def against_manifest(checked: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Documents whose collection manifest (``entity_id, provider_id, records, history_status``) says otherwise become invalid.
+
+    Only documents that are valid so far are compared; the reason names the first field that differs.
+    """
+    m = manifest.select(F.col("entity_id").alias("_m_entity"), F.struct("provider_id", "records", "history_status").alias("_m"))
+    doc = F.col("doc")
+    checks = [("manifest_missing", F.col("_m").isNull()), ("manifest_provider", ~F.col("_m.provider_id").eqNullSafe(doc["provider_id"])),
+              ("manifest_record_count", ~F.col("_m.records").eqNullSafe(F.size(doc["records"]).cast("bigint"))),
+              ("manifest_status", ~F.col("_m.history_status").eqNullSafe(doc["history_status"]))]
+    differs = F.when(F.col("status") == "valid", F.coalesce(*[F.when(fails, name) for name, fails in checks]))
+    rows = checked.join(m, F.col("doc.entity_id") == F.col("_m_entity"), "left").withColumn("_differs", differs)
+    return rows.withColumn("reason", F.coalesce("reason", "_differs")).withColumn(
+        "status", F.when(F.col("_differs").isNull(), F.col("status")).otherwise("invalid")).drop("_m", "_m_entity", "_differs")
+
+
 def resolve(entities: DataFrame, layers: list[DataFrame]) -> DataFrame:
     """Document per entity from the first layer that holds its id, even when that copy is bad.
 
@@ -79,38 +162,73 @@ def resolve(entities: DataFrame, layers: list[DataFrame]) -> DataFrame:
 def records(docs: DataFrame) -> DataFrame:
     """One row per record of valid documents with its array index, ready for typing.
 
-    ``deal_status`` keeps a missing deal apart from an explicit null and from a non-object.
+    ``deal_status`` keeps a missing deal apart from an explicit null and from a non-object; a shop id must be an integer.
     """
     rows = docs.where(F.col("status") == "valid").select(
-        F.col("doc.entity_id").alias("entity_id"), F.posexplode("doc.history").alias("i", "raw_json"))
+        F.col("doc.entity_id").alias("entity_id"), F.posexplode("doc.records").alias("i", "raw_json"))
     rows = rows.select("entity_id", F.col("i").cast("bigint").alias("record_index"), "raw_json",
                        F.try_parse_json("raw_json").alias("v"), F.from_json("raw_json", RECORD).alias("r"))
     deal = F.schema_of_variant(F.try_variant_get("v", "$.deal", "variant"))
     status = (F.when(deal.isNull(), "missing").when(deal == "VOID", "null").when(deal.startswith("OBJECT"), "object")
               .otherwise("invalid"))
+    shop = F.when(F.schema_of_variant(F.try_variant_get("v", "$.shop.id", "variant")) == "BIGINT", F.try_variant_get("v", "$.shop.id", "int"))
     return rows.select("entity_id", "record_index", F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False)).alias("record_ok"),
-                       F.col("r.timestamp").alias("timestamp"), F.col("r.shop").alias("shop"), F.col("r.deal").alias("deal"),
-                       status.alias("deal_status"), "raw_json")
+                       F.col("r.timestamp").alias("timestamp"), F.struct(shop.alias("id"), F.col("r.shop.name").alias("name")).alias("shop"),
+                       F.col("r.deal").alias("deal"), status.alias("deal_status"), "raw_json")
 
 
-def parse_outcomes(rows: DataFrame, shop_id: int) -> DataFrame:
-    """Records of valid documents per outcome: kept, other shop, or why they cannot be used."""
+def record_outcome(shop_id: int) -> Column:
+    """Outcome of a row of ``records``: kept, other_shop, or why it cannot be used (times matter for the own shop only)."""
     from tideline.functions import rules
     from tideline.operators.observations import record_problem
 
     shop = F.col("shop.id")
     problem = record_problem(F.col("record_ok"), shop, F.when(shop == shop_id, rules.utc_instant(F.col("timestamp")))
                              .otherwise(F.lit("1970-01-01").cast("timestamp_ntz")))
-    outcome = F.when(problem.isNotNull(), problem).when(shop != shop_id, "other_shop").otherwise("kept")
-    return rows.groupBy(outcome.alias("outcome")).agg(F.count("*").alias("records"))
+    return F.when(problem.isNotNull(), problem).when(shop != shop_id, "other_shop").otherwise("kept")
 
 
-def observations(spark: SparkSession, path: str, *, country: str, shop_id: int, since: str, one_per_line: bool = False) -> DataFrame:
-    """Documents on disk to typed observations of every shop."""
+def parse_outcomes(rows: DataFrame, shop_id: int) -> DataFrame:
+    """Records of valid documents per outcome: kept, other shop, or why they cannot be used."""
+    return rows.groupBy(record_outcome(shop_id).alias("outcome")).agg(F.count("*").alias("records"))
+
+
+def history_statuses(entities: DataFrame, resolved: DataFrame, shop_id: int) -> DataFrame:
+    """Per entity: ``history_status`` and its reason, with the outcomes of its records.
+
+    ``resolved`` holds at most one checked document per entity (see ``resolve``), as ``entity_id, status, reason, doc``. A valid document with a
+    record that cannot be used is ``partial``; no document is ``absent``; otherwise the document's own status stands.
+    Outcomes are counted per document before the shuffle and joined back to the entities.
+    """
+    outcomes = records(resolved).withColumn("_o", record_outcome(shop_id)).groupBy("entity_id").agg(
+        F.count("*").alias("records"), F.count_if(F.col("_o") == "kept").alias("kept"), F.count_if(F.col("_o") == "other_shop").alias("other_shop"),
+        F.count_if(~F.col("_o").isin("kept", "other_shop")).alias("problems"))
+    of = resolved.select("entity_id", "status", "reason")
+    rows = entities.select("entity_id").join(of, "entity_id", "left").join(outcomes, "entity_id", "left")
+    valid = F.col("status") == "valid"
+    count = lambda c: F.when(valid, F.coalesce(c, F.lit(0))).alias(c)
+    return rows.select(
+        "entity_id", F.when(valid & (F.coalesce("problems", F.lit(0)) > 0), "partial").otherwise(F.coalesce("status", F.lit("absent"))).alias("history_status"),
+        "reason", count("records"), count("kept"), count("other_shop"), count("problems"))
+
+
+def with_history_status(entities: DataFrame, resolved: DataFrame, shop_id: int) -> DataFrame:
+    """Entities with the column ``history_status`` that evidence and labels ask for, derived from their documents."""
+    return entities.drop("history_status").join(history_statuses(entities, resolved, shop_id).select("entity_id", "history_status"), "entity_id")
+
+
+def typed_observations(checked: DataFrame) -> DataFrame:
+    """Typed observations of every shop from the valid documents."""
     from tideline.operators.observations import type_records
 
-    docs = document_status(parse_documents(read_documents(spark, path, one_per_line=one_per_line)), country, shop_id, since)
-    return type_records(records(docs), deal_status=F.col("deal_status"))
+    return type_records(records(checked), deal_status=F.col("deal_status"))
+
+
+def observations(spark: SparkSession, path: str, *, country: str, shop_id: int, since: str, one_per_line: bool = False,
+                 fields: Mapping[str, str] = COMPACT, **checks) -> DataFrame:
+    """Documents on disk to typed observations of every shop."""
+    docs = parse_documents(read_documents(spark, path, one_per_line=one_per_line), fields)
+    return typed_observations(document_status(docs, country, shop_id, since, **checks))
 
 
 JOURNAL_SCHEMA = (

@@ -2,22 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tideline.operators.observations import type_records
 from tideline.sources import history
 
 
 def incoming(spark: SparkSession, directory: str, *, country: str, shop_id: int, since: str,
-             max_files_per_trigger: int | None = None) -> DataFrame:
-    """Streaming DataFrame of typed observations from one-document JSON files."""
+             max_files_per_trigger: int | None = None, fields: Mapping[str, str] = history.COMPACT, **checks) -> DataFrame:
+    """Streaming DataFrame of typed observations from one-document JSON files, laid out as ``fields`` says."""
     reader = spark.readStream.option("wholetext", True)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     docs = reader.text(directory).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
-    checked = history.document_status(history.parse_documents(docs), country, shop_id, since)
-    return type_records(history.records(checked), deal_status=F.col("deal_status"))
+    return history.typed_observations(history.document_status(history.parse_documents(docs, fields), country, shop_id, since, **checks))
 
 
 def run_intake(spark: SparkSession, directory: str, output: str, checkpoint: str, **config) -> StreamingQuery:
