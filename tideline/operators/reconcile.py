@@ -227,6 +227,23 @@ def expected_values(actual: DataFrame, expected: Mapping[str, int]) -> DataFrame
         .withColumn("matches", F.col("value").eqNullSafe(F.col("expected")))
 
 
+def fact_reconciliation(actual: DataFrame, expected: DataFrame) -> DataFrame:
+    """(fact, value, expected, outcome): headline facts held against a table of expected ones.
+
+    Both have ``fact, value``. Outcomes: matches, differs, missing (expected, not found) and unexpected (found, not expected); a fact given
+    twice on a side with unlike values is ``contradictory``.
+    """
+    def one(rows: DataFrame, name: str) -> DataFrame:
+        return rows.groupBy("fact").agg(F.max("value").alias(name), (~F.min("value").eqNullSafe(F.max("value")) | (F.count("value") != F.count("*")) & F.max("value").isNotNull()).alias(f"_{name}"),
+                                        F.lit(True).alias(f"_has_{name}"))
+
+    rows = one(actual, "value").join(one(expected, "expected"), "fact", "full_outer")
+    c = F.col
+    outcome = (F.when(c("_has_value").isNull(), "missing").when(c("_has_expected").isNull(), "unexpected")
+               .when(c("_value") | c("_expected"), "contradictory").when(c("value").eqNullSafe(c("expected")), "matches").otherwise("differs"))
+    return rows.select("fact", "value", "expected", outcome.alias("outcome"))
+
+
 def resolve_layers(layers: Sequence[DataFrame], key: str) -> DataFrame:
     """First layer that holds a key wins, even when its copy is bad.
 

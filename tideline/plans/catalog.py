@@ -470,6 +470,25 @@ def extreme_case_tags(spark, d):
         "edge_high_activity": (every, low(-c("activity"))), "edge_low_key": (every, low(c("price")))})
 
 
+EDGES = {  # reason: condition, order (smallest first, ties by hash), both as SQL over the entities below
+    "edge_high_price": ("true", "-price"), "edge_low_price": ("true", "price"), "edge_oldest": ("true", "days"), "edge_near_cutoff": ("true", "-days"),
+    "edge_high_activity": ("true", "-activity"), "edge_high_extras": ("true", "-extras"), "edge_high_owners": ("owners > 0", "-owners"),
+    "edge_zero_owners": ("owners = 0", "0 * price"), "edge_zero_activity": ("activity % 25 = 0", "0 * price"), "edge_missing_tags": ("tags IS NULL", "0 * price"),
+    "edge_missing_genre": ("genre IS NULL", "0 * price"), "edge_missing_publisher": ("publisher IS NULL AND price > 1e9", "0 * price")}
+EDGE_COLUMNS = ("entity_id", "price", "activity", "entity_id * 13 % 37 AS extras", "entity_id % 29 * 1000 AS owners", "CASE WHEN entity_id % 31 = 6 THEN NULL ELSE name END AS tags",
+                "CASE WHEN entity_id % 41 = 7 THEN NULL ELSE genre END AS genre", "publisher")
+
+
+@query("conditional_extreme_tags", "W7", with_ctes(ENTITIES, body=f"""
+, e AS (SELECT {', '.join(EDGE_COLUMNS)}, date_diff('day', DATE '1970-01-01', release_date) AS days, sha256('42:' || entity_id) AS h FROM entities),
+p AS (""" + "\n  UNION ALL ".join(f"SELECT '{r}' AS reason, (SELECT entity_id FROM e WHERE {w} ORDER BY {o}, h LIMIT 1) AS entity_id" for r, (w, o) in EDGES.items()) + """)
+SELECT entity_id, string_agg(reason, ';' ORDER BY reason) AS reasons FROM p WHERE entity_id IS NOT NULL GROUP BY 1""").replace("\n, e AS", ", e AS"))
+def conditional_extreme_tags(spark, d):
+    """Twelve criteria, some over the rows that meet a condition only; one that nothing meets picks nothing."""
+    rows = sampling.with_priority(b.entities(spark, d), prefix_text="42:").selectExpr(*EDGE_COLUMNS, "unix_date(release_date) AS days", "priority")
+    return sampling.extreme_cases(rows, {r: (F.expr(w), F.struct(F.expr(o).cast("double"), F.col("priority"))) for r, (w, o) in EDGES.items()})
+
+
 @query("sample_and_extremes", "K3", with_ctes(ENTITIES, body="""
 , e AS (SELECT *, sha256('42|' || entity_id) AS h FROM entities)
 SELECT * FROM (SELECT 'sample' AS selection, entity_id, price FROM e ORDER BY h, entity_id LIMIT 4)

@@ -12,6 +12,7 @@ from tideline.plans.bindings import ALL_OBS, CONTEXT, ENTITIES, OBS, PAIRS, TAGG
 from tideline.plans.evidence import (CAL, CONTEXT_CTES, EVIDENCE_CTES, FEATURE_CTES, LABEL_CTES, MODEL_CTES,
                                      context_of, evidence_of, features_of, labels_of)
 from tideline.plans.registry import query
+from tideline.session import durable
 from datetime import timedelta
 from functools import reduce
 
@@ -307,6 +308,37 @@ def raw_support_mismatches(spark, d):
     return reconcile.saved_mismatches(saved, raw, ["entity_id", "window_year"], ["prior_price_record_count", "prior_discount_count"])
 
 
+@query("headline_facts", "L7", with_ctes(*MODEL_CTES, body="""
+, facts AS (
+  SELECT 'pairs' AS fact, count(*) AS value FROM lab UNION ALL SELECT 'entities', count(DISTINCT entity_id) FROM lab
+  UNION ALL SELECT 'positives', count(*) FILTER (WHERE discount_observed = 1) FROM lab UNION ALL SELECT 'zeros', count(*) FILTER (WHERE discount_observed = 0) FROM lab
+  UNION ALL SELECT 'unknown_histories', count(*) FILTER (WHERE eligibility_status = 'unknown_history') FROM lab
+  UNION ALL SELECT 'records_in_windows', CAST(sum(records) AS BIGINT) FROM lab UNION ALL SELECT 'feature_rows', count(*) FROM feat)
+SELECT fact, CASE WHEN fact = 'published_elsewhere' THEN NULL ELSE value END AS value,
+  CASE fact WHEN 'zeros' THEN NULL WHEN 'records_in_windows' THEN value + 1 ELSE value END AS expected,
+  CASE fact WHEN 'zeros' THEN 'unexpected' WHEN 'records_in_windows' THEN 'differs' WHEN 'published_elsewhere' THEN 'missing' ELSE 'matches' END AS outcome
+FROM (SELECT * FROM facts UNION ALL SELECT 'published_elsewhere', 7)""").replace("\n, facts", ", facts"))
+def headline_facts(spark, d):
+    """Facts from the operators against facts counted on the plain tables, with one missing, one unexpected and one wrong."""
+    lab, y = durable(labels_of(spark, d)), F.col("discount_observed")
+    fact = lambda rows, name, value: rows.agg(F.lit(name).alias("fact"), F.coalesce(value, F.lit(0)).cast("bigint").alias("value"))
+    actual = reduce(lambda p, q: p.unionByName(q), [
+        fact(lab, "pairs", F.count("*")), fact(lab, "entities", F.count_distinct("entity_id")), fact(lab, "positives", F.count_if(y == 1)),
+        fact(lab, "zeros", F.count_if(y == 0)), fact(lab, "unknown_histories", F.count_if(F.col("eligibility_status") == "unknown_history")),
+        fact(lab, "records_in_windows", F.sum("records")), fact(features_of(spark, d), "feature_rows", F.count("*"))])
+    ents, years = b.known_entities(spark, d), len(CAL.windows)
+    early = CAL.each_window(ents).where("release_date <= start_date")
+    status = F.coalesce("history_status", F.lit("absent"))
+    seen = CAL.each_window(b.observations(spark, d).join(ents.select("entity_id", "release_date", status.alias("s")), "entity_id")) \
+        .where("ts >= window_start AND ts < window_end AND release_date <= start_date AND s IN ('valid', 'partial')")
+    hits = seen.where("kind = 'discount' AND s = 'valid'").select("entity_id", "window_year").distinct()
+    expected = reduce(lambda p, q: p.unionByName(q), [
+        fact(ents, "pairs", F.count("*") * years), fact(ents, "entities", F.count("*")), fact(hits, "positives", F.count("*")),
+        fact(early.where(status != "valid"), "unknown_histories", F.count("*")), fact(seen, "records_in_windows", F.count("*") + 1),
+        fact(early, "feature_rows", F.count("*")), fact(ents, "published_elsewhere", F.min(F.lit(7)))])
+    return reconcile.fact_reconciliation(actual, expected)
+
+
 @query("headline_reconciliation", "L7", with_ctes(*MODEL_CTES, body="""
 , facts AS (
   SELECT 'pairs' AS fact, count(*) AS value FROM lab UNION ALL SELECT 'entities', count(DISTINCT entity_id) FROM lab

@@ -36,13 +36,23 @@ def shared_folder(spark: SparkSession) -> str:
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if named is None:
-        if not sc.master.startswith("local"):
+        if sc.master != "local" and not sc.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
         named = tempfile.mkdtemp(prefix="tideline-")
         sc.setCheckpointDir(named)
     return named
 
 
+def forget(*tables: DataFrame) -> None:
+    """Delete tables that ``durable`` wrote, once their last reader is written; other tables are left alone."""
+    for table in tables:
+        for file in table.inputFiles()[:1]:
+            jvm = table.sparkSession._jvm
+            folder = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(file)).getParent()
+            if folder.getName().startswith("tideline-"):
+                folder.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Cut lineage with a table written to the shared folder.
 
