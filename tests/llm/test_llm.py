@@ -92,6 +92,32 @@ def test_jaccard_components_match_brute_force(docs, k, percent):
     assert jaccard.jaccard_components(empty(docs), k, percent).count() == 0
 
 
+def test_one_of_each_with_clashing_names_and_shared_ids(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, long, "a", 1), (1, "another text under the same id, long enough for a few shingles", "b", 2), (2, long + " end", "c", 3),
+            (3, "short", "d", 4), (3, "short", "d", 4), (4, None, "e", 5), (4, None, "e", 5), (None, long, "f", 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _stay string, h long").withColumnRenamed("h", "cls")
+    got = sorted((tuple(r) for r in jaccard.one_of_each(docs).collect()), key=str)
+    assert got == sorted([rows[0], rows[1], rows[3], rows[5], rows[6], rows[7]], key=str)
+    assert {(r["doc_id"], r["n_shingles"] > 9, r["component_id"]) for r in jaccard.jaccard_components(docs).collect()} == {
+        (1, True, 1), (1, False, 1), (2, True, 1), (3, False, 3), (4, False, 4), (None, True, None)}
+
+
+@pytest.mark.parametrize("percent", [30, 50, 60])
+def test_low_thresholds_lose_no_link(spark, percent):
+    rng = random.Random(percent)
+    texts = []
+    for i in range(40):
+        n = rng.randint(20, 100)
+        base = [f"g{i}w{j}" for j in range(n)]
+        texts += [" ".join(base), " ".join(base[:rng.randint(n * percent // 100, n)])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(docs, 1, percent).collect()}
+    for a in range(0, len(texts), 2):
+        x, y = (set(texts[a + i].split()) for i in (0, 1))
+        assert got[a + 1] == (a if 100 * len(x & y) >= percent * len(x | y) else a + 1)
+
+
 def test_linked_pairs_is_a_forest_of_true_links():
     rng = np.random.default_rng(0)
     base = np.arange(200)

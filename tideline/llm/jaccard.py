@@ -23,14 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, Window
 
 from tideline.llm import graph, text as T
-from tideline.session import durable
+from tideline.session import durable, forget
 
 RANGE = 1.5
 BLOCK_DOCS = 1024
 BLOCK_TOKENS = 1 << 20
 _U = np.uint64
 
-SKETCH = "doc_id long, n long, hi long, lo long, ranges array<struct<r: int, size: int, sigs: array<long>>>"
+SKETCH = "doc_id long, h long, n long, hi long, lo long, ranges array<struct<r: int, size: int, sigs: array<long>>>"
 
 
 def size_edges() -> np.ndarray:
@@ -86,7 +86,7 @@ def _sketch(percent: int, k: int):
 
     def run(batches):
         for batch in batches:
-            ids = batch.column(batch.schema.get_field_index("doc_id")).to_pylist()
+            ids, texts = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("doc_id", "h"))
             for block in T.blocks(batch):
                 sets, bounds = shingle_sets(block, k)
                 mixed = T.mix(sets ^ _U(0xA5A5A5A5A5A5A5A5))
@@ -95,15 +95,15 @@ def _sketch(percent: int, k: int):
                 for i, (lo, hi) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
                     ranges = []
                     if hi > lo:
-                        at = int(np.searchsorted(edges, hi - lo, "right")) - 1
-                        up = (at, at + 1) if 100 * (hi - lo) >= percent * int(edges[at + 1]) else (at,)
-                        ranges = [signatures(sets[lo:hi], mixed[lo:hi], level) for level in up]
-                    rows.append({"doc_id": ids[block.lo + i], "n": hi - lo, "hi": high[i], "lo": low[i], "ranges": ranges})
+                        # its own size range, and those of the larger sets that it can link with
+                        at, top = (int(np.searchsorted(edges, n, "right")) - 1 for n in (hi - lo, 100 * (hi - lo) // percent))
+                        ranges = [signatures(sets[lo:hi], mixed[lo:hi], level) for level in range(at, top + 1)]
+                    rows.append({"doc_id": ids[block.lo + i], "h": texts[block.lo + i], "n": hi - lo, "hi": high[i], "lo": low[i], "ranges": ranges})
                 yield pa.RecordBatch.from_pylist(rows, schema=_SKETCH)
     return run
 
 
-_SKETCH = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()),
+_SKETCH = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("n", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()),
                      ("ranges", pa.list_(pa.struct([("r", pa.int32()), ("size", pa.int32()), ("sigs", pa.list_(pa.int64()))])))])
 
 
@@ -198,20 +198,20 @@ def _open(percent: int, queries: bool):
     return run
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id.
+def linked_classes(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame, bool]:
+    """(rows, classes, whether a row is repeated), both tables written.
 
-    Words are lower-cased (A-Z) runs without ASCII white space; the set is the distinct k-word shingles, or the whole
-    sequence when there are fewer words. A null or wordless text has an empty set and links with nothing. Equal
-    sets link. Rows with a repeated doc_id are kept as rows; a null doc_id stands alone (component_id null). Other
-    columns of ``docs`` are not read.
+    ``rows``: doc_id, h (hash of the text), n (size of the set), cls (its class of equal sets) of every row. ``classes``: cls and ``head``, the
+    smallest (doc_id, h) that links reach from it; for rows with a doc_id and a set. Tables are deleted when their last reader is written.
     """
-    docs = docs.select("doc_id", "text")
-    sets = durable(docs.mapInArrow(_sketch(percent, k), SKETCH))
-    known = sets.where("n > 0 and doc_id is not null")
-    classes = durable(known.groupBy("n", "hi", "lo").agg(F.min("doc_id").alias("cls")))
-    rep = known.join(classes.select(F.col("cls").alias("doc_id"), F.col("n").alias("_n"), F.col("hi").alias("_hi"), F.col("lo").alias("_lo")),
-                     "doc_id").where("n = _n and hi = _hi and lo = _lo").select(F.col("doc_id").alias("cls"), F.explode("ranges").alias("x"))
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
+    sketched = durable(docs.mapInArrow(_sketch(percent, k), SKETCH).withColumn("row", F.monotonically_increasing_id()))
+    rows = durable(sketched.select("doc_id", "h", "n", "row", F.xxhash64("n", "hi", "lo").alias("cls")))
+    known = rows.where("n > 0 and doc_id is not null")
+    classes = durable(known.groupBy("cls").agg(F.min(F.struct("doc_id", "h", "row")).alias("rep")))
+    repeated = known.groupBy("doc_id", "h").count().where("count > 1").limit(1).count() > 0
+    rep = durable(sketched.select("row", "ranges").join(classes.select("cls", "rep.row"), "row").select("cls", F.explode("ranges").alias("x")))
+    forget(sketched)
     signatures = rep.select("cls", F.col("x.r").alias("r"), F.col("x.size").alias("size"), F.explode("x.sigs").alias("sig"))
     count = durable(signatures.groupBy("sig").agg(F.count("*").alias("cnt")).where("cnt > 1"))
     own = Window.partitionBy("cls", "size", "r")
@@ -219,6 +219,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
               .withColumn("n_shared", F.count("*").over(own)).where("n_shared >= r")
               .withColumn("place", F.row_number().over(own.orderBy(F.desc("cnt"), "sig"))))
     shared = durable(shared.select("cls", "sig", "r", (F.col("place") >= F.col("r")).alias("indexed")))
+    forget(rep, count)
 
     first = shared.where("indexed").groupBy("sig").agg(F.min("cls").alias("leader"), F.count("*").alias("c")).where("c > 1")
     # Of the leaders with which a class shares most signatures (or half as many), the first: near copies then agree on one.
@@ -230,9 +231,11 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     for _ in range(2):  # a leader that follows another takes its group along, so a family is few groups
         upper = best.select(F.col("cls").alias("leader"), F.col("leader").alias("upper"))
         best = best.join(upper, "leader").select("cls", F.col("upper").alias("leader"))
-    tokens = durable(docs.join(best.select(F.col("cls").alias("doc_id"), "leader"), "doc_id")
-                     .select("doc_id", "text", "leader").dropDuplicates(["doc_id"])
-                     .mapInArrow(_with_leader(k), "cls long, leader long, tokens array<long>"))
+    at = best.join(classes, "cls").select("cls", "leader", "rep.doc_id", "rep.h")
+    text = docs.join(at, ["doc_id", "h"]).select(F.col("cls").alias("doc_id"), "text", "leader")
+    if repeated:
+        text = text.dropDuplicates(["doc_id"])
+    tokens = durable(text.mapInArrow(_with_leader(k), "cls long, leader long, tokens array<long>"))
     width = tokens.groupBy("leader").agg(F.count("*").alias("c"), F.sum(F.size("tokens")).alias("t"))
     salts = width.select("leader", F.ceil(F.greatest(F.col("c") / BLOCK_DOCS, F.col("t") / BLOCK_TOKENS)).cast("int").alias("salts"))
     member = durable(tokens.select("cls", "leader").join(salts, "leader").select(
@@ -261,11 +264,24 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
         _open(percent, True), "a long, b long")
 
     final = graph.components(inside.union(across))
-    answer = classes.join(final.select(F.col("node").alias("cls"), "root"), "cls", "left").select(
-        "n", "hi", "lo", F.coalesce("root", "cls").alias("root"))
-    return sets.select("doc_id", "n", "hi", "lo").join(answer, ["n", "hi", "lo"], "left").select(
+    forget(shared, tokens, member, inside, queries, label)
+    rooted = durable(classes.join(final.select(F.col("node").alias("cls"), "root"), "cls", "left").select("cls", "rep", F.coalesce("root", "cls").alias("root")))
+    heads = durable(rooted.groupBy("root").agg(F.min(F.struct("rep.doc_id", "rep.h")).alias("head")))
+    return rows, durable(rooted.join(heads, "root").select("cls", "head")), repeated
+
+
+def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, component_id.
+
+    Words are lower-cased (A-Z) runs without ASCII white space; the set is the distinct k-word shingles, or the whole
+    sequence when there are fewer words. A null or wordless text has an empty set and links with nothing. Equal
+    sets link. Rows with one doc_id are kept as rows, and are documents of their own if their texts differ; a null doc_id stands
+    alone (component_id null). Other columns of ``docs`` are not read.
+    """
+    rows, classes, _ = linked_classes(docs, k, percent)
+    return rows.join(classes, "cls", "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
-        F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("root")).otherwise(F.col("doc_id")).alias("component_id"))
+        F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("head.doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def _with_leader(k: int):
@@ -282,12 +298,16 @@ def _with_leader(k: int):
 
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one row per group of near duplicates, the one with the smallest doc_id; all columns kept.
+    """``docs`` with one row per group of near duplicates, the one with the smallest doc_id; all columns kept, whatever their names.
 
-    Rows with a repeated doc_id count as copies; rows with a null doc_id or an empty set stay.
+    Rows with one doc_id and different texts are different documents; of rows with equal doc_id and text one stays. Rows with a
+    null doc_id or an empty set stay.
     """
-    groups = jaccard_components(docs, k, percent)
-    stay = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_stay")).distinct()
-    named = docs.where("doc_id is not null")
-    kept = named.join(stay, F.col("doc_id") == F.col("_stay"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))
+    rows, classes, repeated = linked_classes(docs, k, percent)
+    stay = classes.select("head.doc_id", "head.h", F.lit(True).alias("one")).distinct()
+    empty = rows.where("n = 0 and doc_id is not null").select("doc_id", "h", F.lit(False).alias("one")).distinct()
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    found = docs.select(whole, "doc_id", F.xxhash64("text").alias("h")).join(stay.union(empty), ["doc_id", "h"])
+    if repeated:
+        found = found.where("not one").unionByName(found.where("one").dropDuplicates(["doc_id", "h"]))
+    return found.select("row.*").unionByName(docs.where("doc_id is null"))
