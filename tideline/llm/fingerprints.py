@@ -55,17 +55,27 @@ def merge(a: Column, b: Column, k: int = K) -> Column:
     return bottom(F.array_union(a, b), k)
 
 
+def _shares(a: Column, b: Column, k: int) -> Column:
+    """(resemblance, containment) of two sketches: shares among the union's smallest hashes, found with one union and one intersection."""
+    def upto(hashes: Column, last: Column) -> Column:
+        return F.size(F.filter(hashes, lambda h: h <= last)).cast("double")
+
+    return let(merge(a, b, k), lambda u: let(F.element_at(u, -1), lambda last: let(upto(F.array_intersect(a, b), last), lambda both: F.struct(
+        (both / F.size(u)).alias("resemblance"), (both / F.when(upto(a, last) > 0, upto(a, last))).alias("containment")))))
+
+
+def _likeness(a: Column, b: Column, k: int) -> Column:
+    return F.when((F.size(a) > 0) & (F.size(b) > 0), _shares(a, b, k)).otherwise(F.struct(
+        F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(0.0).alias("resemblance"), F.when(F.size(a) == 0, 1.0).otherwise(0.0).alias("containment")))
+
+
 def resemblance(a: Column, b: Column, k: int = K) -> Column:
-    both = let(merge(a, b, k), lambda u: F.when(F.size(u) == 0, F.lit(1.0)).otherwise(
-        F.size(F.array_intersect(F.array_intersect(u, a), b)).cast("double") / F.size(u)))
-    return both
+    return _likeness(a, b, k)["resemblance"]
 
 
 def containment(a: Column, b: Column, k: int = K) -> Column:
     """The share of a's shingles that b holds; 1 if a has none, and null if none of a's hashes is among the union's smallest."""
-    own = let(F.array_intersect(merge(a, b, k), a), lambda u: F.when(F.size(a) == 0, F.lit(1.0)).when(
-        F.size(u) > 0, F.size(F.array_intersect(u, b)).cast("double") / F.size(u)))
-    return own
+    return _likeness(a, b, k)["containment"]
 
 
 def distinct_shingles(a: Column, k: int = K) -> Column:
@@ -103,17 +113,17 @@ def with_edits(docs: DataFrame) -> DataFrame:
         F.col("before").alias("_key"), F.expr("substring(text, 1, wanted)").alias("head"), F.unhex(F.array_join(sketch(F.col("text")), "")).alias("following"))
     edited = F.concat(F.expr("substring(text, 1, length(text) - length(text) div 4)"), F.col("head"))
     copies = ring.where("copies > 1").select("_key", "copies")
-    pairs = texts.join(heads, "_key").select("_key", "text", edited.alias("edited"), F.hex("following").alias("following"))
+    pairs = texts.join(heads, "_key").select("_key", "text", edited.alias("edited"), "following")
     return pairs.join(copies, "_key", "left").select(
-        "_key.doc_id", "text", "edited", spelled(F.lower("following")).alias("following"),
+        "_key.doc_id", "text", "edited", spelled(F.col("following")).alias("following"),
         F.explode(F.sequence(F.lit(1), F.coalesce("copies", F.lit(1)))).alias("_copy")).drop("_copy")
 
 
-def spelled(joined: Column) -> Column:
-    """The hashes of a sketch written as one text."""
-    n = F.length(joined)
-    return F.when(n == 0, F.array().cast("array<string>")).otherwise(
-        F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1)), F.lit(DIGITS)), lambda i: F.substring(joined, i, F.lit(DIGITS))))
+def spelled(packed: Column) -> Column:
+    """The hashes of a sketch from their bytes, one after the other."""
+    size = DIGITS // 2
+    return F.when(F.length(packed) == 0, F.array().cast("array<string>")).otherwise(F.transform(
+        F.sequence(F.lit(1), F.greatest(F.length(packed), F.lit(1)), F.lit(size)), lambda i: F.lower(F.hex(F.substring(packed, i, F.lit(size))))))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -124,10 +134,11 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     rows = with_edits(docs).select("doc_id", F.length("text").cast("bigint").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
                                    "following", sketch(F.col("text")).alias("own"), sketch(F.col("edited")).alias("other"))
     own, other = F.col("own"), F.col("other")
+    rows = rows.withColumn("likeness", _likeness(own, other, K))
     return rows.select(
         "doc_id", "n_chars", "edited_sha256", F.array_join(own, "").alias("fingerprint"), F.array_join(other, "").alias("edited_fingerprint"),
-        resemblance(own, other).alias("near_edited"), resemblance(own, F.col("following")).alias("near_next"),
-        distinct_shingles(own).alias("n_shingles"), containment(own, other).alias("kept_share"))
+        F.col("likeness.resemblance").alias("near_edited"), resemblance(own, F.col("following")).alias("near_next"),
+        distinct_shingles(own).alias("n_shingles"), F.col("likeness.containment").alias("kept_share"))
 
 
 def oracle() -> str:
