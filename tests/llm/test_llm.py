@@ -8,9 +8,11 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tideline.llm import decontaminate, jaccard, mixing, pitman_yor, planes, quality, repetition, substrings, toxicity, urls
+from tideline.llm import text as T
 from tideline.llm.queries import MIX, URL_RULES, tokenizer_file
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -158,6 +160,23 @@ def test_decontamination(spark):
     assert decontaminate.contaminated_pairs(docs.where("false"), bench).count() == 0
 
 
+def test_toxic_terms_are_met_at_every_mark_and_quotes_are_paired():
+    automaton = toxicity.Automata(["idiot", "moron"])
+
+    def found(text):
+        batch = pa.RecordBatch.from_arrays([pa.array([text, "then idiot"])], names=["text"])
+        row, word, term, _, quoted, n_words = toxicity.hits(next(T.blocks(batch)), automaton)
+        assert (row[-1], word[-1], n_words[1]) == (1, 1, 2)
+        return [("idiot", "moron")[t] for t in term[row == 0]], quoted[row == 0].tolist()
+
+    for text in ("idiot/moron", "idiot,moron", "idiot\u00a0moron", "word...idiot moron"):
+        assert found(text)[0] == ["idiot", "moron"]
+    assert found("stupid-idiot")[0] == found("idiot\u00a0")[0] == found("ld idiott")[0] == ["idiot"]
+    assert found('he said "fine" you idiot then "ok"') == (["idiot"], [False])
+    assert found('he said "you idiot" and \u00abidiot\u00bb') == (["idiot", "idiot"], [True, True])
+    assert found('5" idiot') == (["idiot"], [False]) and found("") == ([], [])
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a):

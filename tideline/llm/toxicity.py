@@ -20,6 +20,8 @@ from tideline.llm import sampling, text as T
 PER_CLASS = 6000
 MIN_DOCS = 4
 RATIO = 4.0
+CHANCE = 0.01
+AROUND = 4
 CHUNK = 32
 MEMORY = 1 << 20
 WINDOW = 12
@@ -182,21 +184,28 @@ def hits(block: T.Block, automaton: Automata) -> tuple[np.ndarray, ...]:
     opens[edge] = inside[edge]
     word_start = np.flatnonzero(opens)
     first = np.searchsorted(word_start, bounds)
-    # The word without marks at its ends: from its first to its last letter, digit or accent.
+    # Candidates: every run of letters, digits and accents, as the lexicon has them; and of a word with several, all from the first to the last.
     letters = np.flatnonzero(wordy)
-    stop = np.append(word_start[1:], len(chars))
-    lo, hi = np.searchsorted(letters, word_start), np.searchsorted(letters, stop) - 1
-    some = np.flatnonzero(hi >= lo)
-    start, end = letters[lo[some]], letters[hi[some]] + 1
+    head = np.ones(len(letters), bool)
+    head[1:] = (np.diff(letters) > 1) | np.isin(letters[1:], edge)
+    start, end = letters[head], letters[np.append(np.flatnonzero(head)[1:] - 1, len(letters) - 1)] + 1 if len(letters) else letters
+    word = np.searchsorted(word_start, start, "right") - 1
+    several = np.flatnonzero(np.bincount(word, minlength=len(word_start)) > 1)
+    low, high = np.searchsorted(word, several), np.searchsorted(word, several, "right") - 1
+    word, start, end = np.append(word, several), np.append(start, start[low]), np.append(end, end[high])
+    order = np.lexsort((start, word))
+    word, start, end = word[order], start[order], end[order]
     term, distance = automaton.find(chars, start, end)
     found = np.flatnonzero(term >= 0)
-    word, term, distance = some[found], term[found], distance[found]
+    word, start, term, distance = word[found], start[found], term[found], distance[found]
     row = np.searchsorted(first, word, "right") - 1
-    marks = np.searchsorted(word_start, np.flatnonzero(_QUOTE[chars]), "right") - 1  # words with a quotation mark
-    quoted = np.zeros(len(word), bool)
-    for i, (w, r) in enumerate(zip(word.tolist(), row.tolist(), strict=True)):
-        near = marks[np.searchsorted(marks, max(w - WINDOW, first[r])):np.searchsorted(marks, min(w + WINDOW + 1, first[r + 1]))]
-        quoted[i] = len(near) > 1 and near[0] <= w <= near[-1]
+    # Quoted: an odd number of marks stands before it in its text, and the marks on both sides are near.
+    marks = np.flatnonzero(_QUOTE[chars])
+    at = np.append(np.searchsorted(word_start, marks, "right") - 1, -1)
+    of_row = np.searchsorted(marks, bounds)
+    before = np.searchsorted(marks, start)
+    odd = ((before - of_row[row]) % 2 == 1) & (before < of_row[row + 1])
+    quoted = odd & (word - at[np.maximum(before - 1, 0)] <= WINDOW) & (at[np.minimum(before, len(marks))] - word <= WINDOW)
     return row, word - first[row], term, distance, quoted, np.diff(first)
 
 
@@ -229,18 +238,40 @@ class Model:
 
 
 def learn_lexicon(sample: DataFrame) -> list[str]:
-    """Words whose share of the toxic documents is over ``RATIO`` times that of the clean ones, both smoothed; the most telling first.
+    """Words that mark the toxic documents of the sample beyond chance, the most telling first.
 
-    A word is in ``MIN_DOCS`` toxic documents of the sample at least, which bounds their number. Shares do not depend on how many labelled
-    rows a sampled one stands for.
+    A word counts in a document, but copies of one passage count once: its number is that of documents or that of different surroundings
+    (``AROUND`` words on each side), whichever is less. Its smoothed share of the toxic documents is over ``RATIO`` times that of the clean ones,
+    and larger in both halves of the sample (dealt by hash of the id); and the likelihood ratio of two shares against one exceeds what
+    the best of all words tried reaches by chance with a probability of ``CHANCE`` at most.
     """
-    rows = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
-    words = sample.select("label", F.explode(F.array_distinct(F.regexp_extract_all(
-        F.lower("text"), F.lit(r"[\p{L}\p{M}\p{N}]+"), F.lit(0)))).alias("w")).where("length(w) between 3 and 40")
-    counts = words.groupBy("w").agg(*[F.sum((F.col("label") == k).cast("int")).alias(c) for k, c in ((1, "toxic"), (0, "clean"))])
-    share = lambda c, k: (F.col(c) + 0.5) / (rows.get(k, 0) + 1.0)
-    good = counts.where(F.col("toxic") >= MIN_DOCS).withColumn("ratio", share("toxic", 1) / share("clean", 0)).where(F.col("ratio") > RATIO)
-    return [r["w"] for r in good.orderBy(F.desc("ratio"), "w").select("w").collect()]
+    half = F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2)).alias("half")
+    rows = {(r["label"], r["half"]): r["count"] for r in sample.groupBy("label", half).count().collect()}
+    split = sample.select("label", half, "doc_id", F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{M}\p{N}]+"), F.lit(0)).alias("ws"))
+    sides = [k for k in range(-AROUND, AROUND + 1) if k]
+    around = lambda i: F.xxhash64(*[F.coalesce(F.when(i + k >= 0, F.get(F.col("ws"), F.greatest(i + k, F.lit(0)))), F.lit("")) for k in sides])
+    words = split.select("label", "half", "doc_id", F.explode(F.transform("ws", lambda w, i: F.struct(w.alias("w"), around(i).alias("c")))).alias("x")) \
+        .select("label", "half", "doc_id", "x.w", "x.c").where("length(w) between 3 and 40")
+    found = words.groupBy("w", "label", "half").agg(F.least(F.count_distinct("doc_id"), F.count_distinct("c")).alias("n"))
+    counts = found.groupBy("w").agg(*[F.coalesce(F.sum(F.when((F.col("label") == k) & (F.col("half") == h), F.col("n"))), F.lit(0)).alias(f"n{k}{h}")
+                                      for k in (0, 1) for h in (0, 1)]).where(f"n10 + n11 >= {MIN_DOCS}")
+    tried = counts.count()
+    if not tried:
+        return []
+    total = [sum(rows.get((k, h), 0) for h in (0, 1)) for k in (0, 1)]
+    share = lambda n, size: (n + 0.5) / (size + 1.0)
+    ratio = lambda h: share(F.col(f"n1{h}"), rows.get((1, h), 0)) / share(F.col(f"n0{h}"), rows.get((0, h), 0))
+    toxic, clean = F.col("n10") + F.col("n11"), F.col("n00") + F.col("n01")
+    both = (toxic + clean) / float(sum(total))
+
+    def gain(n, size, p):  # log likelihood of n of size at its own share over that at p
+        own = n / float(max(size, 1))
+        return F.when(n > 0, n * F.log(own / p)).otherwise(0.0) + F.when(n < size, (size - n) * F.log((1 - own) / (1 - p))).otherwise(0.0)
+
+    bound = math.log(tried / CHANCE)  # a likelihood ratio of one degree of freedom exceeds 2 b with a chance below exp(-b)
+    whole = share(toxic, total[1]) / share(clean, total[0])
+    good = counts.where((whole > RATIO) & (ratio(0) > 1) & (ratio(1) > 1) & (both < 1)).where(gain(toxic, total[1], both) + gain(clean, total[0], both) > bound)
+    return [r["w"] for r in good.orderBy(F.desc(whole), "w").select("w").collect()]
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, lexicon: list[str] | None = None) -> Model:
