@@ -74,7 +74,7 @@ def master_of(spark, d):
 
 
 # ------------------------------------------------------------------ cleaning
-@query("catalog_identity_columns", "S4", with_ctes(*CAT, body="SELECT id_text, release_text, release_year_text FROM raw"))
+@query("catalog_identity_columns", "P1", with_ctes(*CAT, body="SELECT id_text, release_text, release_year_text FROM raw"))
 def catalog_identity_columns(spark, d):
     return raw_catalog(spark, d).select("id_text", "release_text", "release_year_text")
 

@@ -53,7 +53,7 @@ def features_of(spark, d, **kw):
 
 
 # ------------------------------------------------------------------ observations
-@query("typed_observations", "P10 S5", with_ctes(ALL_OBS, body="""
+@query("typed_observations", "P10", with_ctes(ALL_OBS, body="""
 SELECT entity_id, record_index, ts, shop_id, deal_status, price, price_amount_int, price_currency,
        regular, regular_amount_int, regular_currency, cut, kind, issue FROM all_obs"""))
 def typed_observations(spark, d):

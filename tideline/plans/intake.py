@@ -49,7 +49,7 @@ journal AS (
     CASE WHEN kind = 'round' THEN rb + 1 + CASE WHEN pos % 101 = 5 THEN 1 ELSE 0 END WHEN kind = 'attempt' THEN rb END AS round FROM j1)"""
 
 
-@query("journal_counts", "A31 S9", with_ctes(JOURNAL, body="""
+@query("journal_counts", "A31", with_ctes(JOURNAL, body="""
 SELECT count(*) FILTER (WHERE kind = 'attempt') AS attempts, count(*) FILTER (WHERE kind = 'result' AND http_status = 200) AS successful,
   count(*) FILTER (WHERE kind = 'result' AND http_status <> 200) AS failed,
   count(*) FILTER (WHERE kind = 'attempt') - count(*) FILTER (WHERE kind = 'result') AS unknown_outcome FROM journal"""))
@@ -331,7 +331,7 @@ def array_functions(spark, d):
         F.exists(t, lambda x: F.length(x) > 3).alias("any_long"), F.forall(t, lambda x: F.length(x) > 3).alias("all_long"))
 
 
-@query("json_functions", "F6 S6", """
+@query("json_functions", "F6", """
 SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, json_extract_string(props, '$.absent') AS absent, true AS valid_json,
   '{"event_type":"' || event_type || '","user_id":' || user_id || '}' AS row_json FROM events""")
 def json_functions(spark, d):

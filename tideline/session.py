@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -43,14 +44,25 @@ def shared_folder(spark: SparkSession) -> str:
     return named
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nothing holds any more.
+
+    Spark does so when the driver's JVM collects those plans, which a driver with memory to spare may put off for half an hour.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def forget(*tables: DataFrame) -> None:
-    """Delete tables that ``durable`` wrote, once their last reader is written; other tables are left alone."""
+    """Delete tables that ``durable`` wrote, once their last reader is written, and old shuffle files; other tables are left alone."""
     for table in tables:
         for file in table.inputFiles()[:1]:
             jvm = table.sparkSession._jvm
             folder = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(file)).getParent()
             if folder.getName().startswith("tideline-"):
                 folder.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+    if tables:
+        release_shuffles(tables[0].sparkSession)
 
 
 def durable(df: DataFrame) -> DataFrame:
