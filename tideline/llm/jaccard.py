@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, Window
 
 from tideline.llm import graph, text as T
-from tideline.session import durable, forget
+from tideline.session import durable, forget, release_shuffles
 
 RANGE = 1.5
 BLOCK_DOCS = 1024
@@ -210,10 +210,12 @@ def linked_classes(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, Da
     known = rows.where("n > 0 and doc_id is not null")
     classes = durable(known.groupBy("cls").agg(F.min(F.struct("doc_id", "h", "row")).alias("rep")))
     repeated = known.groupBy("doc_id", "h").count().where("count > 1").limit(1).count() > 0
-    rep = durable(sketched.select("row", "ranges").join(classes.select("cls", "rep.row"), "row").select("cls", F.explode("ranges").alias("x")))
-    forget(sketched)
+    picked = durable(classes.select("cls", "rep.row"))  # two numbers a class: Spark sends them to the sketches while they are few
+    rep = durable(sketched.select("row", "ranges").join(picked, "row").select("cls", F.explode("ranges").alias("x")))
+    forget(sketched, picked)
     signatures = rep.select("cls", F.col("x.r").alias("r"), F.col("x.size").alias("size"), F.explode("x.sigs").alias("sig"))
     count = durable(signatures.groupBy("sig").agg(F.count("*").alias("cnt")).where("cnt > 1"))
+    release_shuffles(docs.sparkSession)
     own = Window.partitionBy("cls", "size", "r")
     shared = (signatures.join(count, "sig").distinct()
               .withColumn("n_shared", F.count("*").over(own)).where("n_shared >= r")
@@ -227,7 +229,7 @@ def linked_classes(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, Da
             .groupBy("cls").agg(F.collect_list(F.struct("leader", "c")).alias("l"), F.max(F.when(F.col("cls") != F.col("leader"), F.col("c"))).alias("most"))
             .select("cls", F.coalesce(F.array_min(F.transform(F.filter("l", lambda x: x["c"] * 2 >= F.col("most")), lambda x: x["leader"])),
                                       "cls").alias("leader")))
-    best = durable(best)
+    best = best_leaders = durable(best)
     for _ in range(2):  # a leader that follows another takes its group along, so a family is few groups
         upper = best.select(F.col("cls").alias("leader"), F.col("leader").alias("upper"))
         best = best.join(upper, "leader").select("cls", F.col("upper").alias("leader"))
@@ -236,6 +238,7 @@ def linked_classes(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, Da
     if repeated:
         text = text.dropDuplicates(["doc_id"])
     tokens = durable(text.mapInArrow(_with_leader(k), "cls long, leader long, tokens array<long>"))
+    forget(best_leaders)
     width = tokens.groupBy("leader").agg(F.count("*").alias("c"), F.sum(F.size("tokens")).alias("t"))
     salts = width.select("leader", F.ceil(F.greatest(F.col("c") / BLOCK_DOCS, F.col("t") / BLOCK_TOKENS)).cast("int").alias("salts"))
     member = durable(tokens.select("cls", "leader").join(salts, "leader").select(
@@ -246,6 +249,7 @@ def linked_classes(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, Da
         F.col("leader").alias("cls"), F.explode(F.transform(F.sequence(F.lit(0), F.col("salts") - 1),
                                                             lambda s: F.xxhash64(F.col("leader"), s))).alias("block")))).distinct()
     inside = durable(tokens.select("cls", "tokens").join(seats, "cls").groupBy("block").applyInArrow(_open(percent, False), "a long, b long"))
+    release_shuffles(docs.sparkSession)
 
     label = graph.components(inside)
     seat = member.select("cls", "block").join(label.select(F.col("node").alias("cls"), "root"), "cls", "left").select(
