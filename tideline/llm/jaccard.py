@@ -201,14 +201,20 @@ def _open(percent: int, queries: bool):
 def linked_classes(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame, bool]:
     """(rows, classes, whether a row is repeated), both tables written.
 
-    ``rows``: doc_id, h (hash of the text), n (size of the set), cls (its class of equal sets) of every row. ``classes``: cls and ``head``, the
+    ``rows``: doc_id, h (hash of the text), n (size of the set), key (of its class of equal sets) of every row. ``classes``: key and ``head``, the
     smallest (doc_id, h) that links reach from it; for rows with a doc_id and a set. Tables are deleted when their last reader is written.
+
+    A class is numbered by its smallest doc_id, so leaders are early documents, which the copies resemble most; classes that have
+    their smallest doc_id in common are numbered by their keys.
     """
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
     sketched = durable(docs.mapInArrow(_sketch(percent, k), SKETCH).withColumn("row", F.monotonically_increasing_id()))
-    rows = durable(sketched.select("doc_id", "h", "n", "row", F.xxhash64("n", "hi", "lo").alias("cls")))
+    rows = durable(sketched.select("doc_id", "h", "n", "row", F.xxhash64("n", "hi", "lo").alias("key")))
     known = rows.where("n > 0 and doc_id is not null")
-    classes = durable(known.groupBy("cls").agg(F.min(F.struct("doc_id", "h", "row")).alias("rep")))
+    equal = known.groupBy("key").agg(F.min(F.struct("doc_id", "h", "row")).alias("rep")).withColumn("doc_id", F.col("rep.doc_id"))
+    shared_id = equal.groupBy("doc_id").agg(F.count("*").alias("several")).where("several > 1")
+    classes = durable(equal.join(shared_id, "doc_id", "left").select(
+        "key", F.when(F.col("several").isNull(), F.col("doc_id")).otherwise(F.col("key")).alias("cls"), "rep"))
     repeated = known.groupBy("doc_id", "h").count().where("count > 1").limit(1).count() > 0
     picked = durable(classes.select("cls", "rep.row"))  # two numbers a class: Spark sends them to the sketches while they are few
     rep = durable(sketched.select("row", "ranges").join(picked, "row").select("cls", F.explode("ranges").alias("x")))
@@ -269,9 +275,9 @@ def linked_classes(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, Da
 
     final = graph.components(inside.union(across))
     forget(shared, tokens, member, inside, queries, label)
-    rooted = durable(classes.join(final.select(F.col("node").alias("cls"), "root"), "cls", "left").select("cls", "rep", F.coalesce("root", "cls").alias("root")))
+    rooted = durable(classes.join(final.select(F.col("node").alias("cls"), "root"), "cls", "left").select("key", "rep", F.coalesce("root", "cls").alias("root")))
     heads = durable(rooted.groupBy("root").agg(F.min(F.struct("rep.doc_id", "rep.h")).alias("head")))
-    return rows, durable(rooted.join(heads, "root").select("cls", "head")), repeated
+    return rows, durable(rooted.join(heads, "root").select("key", "head")), repeated
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -283,7 +289,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     alone (component_id null). Other columns of ``docs`` are not read.
     """
     rows, classes, _ = linked_classes(docs, k, percent)
-    return rows.join(classes, "cls", "left").select(
+    return rows.join(classes, "key", "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("head.doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
