@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tideline.operators import evidence, labels, observations as obs_ops
 from tideline.plans import bindings as b
 from tideline.plans.registry import query
+from tideline.session import durable
 from tideline.sources import history
 
 SINCE = "1990-01-01T00:00:00Z"
@@ -77,10 +78,10 @@ def documents(spark, d):
 
 
 def resolved(spark, d):
-    """Checked documents, one for each order that has one."""
+    """Checked documents, one for each order that has one; written, as statuses and records both read them."""
     docs, manifest = documents(spark, d)
     checked = history.against_manifest(history.document_status(history.parse_documents(docs, history.PUBLISHED), **CONFIG), manifest)
-    return checked.withColumn("entity_id", F.regexp_extract("path", r"([0-9]+)\.json$", 1).cast("bigint"))
+    return durable(checked.select("status", "reason", "doc", F.regexp_extract("path", r"([0-9]+)\.json$", 1).cast("bigint").alias("entity_id")))
 
 
 def orders(spark, d):
