@@ -66,15 +66,18 @@ def op4_bit_plane_shuffling(spark: SparkSession, sf_dir: str) -> DataFrame:
 with i as (select item_id, {WORDS.format(LOWER.format("text"))} as w,
              len({WORDS.format("regexp_extract(rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '^((?s).*)' || chr(10) || '[^' || chr(10) || ']*$', 1)")}) as nq
            from benchmark),
-longest as (select max(len(w)) as l from i where len(w) >= 5),
-ig as (select item_id, nq, p, array_to_string(w[p + 1:p + 5], ' ') as g from (select *, unnest(range(0, len(w) - 4)) as p from i where len(w) >= 5)),
-ip as (select item_id, g, bool_or(nq = 0 or p < nq) as q, bool_or(nq = 0 or p + 5 > nq) as a from ig group by 1, 2),
+longest as (select max(len(w)) as l from i),
+ig as (select item_id, nq, p, s, array_to_string(w[p + 1:p + s], ' ') as g
+       from (select *, least(len(w), 5) as s, unnest(range(0, len(w) - least(len(w), 5) + 1)) as p from i where len(w) > 0)),
+ip as (select item_id, g, s, bool_or(nq = 0 or p < nq) as q, bool_or(nq = 0 or p + s > nq) as a from ig group by 1, 2, 3),
 n as (select item_id, count(*) as n_item, count(*) filter (where q) as n_q, count(*) filter (where a) as n_a from ip group by 1),
 d as (select doc_id, {WORDS.format(LOWER.format("text"))} as w from documents),
-dg as (select doc_id, p, array_to_string(w[p + 1:p + 5], ' ') as g from (select *, unnest(range(0, len(w) - 4)) as p from d where len(w) >= 5)),
-hit as (select doc_id, p, item_id, g, q, a from dg join ip using (g)),
+sizes as (select distinct s from ip),
+dg as (select doc_id, p, s, array_to_string(w[p + 1:p + s], ' ') as g
+       from (select *, unnest(range(0, len(w) - s + 1)) as p from d join sizes on len(w) >= s)),
+hit as (select doc_id, p, s, item_id, g, q, a from dg join ip using (g, s)),
 win as (select doc_id, item_id, g, q, a, p // l as win from hit, longest
-        union select doc_id, item_id, g, q, a, p // l - 1 from hit, longest where p // l > 0 and (p + 4) // l = p // l),
+        union select doc_id, item_id, g, q, a, p // l - 1 from hit, longest where p // l > 0 and (p + s - 1) // l = p // l),
 c as (select doc_id, item_id, win, count(*) as n_shared, count(*) filter (where q) as s_q, count(*) filter (where a) as s_a from win group by 1, 2, 3),
 best as (select c.*, n_item, s_q / n_q as question_overlap, s_a / n_a as answer_overlap,
            row_number() over (partition by doc_id, item_id order by n_shared desc, s_q / n_q desc, s_a / n_a desc) as k
