@@ -15,6 +15,7 @@ from tideline.session import durable
 SAMPLE = 12_000
 TREES, DEPTH = 10, 4
 PRIOR = 20.0
+FOLDS = 5
 
 FEATURES = ["length", "host_length", "host_depth", "path_depth", "path_length", "digit_ratio", "entropy", "parameters", "query_length",
             "fragment", "tail_digits", "suffix_rate", "domain_rate"]
@@ -61,10 +62,28 @@ def lexical(pages: DataFrame) -> DataFrame:
         F.substring_index("host", ".", -1).alias("suffix"), F.substring_index("host", ".", -2).alias("domain"))
 
 
+def fold(url: Column) -> Column:
+    return F.pmod(F.xxhash64(url), F.lit(FOLDS))
+
+
+def smoothed(there: Column | None = None) -> Column:
+    """Smoothed share of blocked rows among those that are ``there``."""
+    of = lambda c: F.sum(c) if there is None else F.coalesce(F.sum(F.when(there, c)), F.lit(0.0))
+    return (of(F.col("label") * F.col("copies")) + PRIOR / 2) / (of(F.col("copies").cast("double")) + PRIOR)
+
+
 def rates(taught: DataFrame, key: str, name: str) -> DataFrame:
     """Smoothed share of blocked rows for each key of all rows that rules decide; ``taught`` has distinct urls and their copies."""
-    return taught.groupBy(key).agg(
-        ((F.sum(F.col("label") * F.col("copies")) + PRIOR / 2) / (F.sum("copies") + PRIOR)).alias(name))
+    return taught.groupBy(key).agg(smoothed().alias(name))
+
+
+def fold_rates(taught: DataFrame, key: str, name: str) -> DataFrame:
+    """``rates``, and in ``<name>s`` the same without the urls of each fold.
+
+    A url that teaches the trees has the rate without its own fold, so that it is not told its own verdict: a key whose urls all lie
+    in one fold has the rate of an unseen key there.
+    """
+    return taught.groupBy(key).agg(smoothed().alias(name), F.array(*[smoothed(fold(F.col("url")) != i) for i in range(FOLDS)]).alias(f"{name}s"))
 
 
 def picked(taught: DataFrame, sizes: dict[float, int], sample: int) -> DataFrame:
@@ -78,30 +97,42 @@ def picked(taught: DataFrame, sizes: dict[float, int], sample: int) -> DataFrame
     return parts[0].union(parts[1])
 
 
-def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], sample: int = SAMPLE) -> DataFrame:
-    """page_id, host, path, rule, verdict and score of every row of ``pages`` (page_id, url).
-
-    Rates of suffixes and domains count all rows that a rule decides. Trees learn from at most ``sample`` distinct urls of them, with
-    copies as weight; if the rules leave only one verdict or none, other urls are allowed. A null url, or one without ``://``, has an empty host and path, which the trees judge. Repeated rows are
-    judged each.
-    """
+def with_rules(pages: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
+    """page_id, url, host, path, the rule that fits and its verdict (``ruled``)."""
     known = pages.select("page_id", "url").withColumns({"host": host(F.col("url")), "path": path(F.col("url"))})
     rule, verdict = ruled(rules)
-    known = known.withColumns({"rule": rule, "ruled": verdict})
+    return known.withColumns({"rule": rule, "ruled": verdict})
+
+
+def judged(known: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """page_id, host, path, rule, verdict and score of every row of ``known`` (see ``with_rules``); trees learn from its ruled rows."""
     taught = durable(known.where("ruled is not null").groupBy("url", "host", "path", (F.col("ruled") == "block").cast("double").alias("label"))
                      .agg(F.count("*").alias("copies")).withColumns(
         {"suffix": F.substring_index("host", ".", -1), "domain": F.substring_index("host", ".", -2)}))
     sizes = {r["label"]: r["count"] for r in taught.groupBy("label").count().orderBy("label").collect()}
     if len(sizes) < 2:
         return known.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.lit("allow")).alias("verdict"), F.lit(0.0).alias("score"))
-    suffix, domain = (durable(rates(taught, k, f"{k}_rate")) for k in ("suffix", "domain"))
+    suffix, domain = (durable(fold_rates(taught, k, f"{k}_rate")) for k in ("suffix", "domain"))
 
-    def vectors(df: DataFrame) -> DataFrame:
-        joined = df.join(suffix, "suffix", "left").join(domain, "domain", "left").fillna(0.5, ["suffix_rate", "domain_rate"])
-        return VectorAssembler(inputCols=FEATURES, outputCol="features").transform(joined)
+    def vectors(df: DataFrame, teaches: bool) -> DataFrame:
+        joined = df.join(suffix, "suffix", "left").join(domain, "domain", "left")
+        if teaches:
+            joined = joined.withColumns({r: F.element_at(f"{r}s", (fold(F.col("url")) + 1).cast("int")) for r in ("suffix_rate", "domain_rate")})
+        return VectorAssembler(inputCols=FEATURES, outputCol="features").transform(joined.fillna(0.5, ["suffix_rate", "domain_rate"]))
 
     trees = GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight", maxIter=TREES, maxDepth=DEPTH, seed=3).fit(
-        durable(vectors(lexical(picked(taught.drop("suffix", "domain"), sizes, sample))).select("features", "label", "weight").repartition(4)))
-    judged = trees.transform(vectors(lexical(known))).withColumn("score", vector_to_array("probability")[1])
-    return judged.select("page_id", "host", "path", "rule",
+        durable(vectors(lexical(picked(taught.drop("suffix", "domain"), sizes, sample)), True).select("features", "label", "weight").repartition(4)))
+    scored = trees.transform(vectors(lexical(known), False)).withColumn("score", vector_to_array("probability")[1])
+    return scored.select("page_id", "host", "path", "rule",
                          F.coalesce("ruled", F.when(F.col("score") >= 0.5, "block").otherwise("allow")).alias("verdict"), "score")
+
+
+def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], sample: int = SAMPLE) -> DataFrame:
+    """page_id, host, path, rule, verdict and score of every row of ``pages`` (page_id, url; other columns are not read).
+
+    Rates of suffixes and domains count all rows that a rule decides. Trees learn from at most ``sample`` distinct urls of them, with
+    copies as weight and rates without their own fold; if the rules leave only one verdict or none, other urls are allowed. A null url,
+    or one without ``://``, has an empty host and path, which the trees judge. Repeated rows are judged each. Urls of any length are
+    read whole. Rules of one length cannot both fit unless equal; the later one by text then wins.
+    """
+    return judged(with_rules(pages, rules), sample)
