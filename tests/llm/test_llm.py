@@ -372,8 +372,26 @@ def test_url_rates_count_all_rows_and_samples_hold_both_verdicts(spark):
 def test_seating_in_steps_is_close_to_one_by_one():
     rng = np.random.default_rng(0)
     n, mass, discount, k = 1000, 30.0, 0.8, 3000
-    fast = pitman_yor.new_tables(np.full(k, n), discount, np.full(k, (mass - pitman_yor.STRENGTH) / discount), np.ones(k), rng)
+    fast = pitman_yor.new_tables(np.full(k, n), discount, np.full(k, (mass - pitman_yor.STRENGTH) / discount), np.ones(k), T.mix(np.arange(1, k + 1, dtype=np.uint64)))
     slow = np.ones(k)
     for i in range(1, n):
         slow += rng.random(k) * (mass + i - discount * slow) < mass
     assert abs(fast.mean() / slow.mean() - 1) < 0.015 and abs(fast.std() / slow.std() - 1) < 0.1
+
+
+def test_binomial_draws_by_key():
+    key = T.mix(np.arange(1, 40_001, dtype=np.uint64))
+    for n, p in ((8, 0.0), (8, 1.0), (8, 0.03), (8, 0.9), (40, 0.5), (100, 0.2), (1000, 0.1), (5000, 0.97)):
+        x = pitman_yor.binomial(np.full(len(key), n), np.full(len(key), p), key, 70)
+        sd = math.sqrt(n * p * (1 - p))
+        assert x.min() >= 0 and x.max() <= n and (x == np.floor(x)).all()
+        assert abs(x.mean() - n * p) <= 4 * sd / 200 + 1e-12 and abs(x.std() - sd) <= 0.03 * sd
+        if sd:
+            assert abs(((x - n * p) ** 3).mean() / sd**3 - (1 - 2 * p) / sd) < 0.1
+
+
+def test_pitman_yor_does_not_depend_on_partitions(spark, docs):
+    frequent = spark.createDataFrame([(2000 + i, "the same of the same " * 9) for i in range(60)], "doc_id long, text string")
+    rows = docs.select("doc_id", "text").union(frequent)
+    one, eight = ({(r["doc_id"], r["base_score"] // 0.01): r["score"] for r in pitman_yor.score(rows.repartition(n)).collect()} for n in (1, 8))
+    assert one.keys() == eight.keys() and all(math.isclose(one[k], eight[k], rel_tol=1e-9) for k in one)
