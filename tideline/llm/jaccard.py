@@ -81,7 +81,7 @@ def _sketch(percent: int, k: int):
             empty = np.setdiff1d(np.arange(m), key)
             key, sums = np.append(key, empty), np.append(sums, np.zeros(len(empty), np.uint64))
             need = m - differ
-        sig = T.mix(sums + key.astype(np.uint64) * T._STEP + _U((level + 1) * 0x9E3779B97F4A7C1))
+        sig = T.mix(sums + key.astype(np.uint64) * T._STEP + _U((level + 1) * 0x9E3779B97F4A7C1 % 2**64))
         return {"r": need, "size": len(sig), "sigs": sig.view(np.int64)}
 
     def run(batches):
