@@ -5,8 +5,8 @@ fitted so that the expected domain token totals ``t_k = sum_d r_d n_d p_dk`` mat
 ``sum_k (t_k - T_k)^2 / s_k`` (``s_k``: totals at rate 1) in the metric of the token counts, which has step bound 1 because
 posteriors sum to one. A document's rate depends on its posterior and on the few residual vectors so far, so an iteration is one pass
 that sums ``K`` numbers. After some iterations the rates so far are written, so that a pass replays few of them. The fit ends when
-the targets are met, or when they cannot be met within the bounds on rates and the squared error no longer falls. Built-in column
-functions and MLlib only.
+every domain meets its own target, or when the targets cannot be met within the bounds on rates and no domain's total moves any more;
+``targets_reached`` tells which. Built-in column functions and MLlib only.
 """
 
 from __future__ import annotations
@@ -16,14 +16,15 @@ from pyspark.ml.feature import HashingTF, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tideline.session import durable
+from tideline.session import durable, forget
 
 DIMENSIONS = 1 << 13
 PER_DOMAIN = 2500
 ROUNDS = 60
 REPLAY = 8  # steps that a pass replays before rates are written
-TOLERANCE = 1e-3
-PROGRESS = 1e-3  # least relative fall of the squared error in an iteration
+TOLERANCE = 1e-3  # of a domain's target
+PROGRESS = 1e-4  # of a domain's target: least move of some domain in an iteration
+SCARCE = 1e-3  # share of the total that stands for smaller targets in both
 SEPARATORS = "[ \\t\\n\\x0B\\f\\r]+"
 
 
@@ -37,9 +38,10 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, per_domain: int = PER_DOMA
     """Domain names and the pair (hashing, model) of a softmax regression over hashed words.
 
     ``labelled`` has (doc_id, domain); at most ``per_domain`` rows of each domain, by hash order, are used (broadcast ids) and weighed by
-    the domain's true share. A doc_id with several domains counts with the first by name.
+    the domain's true share among the labelled rows that ``docs`` holds. A doc_id with several domains counts with the first by name.
     """
-    known = labelled.where("domain is not null and doc_id is not null").groupBy("doc_id").agg(F.min("domain").alias("domain"))
+    known = (labelled.where("domain is not null and doc_id is not null").groupBy("doc_id").agg(F.min("domain").alias("domain"))
+             .join(docs.select("doc_id"), "doc_id", "left_semi"))
     size = {r["domain"]: r["count"] for r in known.groupBy("domain").count().collect()}
     names = sorted(size)
     if not names:
@@ -82,7 +84,8 @@ def rate_column(history: list[list[float]], least: float, most: float, start: Co
 def fit_rates(members: DataFrame, weights: list[float], total: float | None = None, least: float = 0.0, most: float = 1e9) -> list[list[float]]:
     """Gradient steps that bring the expected domain totals of ``members`` (_tokens, _p) to ``weights`` of ``total``.
 
-    Without ``total``, the tokens there are, or, if ``least`` is 1, the least total at which no domain has to shrink.
+    Without ``total``, the tokens there are, or, if ``least`` is 1, the least total at which no domain has to shrink. A fit with
+    bounds that keep a target out of reach ends at the bounded optimum, or after ``ROUNDS`` steps.
     """
     k = len(weights)
     sums = lambda rate: members.agg(*[F.sum(F.col("_tokens") * rate * F.col("_p")[i]).alias(f"s{i}") for i in range(k)]).first()
@@ -93,20 +96,35 @@ def fit_rates(members: DataFrame, weights: list[float], total: float | None = No
     target = [w * total for w in weights]
     history: list[list[float]] = []
     members, written = members.select("_tokens", "_p").withColumn("_rate", rate_column([], least, most)), 0
-    before = float("inf")
+    scale = [max(t, SCARCE * total, 1e-9) for t in target]
+    before = None
     for _ in range(ROUNDS):
         gap = [a - b for a, b in zip(now, target, strict=True)]
-        error = sum(g * g / s for g, s in zip(gap, size, strict=True))
-        if max(map(abs, gap), default=0.0) <= TOLERANCE * max(total, 1e-9) or error > (1 - PROGRESS) * before:
+        if all(abs(g) <= TOLERANCE * c for g, c in zip(gap, scale, strict=True)):
             break
-        before = error
+        if before and all(abs(a - b) <= PROGRESS * c for a, b, c in zip(now, before, scale, strict=True)):
+            break
+        before = now
         if len(history) - written == REPLAY:
-            members, written = durable(members.withColumn("_rate", rate_column(history[written:], least, most, F.col("_rate")))), len(history)
+            old = members
+            members = durable(members.withColumn("_rate", rate_column(history[written:], least, most, F.col("_rate"))))
+            if written:
+                forget(old)
+            written = len(history)
         history.append([g / s for g, s in zip(gap, size, strict=True)])
         now = [x or 0.0 for x in sums(rate_column(history[written:], least, most, F.col("_rate")))]
     return history
 
 
+def targets_reached(members: DataFrame, names: list[str], weights: list[float], rate: Column) -> DataFrame:
+    """domain, target_share and reached_share of the expected tokens of ``members`` at ``rate``; without tokens, reached is 0."""
+    sums = [F.sum(F.col("_tokens") * rate * F.col("_p")[i]) for i in range(len(names))]
+    total = F.aggregate("_sums", F.lit(0.0), lambda a, x: a + x)
+    rows = F.inline(F.array(*[F.struct(F.lit(n).alias("domain"), F.lit(w).alias("target_share"), F.coalesce(
+        F.try_divide(F.col("_sums")[i], total), F.lit(0.0)).alias("reached_share")) for i, (n, w) in enumerate(zip(names, weights, strict=True))]))
+    return members.agg(F.array(*[F.coalesce(x, F.lit(0.0)) for x in sums]).alias("_sums")).select(rows)
+
+
 def aligned(weights: dict[str, float], names: list[str]) -> list[float]:
     """Target weights in the order of ``names``, scaled to sum to one; a domain without a weight gets none."""
     found = [max(0.0, weights.get(n, 0.0)) for n in names]
@@ -122,15 +140,20 @@ def copies(rate: Column, *key: str) -> Column:
 def mixing_rates(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], total: float | None = None) -> DataFrame:
     """doc_id, n_tokens, domain posteriors (p_<domain>), rate and copies of every row of ``docs`` (doc_id, text).
 
-    Null and empty texts have no tokens and the posterior of an empty text; they do not move the totals. Repeated rows get a rate each.
+    Null and empty texts have no tokens and the posterior of an empty text; they do not move the totals. Repeated rows and ties in the
+    posterior get the same rate each. Texts of any length are read whole. Other columns are not read. target_<domain> and
+    reached_<domain> are the shares asked for and those of the fitted rates, the same in every row.
     """
     names, model = fit_domains(docs, labelled)
     names = names or ["all"]
     members = durable(posteriors(docs.select("doc_id", "text"), names, model).select("doc_id", "_tokens", "_p"))
-    rate = rate_column(fit_rates(members, aligned(weights, names), total), 0.0, 1e9)
+    wanted = aligned(weights, names)
+    rate = rate_column(fit_rates(members, wanted, total), 0.0, 1e9)
+    shares = {r["domain"]: r for r in targets_reached(members, names, wanted, rate).collect()}  # a row a domain
     return members.withColumn("rate", rate).select(
         "doc_id", F.col("_tokens").cast("long").alias("n_tokens"), *[F.col("_p")[i].alias(f"p_{n}") for i, n in enumerate(names)], "rate",
-        copies(F.col("rate"), "doc_id", "_tokens").alias("copies"))
+        copies(F.col("rate"), "doc_id", "_tokens").alias("copies"),
+        *[F.lit(shares[n][f"{kind}_share"]).alias(f"{kind}_{n}") for n in names for kind in ("target", "reached")])
 
 
 def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], least: float = 1.0, most: float = 8.0) -> DataFrame:
