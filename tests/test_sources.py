@@ -326,3 +326,30 @@ def test_verify_rows_reports_each_problem(spark):
     df = spark.createDataFrame([(2023, "America/Los_Angeles", "2023-11-28T10:00:00-08:00", "2023-11-21T10:00:00-08:00", "2023-11-28T18:00:00Z", "2023-11-21T18:00:00Z")],
                                "window_year int, zone string, start_local string, end_local string, start_utc string, end_utc string")
     assert verify_calendar_rows(df).first()["problems"] == ["order"]
+
+
+def test_records_are_parsed_once_for_statuses_and_observations(spark):
+    from tideline.operators import observations as obs_ops
+    from tideline.session import durable
+
+    deals = {"missing": "", "null": ', "deal": null', "object": ', "deal": {"cut": 5}', "invalid": ', "deal": [1]'}
+    texts = [f'{{"timestamp": "2020-01-01T00:00:0{i}Z", "shop": {{"id": 61}}{deal}}}' for i, deal in enumerate(deals.values())]
+    docs = spark.createDataFrame([(1, "valid", None, (1, [*texts, "[1]", "5", ' {"shop": null}']))],
+                                 "entity_id long, status string, reason string, doc struct<entity_id:long,records:array<string>>")
+    rows = durable(history.records(docs).drop("raw_json"))
+    got = {r["record_index"]: r for r in rows.collect()}
+    assert [got[i]["deal_status"] for i in range(4)] == list(deals) and [got[i]["record_ok"] for i in range(7)] == [True] * 4 + [False, False, True]
+    assert got[3]["ts"].second == 3 and got[6]["ts"] is None
+    seen = obs_ops.of_shop(history.typed_observations(docs, rows), 61)
+    plan = seen._jdf.queryExecution().optimizedPlan().toString()
+    assert seen.count() == 4 and "json" not in plan.lower().replace("relation", "")
+    status = history.history_statuses(docs.select("entity_id"), docs, 61, rows).collect()
+    assert [tuple(r) for r in status] == [tuple(r) for r in history.history_statuses(docs.select("entity_id"), docs, 61).collect()]
+    assert tuple(status[0])[1:] == ("partial", None, 7, 4, 0, 3)
+
+
+def test_document_checks_move_no_bodies(spark):
+    from tideline.plans import documents
+
+    fields = documents.resolved(spark, "/root/testdata/sf0.001").schema["doc"].dataType.names
+    assert "records" in fields and not {"body", "history", "params"} & set(fields)

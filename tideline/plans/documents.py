@@ -45,10 +45,14 @@ def lines(spark, d):
 def documents(spark, d):
     """(path, text) of the documents and their manifest. An order has a few lines, so its records fit one document."""
     gathered = lines(spark, d).groupBy("k").agg(F.array_sort(F.collect_list(F.struct("line", "json"))).alias("r"))
-    rows = b.table(spark, d, "orders").select(F.col("o_orderkey").alias("k")).join(gathered, "k", "left")
+    keys = b.table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), (F.col("o_orderkey") % 97).alias("m"))
     records = F.coalesce(F.col("r.json"), F.array().cast("array<string>"))
-    rows = rows.select("k", (F.col("k") % 97).alias("m"), F.size(records).cast("bigint").alias("n"),
-                       F.concat(F.lit("["), F.array_join(records, ","), F.lit("]")).alias("history"))
+    # Never broadcast: the rows must be spread like the records, not like the small file of orders.
+    rows = keys.join(gathered.hint("merge"), "k", "left").select(
+        "k", "m", F.size(records).cast("bigint").alias("n"), F.concat(F.lit("["), F.array_join(records, ","), F.lit("]")).alias("history"))
+    # The manifest knows the number of records only, so it moves none of them.
+    counted = b.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.count("*").alias("n"))
+    listed = keys.join(counted, "k", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     m = F.col("m")
     put = lambda defect, wrong, right: F.when(m == defect, wrong).otherwise(right)
     provider = F.concat(F.lit("g"), F.col("k").cast("string"))
@@ -71,16 +75,21 @@ def documents(spark, d):
     body = F.concat(F.lit("{"), F.concat_ws(",", *[F.concat(F.lit(f'"{n}":'), v) for n, v in parts.items()]), F.lit("}"))
     text = F.when(m == 3, '{"steam_appid":1,"steam_appid":2}').otherwise(body)
     docs = rows.where("k % 31 <> 5").select(F.concat(F.lit("documents/"), F.col("k").cast("string"), F.lit(".json")).alias("path"), text.alias("text"))
-    manifest = rows.where("m <> 53").select(
+    manifest = listed.where("m <> 53").select(
         F.col("k").alias("entity_id"), F.when(m == 43, "other").otherwise(provider).alias("provider_id"),
         (F.col("n") + F.when(m == 41, 1).otherwise(0)).alias("records"), status.alias("history_status"))
     return docs, manifest
 
 
 def resolved(spark, d):
-    """Checked documents, one for each order that has one; written, as statuses and records both read them."""
+    """Checked documents, one for each order that has one; written, as statuses and records both read them.
+
+    Bodies and canonical texts end with the checks: only the fields that later steps read are moved and written.
+    """
     docs, manifest = documents(spark, d)
-    checked = history.against_manifest(history.document_status(history.parse_documents(docs, history.PUBLISHED), **CONFIG), manifest)
+    checked = history.document_status(history.parse_documents(docs, history.PUBLISHED), **CONFIG).select(
+        "path", "status", "reason", F.struct("doc.entity_id", "doc.provider_id", "doc.history_status", "doc.records").alias("doc"))
+    checked = history.against_manifest(checked, manifest)
     return durable(checked.select("status", "reason", "doc", F.regexp_extract("path", r"([0-9]+)\.json$", 1).cast("bigint").alias("entity_id")))
 
 
@@ -125,8 +134,9 @@ ev AS (SELECT s.entity_id, w.window_year, CASE WHEN history_status <> 'valid' TH
 
 def document_evidence_of(spark, d):
     checked = resolved(spark, d)
-    known = history.with_history_status(orders(spark, d), checked, b.SHOP)
-    seen = obs_ops.of_shop(history.typed_observations(checked), b.SHOP)
+    rows = durable(history.records(checked).drop("raw_json"))  # statuses and evidence read them
+    known = history.with_history_status(orders(spark, d), checked, b.SHOP, rows)
+    seen = obs_ops.of_shop(history.typed_observations(checked, rows), b.SHOP)
     return evidence.direct_evidence(known, seen, b.CALENDAR).where("eligible")
 
 

@@ -45,6 +45,7 @@ COMPACT = {
     "history": "$.history",
 }
 KINDS = {"entity_id": "BIGINT", "shop_id": "BIGINT", "http_status": "BIGINT", "found": "BOOLEAN", "params": "OBJECT", "history": "ARRAY"}
+CONTAINERS = {"OBJECT": "{", "ARRAY": "["}
 
 
 def read_documents(spark: SparkSession, path: str, *, one_per_line: bool = False) -> DataFrame:
@@ -64,8 +65,10 @@ def _field(whole: Column, name: str, path: str) -> Column:
     """A field of a document if it has the kind of value it must have; containers as canonical JSON, keys in order."""
     kind = KINDS.get(name, "STRING")
     value = F.try_variant_get(whole, path, "variant")
-    typed = F.to_json(value) if kind in ("OBJECT", "ARRAY") else F.try_variant_get(whole, path, kind)
-    return F.when(F.schema_of_variant(value).startswith(kind), typed).alias(name)
+    if kind in CONTAINERS:  # the text tells the kind; the schema of a long container costs a walk through all of it
+        text = F.to_json(value)
+        return F.when(text.startswith(CONTAINERS[kind]), text).alias(name)
+    return F.when(F.schema_of_variant(value).startswith(kind), F.try_variant_get(whole, path, kind)).alias(name)
 
 
 def _raw_records(path: str) -> Column:
@@ -160,30 +163,33 @@ def resolve(entities: DataFrame, layers: list[DataFrame]) -> DataFrame:
 
 
 def records(docs: DataFrame) -> DataFrame:
-    """One row per record of valid documents with its array index, ready for typing.
+    """One row per record of valid documents with its array index, ready for typing; ``ts`` is the UTC time of ``timestamp``.
 
     ``deal_status`` keeps a missing deal apart from an explicit null and from a non-object; a shop id must be an integer.
+    Every reader parses the records anew, and a filter on them more than once: write the rows that several steps read.
     """
+    from tideline.functions import rules
+
     rows = docs.where(F.col("status") == "valid").select(
         F.col("doc.entity_id").alias("entity_id"), F.posexplode("doc.records").alias("i", "raw_json"))
     rows = rows.select("entity_id", F.col("i").cast("bigint").alias("record_index"), "raw_json",
                        F.try_parse_json("raw_json").alias("v"), F.from_json("raw_json", RECORD).alias("r"))
-    deal = F.schema_of_variant(F.try_variant_get("v", "$.deal", "variant"))
-    status = (F.when(deal.isNull(), "missing").when(deal == "VOID", "null").when(deal.startswith("OBJECT"), "object")
-              .otherwise("invalid"))
+    deal = F.try_variant_get("v", "$.deal", "variant")
+    status = (F.when(deal.isNull(), "missing").when(F.is_variant_null(deal), "null")
+              .when(F.try_variant_get("v", "$.deal", "map<string,variant>").isNotNull(), "object").otherwise("invalid"))
     shop = F.when(F.schema_of_variant(F.try_variant_get("v", "$.shop.id", "variant")) == "BIGINT", F.try_variant_get("v", "$.shop.id", "int"))
-    return rows.select("entity_id", "record_index", F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False)).alias("record_ok"),
-                       F.col("r.timestamp").alias("timestamp"), F.struct(shop.alias("id"), F.col("r.shop.name").alias("name")).alias("shop"),
+    return rows.select("entity_id", "record_index", F.coalesce(F.col("v").isNotNull() & F.col("raw_json").rlike(r"^\s*\{"), F.lit(False)).alias("record_ok"),
+                       F.col("r.timestamp").alias("timestamp"), rules.utc_instant(F.col("r.timestamp")).alias("ts"),
+                       F.struct(shop.alias("id"), F.col("r.shop.name").alias("name")).alias("shop"),
                        F.col("r.deal").alias("deal"), status.alias("deal_status"), "raw_json")
 
 
 def record_outcome(shop_id: int) -> Column:
     """Outcome of a row of ``records``: kept, other_shop, or why it cannot be used (times matter for the own shop only)."""
-    from tideline.functions import rules
     from tideline.operators.observations import record_problem
 
     shop = F.col("shop.id")
-    problem = record_problem(F.col("record_ok"), shop, F.when(shop == shop_id, rules.utc_instant(F.col("timestamp")))
+    problem = record_problem(F.col("record_ok"), shop, F.when(shop == shop_id, F.col("ts"))
                              .otherwise(F.lit("1970-01-01").cast("timestamp_ntz")))
     return F.when(problem.isNotNull(), problem).when(shop != shop_id, "other_shop").otherwise("kept")
 
@@ -193,35 +199,36 @@ def parse_outcomes(rows: DataFrame, shop_id: int) -> DataFrame:
     return rows.groupBy(record_outcome(shop_id).alias("outcome")).agg(F.count("*").alias("records"))
 
 
-def history_statuses(entities: DataFrame, resolved: DataFrame, shop_id: int) -> DataFrame:
+def history_statuses(entities: DataFrame, resolved: DataFrame, shop_id: int, rows: DataFrame | None = None) -> DataFrame:
     """Per entity: ``history_status`` and its reason, with the outcomes of its records.
 
     ``resolved`` holds at most one checked document per entity (see ``resolve``), as ``entity_id, status, reason, doc``. A valid document with a
     record that cannot be used is ``partial``; no document is ``absent``; otherwise the document's own status stands.
-    Outcomes are counted per document before the shuffle and joined back to the entities.
+    Outcomes are counted per document before the shuffle and joined back to the entities. ``rows`` are the ``records`` of
+    ``resolved`` if the caller has them written.
     """
-    outcomes = records(resolved).withColumn("_o", record_outcome(shop_id)).groupBy("entity_id").agg(
+    outcomes = (records(resolved) if rows is None else rows).withColumn("_o", record_outcome(shop_id)).groupBy("entity_id").agg(
         F.count("*").alias("records"), F.count_if(F.col("_o") == "kept").alias("kept"), F.count_if(F.col("_o") == "other_shop").alias("other_shop"),
         F.count_if(~F.col("_o").isin("kept", "other_shop")).alias("problems"))
     of = resolved.select("entity_id", "status", "reason")
-    rows = entities.select("entity_id").join(of, "entity_id", "left").join(outcomes, "entity_id", "left")
+    joined = entities.select("entity_id").join(of, "entity_id", "left").join(outcomes, "entity_id", "left")
     valid = F.col("status") == "valid"
     count = lambda c: F.when(valid, F.coalesce(c, F.lit(0))).alias(c)
-    return rows.select(
+    return joined.select(
         "entity_id", F.when(valid & (F.coalesce("problems", F.lit(0)) > 0), "partial").otherwise(F.coalesce("status", F.lit("absent"))).alias("history_status"),
         "reason", count("records"), count("kept"), count("other_shop"), count("problems"))
 
 
-def with_history_status(entities: DataFrame, resolved: DataFrame, shop_id: int) -> DataFrame:
+def with_history_status(entities: DataFrame, resolved: DataFrame, shop_id: int, rows: DataFrame | None = None) -> DataFrame:
     """Entities with the column ``history_status`` that evidence and labels ask for, derived from their documents."""
-    return entities.drop("history_status").join(history_statuses(entities, resolved, shop_id).select("entity_id", "history_status"), "entity_id")
+    return entities.drop("history_status").join(history_statuses(entities, resolved, shop_id, rows).select("entity_id", "history_status"), "entity_id")
 
 
-def typed_observations(checked: DataFrame) -> DataFrame:
-    """Typed observations of every shop from the valid documents."""
+def typed_observations(checked: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+    """Typed observations of every shop from the valid documents; ``rows`` as in ``history_statuses``."""
     from tideline.operators.observations import type_records
 
-    return type_records(records(checked), deal_status=F.col("deal_status"))
+    return type_records(records(checked) if rows is None else rows, ts=F.col("ts"), deal_status=F.col("deal_status"))
 
 
 def observations(spark: SparkSession, path: str, *, country: str, shop_id: int, since: str, one_per_line: bool = False,
