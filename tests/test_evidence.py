@@ -178,3 +178,14 @@ def test_history_that_is_not_valid_gets_no_category_or_label(spark):
     assert {r[0] for r in lab.where("entity_id > 1").select("eligibility_status").collect()} == {"unknown_history"}
     ctx = evidence.pair_context(ents, rows, CAL).where("category IS NOT NULL")
     assert {r[0] for r in ctx.select("entity_id").collect()} == {1}
+
+
+def test_shared_states_by_link_or_by_sets(spark):
+    from tideline.operators import coverage
+
+    at = lambda e, day, price, minute=0: row(e, day * 10 + minute, f"2020-01-0{day}T00:0{minute}:00", price=price)
+    rows = [at(1, 1, 5.0), at(1, 1, 5.0, 1), at(1, 2, 5.0), at(1, 3, 6.0), at(1, 3, 7.0), at(1, 4, 7.0), at(1, 5, 8.0), at(1, 5, 9.0), at(2, 1, 9.0)]
+    links = coverage.consecutive_groups(obs(spark, rows), coverage.STATE_COLUMNS)
+    assert set(links.schema["this"].dataType.names) == {"ts", *coverage.STATE_COLUMNS}
+    assert links.count() == coverage.consecutive_groups(obs(spark, rows)).count() == 5
+    assert coverage.shared_state_links(obs(spark, rows), links).first()[0] == 3

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tideline.functions import rules
 from tideline.operators import observations as obs_ops, prefix
+from tideline.session import durable
 
 # Gap statistics, recency limits in days (null = unrestricted).
 GAP_FRACTIONS = {"min": 0.0, "p10": 0.1, "p25": 0.25, "median": 0.5, "p75": 0.75,
@@ -152,9 +155,15 @@ def sensitivity_table(context: DataFrame, years: list[int]) -> DataFrame:
 
 
 # ------------------------------------------------------------------ consecutive groups
-def consecutive_groups(observations: DataFrame) -> DataFrame:
+GROUP_COLUMNS = ("n", "kind", "price", "currency", "cut", "a", "b")
+STATE_COLUMNS = ("a", "b", "many")  # what shared_state_links reads; many: the group shows more than one state
+
+
+def consecutive_groups(observations: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Each entity's timestamp groups linked to the next one in time.
 
+    ``columns`` are the group columns that a caller reads beside ``ts``, all by default: every shuffle moves the others too.
+
     The next timestamp comes from a window over distinct timestamps cut into days: the last
     group of a day looks up the first group of the next non-empty day.
     """
@@ -166,12 +175,15 @@ def consecutive_groups(observations: DataFrame) -> DataFrame:
     groups = rows.groupBy("entity_id", "ts").agg(
         F.count("*").alias("n"), F.min("_kind").alias("kind"), F.min("price").alias("price"),
         F.min("_currency").alias("currency"), F.min("cut").alias("cut"),
-        F.min("state_a").alias("a"), F.min("state_b").alias("b"))
-    cols = ["ts", "n", "kind", "price", "currency", "cut", "a", "b"]
-    tagged = groups.select("entity_id", F.col("ts").cast("date").alias("day"), *cols)
+        F.min("state_a").alias("a"), F.min("state_b").alias("b"),
+        ((F.min("state_a") != F.max("state_a")) | (F.min("state_b") != F.max("state_b"))).alias("many"))
+    cols = ["ts", *(GROUP_COLUMNS if columns is None else columns)]
+    # Written, as the days' heads are read beside the groups.
+    tagged = durable(groups.select("entity_id", *cols)).withColumn("day", F.col("ts").cast("date"))
     inner = W.partitionBy("entity_id", "day").orderBy("ts")
     local = tagged.select("entity_id", "day", F.struct(*cols).alias("this"), F.lead(F.struct(*cols)).over(inner).alias("next_g"))
-    firsts = tagged.groupBy("entity_id", "day").agg(*[F.min_by(c, "ts").alias(c) for c in cols])
+    # A day's first row is cut out before the shuffle, as a limit by group.
+    firsts = tagged.withColumn("_at", F.row_number().over(inner)).where("_at = 1")
     across = firsts.select("entity_id", "day", F.lead(F.struct(*cols)).over(
         W.partitionBy("entity_id").orderBy("day")).alias("later_g"))
     linked = local.join(across, ["entity_id", "day"])
@@ -209,15 +221,22 @@ def consecutive_facts(links: DataFrame) -> DataFrame:
 def shared_state_links(observations: DataFrame, links: DataFrame) -> DataFrame:
     """Number of adjacent groups that have at least one state in common.
 
-    Distinct states per group are matched by a shuffle join on the state itself, so a group with
-    many states is never gathered.
+    ``links`` carry ``STATE_COLUMNS``. Two groups of one state each compare on their link. For the others, distinct states per group are
+    matched by a shuffle join on the state itself, so a group with many states is never gathered.
     """
-    states = obs_ops.with_state(observations).select("entity_id", "ts", "state_a", "state_b").distinct()
-    left = links.select("entity_id", F.col("this.ts").alias("ts"), F.col("next.ts").alias("next_ts"))
-    here = left.join(states, ["entity_id", "ts"])
+    this, then = F.col("this"), F.col("next")
+    open_ = this["many"] | then["many"]
+    # Written, as both ways of comparing read them.
+    pairs = durable(links.select("entity_id", this["ts"].alias("ts"), then["ts"].alias("next_ts"), open_.alias("open"),
+                                 (~open_ & (this["a"] == then["a"]) & (this["b"] == then["b"])).alias("equal")))
+    some = pairs.where("open").select("entity_id", "ts", "next_ts")
+    ends = some.select("entity_id", F.explode(F.array("ts", "next_ts")).alias("ts")).distinct()
+    states = obs_ops.with_state(observations).select("entity_id", "ts", "state_a", "state_b") \
+        .join(ends, ["entity_id", "ts"], "left_semi").distinct()
+    here = some.join(states, ["entity_id", "ts"])
     there = states.withColumnRenamed("ts", "next_ts")
-    shared = here.join(there, ["entity_id", "next_ts", "state_a", "state_b"], "left_semi")
-    return shared.select("entity_id", "ts").distinct().agg(F.count("*").alias("sharing_pairs"))
+    shared = here.join(there, ["entity_id", "next_ts", "state_a", "state_b"], "left_semi").select("entity_id", "ts").distinct()
+    return pairs.where("equal").select("entity_id", "ts").unionByName(shared).agg(F.count("*").alias("sharing_pairs"))
 
 
 def history_totals(observations: DataFrame, requested_since: Column) -> DataFrame:

@@ -156,7 +156,7 @@ def consecutive_group_facts(spark, d):
 SELECT count(*) FILTER (WHERE list_has_any(sigs, next_sigs)) AS sharing_pairs FROM links WHERE next_ts IS NOT NULL"""))
 def shared_state_groups(spark, d):
     obs = b.observations(spark, d)
-    return coverage.shared_state_links(obs, coverage.consecutive_groups(obs))
+    return coverage.shared_state_links(obs, coverage.consecutive_groups(obs, coverage.STATE_COLUMNS))
 
 
 @query("history_totals", "W8", with_ctes(OBS, body="""
