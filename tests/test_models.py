@@ -61,6 +61,32 @@ def test_scores_and_importances(spark, rows):
     assert perm["a"]["importance_mean"] > .1 and perm["c"]["importance_mean"] == 0.0 and perm["a"]["repeats"] == 3
 
 
+def test_models_share_one_preparation(spark, rows, monkeypatch):
+    train, valid = rows.where("window_year < 2025"), rows.where("window_year = 2025")
+    calls = []
+    monkeypatch.setattr(prepare, "training_medians", lambda *a, real=prepare.training_medians: calls.append(1) or real(*a))
+    kinds = ("prior_baseline", "logistic_regression")
+    together = models.fit_all(kinds, train, names=NAMES)
+    assert len(calls) == 1
+    apart = [models.fit(k, train, names=NAMES) for k in kinds]
+    get = lambda fitted: sorted((r["entity_id"], r["model"], round(r["p"], 6)) for r in models.score(fitted, valid).collect())
+    assert get(together) == get(apart)
+
+
+def test_permutation_of_several_models_writes_one_predictor_at_a_time(spark, rows, monkeypatch):
+    train, valid = rows.where("window_year < 2025"), rows.where("window_year = 2025")
+    fitted = models.fit_all(("random_forest", "boosted_trees"), train, names=NAMES)
+    dropped, real = [], models.forget
+    monkeypatch.setattr(models, "forget", lambda *t: dropped.append(len(t)) or real(*t))
+    both = models.permutation_importance(fitted, valid, repeats=2)
+    assert dropped == [2] * len(NAMES)
+    got = {(r["model"], r["feature"]): tuple(r)[1:4] for r in both.collect()}
+    alone = models.permutation_importance(fitted[0], valid, repeats=2).collect()
+    assert len(got) == 6 and {got["random_forest", r["feature"]] for r in alone} == {tuple(r)[1:4] for r in alone}
+    with pytest.raises(ValueError, match="same inputs"):
+        models.permutation_importance([fitted[0], models.fit("random_forest", train, names=NAMES[:2])], valid)
+
+
 def test_roles_and_overlap(spark, rows):
     roles = prepare.chronological_roles(rows, 2023, 2024, 2025)
     got = {r["role"]: r["rows"] for r in prepare.split_summary(roles, "discount_observed").collect()}
