@@ -12,6 +12,7 @@ import uuid
 import zlib
 from collections import deque
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -47,20 +48,47 @@ def decode_planes(planes: list[bytes], n: int, decompressor: zstandard.ZstdDecom
     return out.reshape(-1).view("<u4")
 
 
-_LETTER = np.zeros(256, bool)
-_LETTER[65:91] = _LETTER[97:123] = True
-_PLAIN = _LETTER.copy()
-_PLAIN[[0x2C, 0x2E]] = True
+# The splitter's class of each byte that stands for itself: letters, digits, marks, separators; 0: others, and what opens a contraction or special token.
+_CLASS = np.zeros(256, np.int8)
+_CLASS[0x21:0x7F] = 3
+_CLASS[65:91] = _CLASS[97:123] = 1
+_CLASS[48:58] = 2
+_CLASS[list(T.SEPARATORS)] = 4
+_CLASS[[0x27, 0x3C]] = 0
+# Second bytes of the letters U+00C0 to U+00FF, after 0xC3.
+_SECOND = np.zeros(256, bool)
+_SECOND[0x80:0xC0] = True
+_SECOND[[0x97, 0xB7]] = False
+# The vocabulary's character for each byte, as the byte-level splitter writes it.
+_CHARACTER = np.arange(256, dtype="<u4")
+_CHARACTER[[b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]] = np.arange(256, 324)
+LONG = 1000
+SLOT_BITS = 20
 _CHECK = np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.uint64)
 
 
+def characters(data: np.ndarray) -> str:
+    """What the vocabulary writes for the bytes, one character each."""
+    return _CHARACTER[data].tobytes().decode("utf-32-le")
+
+
+NOTHING = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+
+def merged(table: tuple[np.ndarray, np.ndarray], new: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Both tables of ascending keys and their numbers as one."""
+    at = np.searchsorted(table[0], new[0])
+    return np.insert(table[0], at, new[0]), np.insert(table[1], at, new[1])
+
+
 class WordEncoder:
     """Encodes by the tokenizer, remembering the ids of pieces of text that it encodes on their own.
 
     The vocabulary drops white space and never merges across it, so a text's ids are those of its words in order. A word of
-    only ASCII letters, commas and full stops is lower-cased and cut between letters and marks, as its splitter does.
-    Pieces are found by a 64-bit hash in a sorted array and checked by a second one. The memory, some 50 bytes a piece, is
-    cleared when it holds ``keep`` pieces.
+    only Latin-1 letters, ASCII digits and marks is lower-cased and cut as its splitter does, and the tokenizer's model gives the ids of
+    each piece; so it does for other Latin letters with closing commas and stops. Other words pass the whole tokenizer.
+    Pieces are found by a 64-bit hash in a table of those met last, else in a sorted array, new ones in a small one that is merged into it when
+    it has grown to a quarter of it, and checked by a second hash. The memory, some 60 bytes a piece, is cleared when it holds ``keep`` pieces.
     """
 
     def __init__(self, path: str, keep: int = 1_500_000):
@@ -70,56 +98,65 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.keep = keep
-        self.closes = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
-        self.closes[[i for w, i in self.tokenizer.get_vocab().items() if w.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
-        self.keys = np.zeros(0, np.uint64)  # ascending
-        self.number = np.zeros(0, np.int64)  # of the key's piece
+        self.known = 0
+        self.tables = [NOTHING, NOTHING]  # old and recent: ascending keys, and the numbers of their pieces
+        self.slot = np.zeros(1 << SLOT_BITS, np.int64)  # a piece for each start of a key, mostly the one met last
+        self.key = np.zeros(1024, np.uint64)
         self.check = np.zeros(1024, np.uint64)
         self.at = np.zeros(1025, np.int64)
         self.pool = np.zeros(4096, np.uint32)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Number of each key's piece; -1: not known."""
-        if not len(self.keys):
-            return np.full(len(keys), -1)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, self.number[at], -1)
+        out = np.full(len(keys), -1)
+        for own, number in self.tables:
+            left = np.flatnonzero(out < 0)
+            if len(own) and len(left):
+                at = np.minimum(np.searchsorted(own, keys[left]), len(own) - 1)
+                out[left] = np.where(own[at] == keys[left], number[at], -1)
+        return out
 
     @staticmethod
-    def entries(piece: str) -> int:
-        """Number of the splitter's entries in Latin letters with or without closing commas and stops; 0: not of this form."""
+    def entries(piece: str) -> tuple[str, ...]:
+        """The splitter's entries of Latin letters with or without closing commas and stops, lower-cased; none if not of this form."""
         stem = piece.rstrip(".,")
-        if not stem or not stem.isalpha() or not (stem.isascii() or (
+        if not stem or len(piece) > LONG or not stem.isalpha() or not (stem.isascii() or (
                 max(stem) < "\u0250" and unicodedata.is_normalized("NFC", stem) and stem.lower().isalpha())):
-            return 0
-        return 1 + (len(stem) < len(piece))
-
-    def fresh_ids(self, pieces: list[str], entries: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of each piece, one after the other, and their numbers."""
-        if entries[0]:  # encoded as one text; the last id of every entry closes a word
-            flat = np.array(self.tokenizer.encode(" ".join(pieces), add_special_tokens=False).ids, np.uint32)
-            ends = np.flatnonzero(self.closes[flat])
-            if len(ends) == sum(entries):
-                return flat, np.diff(ends[np.cumsum(entries) - 1], prepend=-1)
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        return np.fromiter((x for one in ids for x in one), np.uint32, int(size.sum())), size
-
-    def learn(self, keys: np.ndarray, check: np.ndarray, pieces: list[str]) -> None:
+            return ()
+        low = characters(np.frombuffer(stem.lower().encode(), np.uint8))
+        return (low, piece[len(stem):]) if len(stem) < len(piece) else (low,)
+
+    def fresh_ids(self, pieces: list[str], plain: list[bool]) -> list[list[int]]:
+        """Ids of each piece; ``plain`` ones are entries of the splitter."""
+        tokenize = self.model.tokenize
+        ids, rest = [], []
+        for i, (piece, whole) in enumerate(zip(pieces, plain, strict=True)):
+            if whole:
+                ids.append([t.id for t in tokenize(piece)])
+                continue
+            parts = self.entries(piece)
+            ids.append([t.id for part in parts for t in tokenize(part)])
+            if not parts:
+                rest.append(i)
+        for i, e in zip(rest, self.tokenizer.encode_batch_fast([pieces[i] for i in rest], add_special_tokens=False), strict=True):
+            ids[i] = e.ids
+        return ids
+
+    def learn(self, keys: np.ndarray, check: np.ndarray, pieces: list[str], plain: list[bool]) -> None:
         """Add pieces; ``keys`` ascend and are new."""
-        n = known = len(self.keys)
-        entries = [self.entries(p) for p in pieces]
-        order = sorted(range(len(pieces)), key=lambda i: entries[i] > 0)
-        check, pieces, entries = check[order], [pieces[i] for i in order], [entries[i] for i in order]
-        split = entries.count(0)
-        for i, j in [(i, min(i + 10_000, top)) for low, top in ((0, split), (split, len(pieces))) for i in range(low, top, 10_000)]:
-            flat, size = self.fresh_ids(pieces[i:j], entries[i:j])
-            m = j - i
+        n = self.known
+        for i in range(0, len(pieces), 10_000):
+            ids = self.fresh_ids(pieces[i:i + 10_000], plain[i:i + 10_000])
+            m = len(ids)
+            size = np.fromiter(map(len, ids), np.int64, m)
+            flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum()))
             if n + m + 1 > len(self.at):
+                self.key = np.resize(self.key, 2 * (n + m))
                 self.check = np.resize(self.check, 2 * (n + m))
                 self.at = np.resize(self.at, 2 * (n + m) + 1)
             top = int(self.at[n]) if n else 0
@@ -128,49 +165,66 @@ class WordEncoder:
             self.pool[top:top + len(flat)] = flat
             self.at[n] = top
             self.at[n + 1:n + m + 1] = top + np.cumsum(size)
+            self.key[n:n + m] = keys[i:i + m]
             self.check[n:n + m] = check[i:i + m]
             n += m
-        number = np.empty(len(keys), np.int64)
-        number[order] = np.arange(known, n)
-        slot = np.searchsorted(self.keys, keys)
-        self.keys, self.number = np.insert(self.keys, slot, keys), np.insert(self.number, slot, number)
-
-    def pieces(self, block: T.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Start and end of every piece, and the bytes with plain words lower-cased."""
-        w = T.words(block)
+        old, recent = self.tables
+        recent = merged(recent, (keys, np.arange(self.known, n)))
+        self.tables = [old, recent] if 4 * len(recent[0]) < len(old[0]) else [merged(old, recent), NOTHING]
+        self.known = n
+
+    def pieces(self, block: T.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Start and end of every piece, the bytes with plain words lower-cased, and which bytes are in plain words."""
         data = block.data
-        count = np.zeros(len(data) + 1, np.int64)
-        np.cumsum(_PLAIN[data], out=count[1:])
-        plain = count[w.end] - count[w.start] == w.end - w.start
+        w = T.spans(data, block.bounds)
+        kind = _CLASS[data]
+        second = np.zeros(len(data), bool)
+        second[1:] = _SECOND[data[1:]] & (data[:-1] == 0xC3)
+        kind[second] = 1
+        kind[:-1][second[1:]] = 1
+        plain = np.ones(len(w.start), bool)
+        plain[np.searchsorted(w.start, np.flatnonzero(kind == 0), "right") - 1] = False
         edge = np.zeros(len(data) + 1, np.int8)
         edge[w.start[plain]] += 1
         edge[w.end[plain]] -= 1
         inside = np.cumsum(edge[:-1], dtype=np.int8) > 0
-        letter = _LETTER[data]
-        turn = np.flatnonzero(inside[1:] & inside[:-1] & (letter[1:] != letter[:-1])) + 1
-        return (np.sort(np.concatenate([w.start, turn])), np.sort(np.concatenate([w.end, turn])),
-                np.where(inside, T.LOWER[data], data))
+        lower = T.LOWER[data]
+        lower[second & (data < 0x9F)] += 32
+        turn = (kind[1:] != kind[:-1]) | (kind[1:] == 2)  # every digit is an entry of its own
+        start = np.zeros(len(data) + 1, bool)
+        start[1:-1] = turn & inside[1:] & inside[:-1]
+        end = start.copy()
+        start[w.start], end[w.end] = True, True
+        return np.flatnonzero(start), np.flatnonzero(end), np.where(inside, lower, data), inside
 
     def __call__(self, block: T.Block) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a block's texts in one array, and the bounds of the texts in it."""
-        start, end, data = self.pieces(block)
+        start, end, data, inside = self.pieces(block)
         rows = len(block.bounds) - 1
         if not len(start):
             return np.zeros(0, np.uint32), np.zeros(rows + 1, np.int64)
         key, check = T.span_hash(T.BYTE_VALUE[data], start, end), T.span_hash(_CHECK[data], start, end)
-        unique, first, inverse = np.unique(key, return_index=True, return_inverse=True)
+        slot = key >> np.uint64(64 - SLOT_BITS)
+        index = self.slot[slot]
+        miss = np.flatnonzero(self.key[index] != key)
+        unique, first, inverse = np.unique(key[miss], return_index=True, return_inverse=True)
         number = self.find(unique)
         fresh = np.flatnonzero(number < 0)
-        if len(self.keys) + len(fresh) > self.keep:
+        if self.known + len(fresh) > self.keep:
             self.clear()
+            miss = np.arange(len(key))
+            unique, first, inverse = np.unique(key, return_index=True, return_inverse=True)
             fresh = np.arange(len(unique))
         if len(fresh):
-            where = first[fresh]
-            raw = data.tobytes()
-            self.learn(unique[fresh], check[where],
-                       [raw[x:y].decode("utf-8", "replace") for x, y in zip(start[where].tolist(), end[where].tolist(), strict=True)])
+            where = miss[first[fresh]]
+            raw, text = data.tobytes(), characters(data)
+            x, y = start[where], end[where]
+            plain = (inside[x] & (y - x <= LONG)).tolist()
+            self.learn(unique[fresh], check[where], [text[i:j] if whole else raw[i:j].decode("utf-8", "replace")
+                                                     for i, j, whole in zip(x.tolist(), y.tolist(), plain, strict=True)], plain)
             number = self.find(unique)
-        index = number[inverse]
+        index[miss] = number[inverse]
+        self.slot[slot[miss]] = index[miss]
         size, begin = self.at[index + 1] - self.at[index], self.at[index]
         last = np.cumsum(size)
         take = np.arange(int(last[-1])) + np.repeat(begin - (last - size), size)
