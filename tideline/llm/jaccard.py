@@ -18,6 +18,8 @@ reaches the threshold. The join is exact and never emits the pairs inside a grou
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, Window
@@ -28,6 +30,7 @@ from tideline.session import durable, forget, release_shuffles
 RANGE = 1.5
 BLOCK_DOCS = 1024
 BLOCK_TOKENS = 1 << 20
+SLICES = 4  # of the signatures, shuffled one after the other
 _U = np.uint64
 
 SKETCH = "doc_id long, h long, n long, hi long, lo long, ranges array<struct<r: int, size: int, sigs: array<long>>>"
@@ -198,6 +201,20 @@ def _open(percent: int, queries: bool):
     return run
 
 
+def shared_signatures(rep: DataFrame) -> list[DataFrame]:
+    """Signatures (sig, cls, r, size) that several sets have, with their number cnt; in ``SLICES`` written tables.
+
+    A signature is counted and joined in the slice that its value belongs to, so the shuffles of one slice are on disk at a time.
+    """
+    signatures = rep.select("cls", F.col("x.r").alias("r"), F.col("x.size").alias("size"), F.explode("x.sigs").alias("sig"))
+    found = []
+    for i in range(SLICES):
+        own = signatures.where(F.pmod(F.col("sig"), F.lit(SLICES)) == i)
+        found.append(durable(own.join(own.groupBy("sig").agg(F.count("*").alias("cnt")).where("cnt > 1"), "sig").distinct()))
+        release_shuffles(rep.sparkSession)
+    return found
+
+
 def linked_classes(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame, bool]:
     """(rows, classes, whether a row is repeated), both tables written.
 
@@ -219,15 +236,14 @@ def linked_classes(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, Da
     picked = durable(classes.select("cls", "rep.row"))  # two numbers a class: Spark sends them to the sketches while they are few
     rep = durable(sketched.select("row", "ranges").join(picked, "row").select("cls", F.explode("ranges").alias("x")))
     forget(sketched, picked)
-    signatures = rep.select("cls", F.col("x.r").alias("r"), F.col("x.size").alias("size"), F.explode("x.sigs").alias("sig"))
-    count = durable(signatures.groupBy("sig").agg(F.count("*").alias("cnt")).where("cnt > 1"))
-    release_shuffles(docs.sparkSession)
+    found = shared_signatures(rep)
+    forget(rep)
     own = Window.partitionBy("cls", "size", "r")
-    shared = (signatures.join(count, "sig").distinct()
+    shared = (reduce(DataFrame.union, found)
               .withColumn("n_shared", F.count("*").over(own)).where("n_shared >= r")
               .withColumn("place", F.row_number().over(own.orderBy(F.desc("cnt"), "sig"))))
     shared = durable(shared.select("cls", "sig", "r", (F.col("place") >= F.col("r")).alias("indexed")))
-    forget(rep, count)
+    forget(*found)
 
     first = shared.where("indexed").groupBy("sig").agg(F.min("cls").alias("leader"), F.count("*").alias("c")).where("c > 1")
     # Of the leaders with which a class shares most signatures (or half as many), the first: near copies then agree on one.
