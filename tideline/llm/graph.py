@@ -12,7 +12,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Each round rewires every node to the smallest neighbour (large star, then small star); the number of
     rounds grows with the logarithm of the diameter. Every round is written to the shared folder, so a lost
-    executor never recomputes more than one round; the round before is then deleted. A neighbour list is only ever aggregated to its minimum.
+    executor never recomputes more than one round; the round before is then deleted. The large stars are written too: the small
+    stars read them twice, and the driver holds one short plan at a time. A neighbour list is only ever aggregated to its minimum.
     """
     def both(e: DataFrame) -> DataFrame:
         return e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -25,9 +26,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     now = durable(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b").distinct())
     mark = None
     while True:
-        large = star(both(now), F.col("b") > F.col("a"))
+        large = durable(star(both(now), F.col("b") > F.col("a")))
         last, now = now, durable(star(large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), F.lit(True)))
-        forget(last)
+        forget(last, large)
         new = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if new == mark:
             break

@@ -18,14 +18,12 @@ reaches the threshold. The join is exact and never emits the pairs inside a grou
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, Window
 
 from tideline.llm import graph, text as T
-from tideline.session import durable, forget, release_shuffles
+from tideline.session import durable, forget, release_shuffles, together
 
 RANGE = 1.5
 BLOCK_DOCS = 1024
@@ -239,7 +237,7 @@ def linked_classes(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, Da
     found = shared_signatures(rep)
     forget(rep)
     own = Window.partitionBy("cls", "size", "r")
-    shared = (reduce(DataFrame.union, found)
+    shared = (together(*found)
               .withColumn("n_shared", F.count("*").over(own)).where("n_shared >= r")
               .withColumn("place", F.row_number().over(own.orderBy(F.desc("cnt"), "sig"))))
     shared = durable(shared.select("cls", "sig", "r", (F.col("place") >= F.col("r")).alias("indexed")))
@@ -274,11 +272,11 @@ def linked_classes(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, Da
     release_shuffles(docs.sparkSession)
 
     label = graph.components(inside)
-    seat = member.select("cls", "block").join(label.select(F.col("node").alias("cls"), "root"), "cls", "left").select(
-        "cls", "block", F.coalesce("root", "cls").alias("root"))
+    seat = durable(member.select("cls", "block").join(label.select(F.col("node").alias("cls"), "root"), "cls", "left").select(
+        "cls", "block", F.coalesce("root", "cls").alias("root")))
     whole = seat.groupBy("block").agg(F.when(F.min("root") == F.max("root"), F.min("root")).alias("only"))
     spread = shared.select("cls", "sig", "r").join(seat, "cls")
-    held = spread.select("sig", F.col("block").alias("other")).distinct().join(whole.withColumnRenamed("block", "other"), "other")
+    held = durable(spread.select("sig", F.col("block").alias("other")).distinct().join(whole.withColumnRenamed("block", "other"), "other"))
     queries = durable(spread.join(held, "sig").where("block > other and (only is null or only <> root)")
                       .groupBy("cls", "other", "r").agg(F.count("*").alias("c")).where("c >= r")
                       .select("cls", F.col("other").alias("block")).distinct())
@@ -290,7 +288,7 @@ def linked_classes(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, Da
         _open(percent, True), "a long, b long")
 
     final = graph.components(inside.union(across))
-    forget(shared, tokens, member, inside, queries, label)
+    forget(shared, tokens, member, inside, queries, label, seat, held)
     rooted = durable(classes.join(final.select(F.col("node").alias("cls"), "root"), "cls", "left").select("key", "rep", F.coalesce("root", "cls").alias("root")))
     heads = durable(rooted.groupBy("root").agg(F.min(F.struct("rep.doc_id", "rep.h")).alias("head")))
     return rows, durable(rooted.join(heads, "root").select("key", "head")), repeated

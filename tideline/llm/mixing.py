@@ -88,7 +88,8 @@ def fit_rates(members: DataFrame, weights: list[float], total: float | None = No
     bounds that keep a target out of reach ends at the bounded optimum, or after ``ROUNDS`` steps.
     """
     k = len(weights)
-    sums = lambda rate: members.agg(*[F.sum(F.col("_tokens") * rate * F.col("_p")[i]).alias(f"s{i}") for i in range(k)]).first()
+    sums = lambda rate: members.select("_tokens", "_p", rate.alias("_now")).agg(
+        *[F.sum(F.col("_tokens") * F.col("_now") * F.col("_p")[i]).alias(f"s{i}") for i in range(k)]).first()
     now = [x or 0.0 for x in sums(F.lit(1.0))]
     size = [max(x, 1e-9) for x in now]
     if total is None:
