@@ -81,6 +81,13 @@ def merged(table: tuple[np.ndarray, np.ndarray], new: tuple[np.ndarray, np.ndarr
     return np.insert(table[0], at, new[0]), np.insert(table[1], at, new[1])
 
 
+def grown(own: np.ndarray, size: int) -> np.ndarray:
+    """``own`` with room for ``size`` entries; the room is not written, so it takes no memory until it is used."""
+    out = np.empty(size, own.dtype)
+    out[:len(own)] = own
+    return out
+
+
 class WordEncoder:
     """Encodes by the tokenizer, remembering the ids of pieces of text that it encodes on their own.
 
@@ -156,12 +163,12 @@ class WordEncoder:
             size = np.fromiter(map(len, ids), np.int64, m)
             flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum()))
             if n + m + 1 > len(self.at):
-                self.key = np.resize(self.key, 2 * (n + m))
-                self.check = np.resize(self.check, 2 * (n + m))
-                self.at = np.resize(self.at, 2 * (n + m) + 1)
+                self.key = grown(self.key, 2 * (n + m))
+                self.check = grown(self.check, 2 * (n + m))
+                self.at = grown(self.at, 2 * (n + m) + 1)
             top = int(self.at[n]) if n else 0
             if top + len(flat) > len(self.pool):
-                self.pool = np.resize(self.pool, 2 * (top + len(flat)))
+                self.pool = grown(self.pool, 2 * (top + len(flat)))
             self.pool[top:top + len(flat)] = flat
             self.at[n] = top
             self.at[n + 1:n + m + 1] = top + np.cumsum(size)
