@@ -7,6 +7,7 @@ from collections import Counter
 
 import pytest
 
+from tideline import session
 from tideline.llm import spelling
 
 SCHEMA = "doc_id long, text string, word string, n int, id long, run string"  # clashing names on purpose
@@ -96,3 +97,14 @@ def test_long_chains_and_very_long_words(spark):
 def test_empty(spark):
     assert spelling.variant_groups(frame(spark, [])).count() == 0
     assert spelling.variant_groups(frame(spark, [(1, None), (None, "")])).count() == 0
+
+
+def test_nothing_that_grows_with_the_vocabulary_is_broadcast(spark, monkeypatch):
+    plans = []
+    plan = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString())
+    monkeypatch.setattr(spelling, "durable", lambda df: (plan(df), session.durable(df))[1])
+    rows = corpus()
+    found = spelling.variant_groups(frame(spark, rows))
+    plan(found)
+    assert rows_of(found) == expected(rows)
+    assert sum("SortMergeJoin" in p for p in plans) >= 5 and not [p for p in plans if "Broadcast" in p]

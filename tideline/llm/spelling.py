@@ -6,6 +6,8 @@ first i, node of the rest) that skip none. Two words with an equal skipping pair
 equal to a pair without a skip says that one word is the other with a code point inserted there. A code point of a run of
 equal ones can be taken out anywhere in the run with the same result, so only the run's first is used for that. Every near pair is then found once.
 A skipping pair is shared by at most as many words as the alphabet has letters, so no group of the joins grows with the data.
+All joins are by sorting: their tables grow with the vocabulary, and Spark would broadcast them by the size of short compressed files,
+or of the words before they are exploded, a fraction of what the driver then holds.
 
 Defined cases: a null text has no words; a null doc_id counts as an empty one in the hash; repeated rows count each. Words may be long: a node deeper
 than ``DEEP`` is named by its depth and md5, so a word of L code points takes space in proportion to L. Equal counts go to
@@ -69,7 +71,7 @@ def node_pairs(vocabulary: DataFrame) -> DataFrame:
         _node("substring(word, 1, i)", "i").alias("prefix"), _node("substring(word, i + s + 1)", "(l - i - s)").alias("suffix"))
     heads = _numbered(labelled.select("prefix"), "head")
     tails = _numbered(labelled.select("suffix"), "tail")
-    return durable(labelled.join(heads, "prefix").join(tails, "suffix").select("id", "skips", "first", "head", "tail"))
+    return durable(labelled.join(heads.hint("merge"), "prefix").join(tails.hint("merge"), "suffix").select("id", "skips", "first", "head", "tail"))
 
 
 def near_pairs(vocabulary: DataFrame) -> DataFrame:
@@ -77,9 +79,9 @@ def near_pairs(vocabulary: DataFrame) -> DataFrame:
     pairs = node_pairs(vocabulary)
     skips = pairs.where("skips").select("id", "head", "tail", "first")
     other = skips.select(F.col("id").alias("b"), "head", "tail")
-    replaced = skips.select(F.col("id").alias("a"), "head", "tail").join(other, ["head", "tail"]).where("a <> b").select("a", "b")
+    replaced = skips.select(F.col("id").alias("a"), "head", "tail").join(other.hint("merge"), ["head", "tail"]).where("a <> b").select("a", "b")
     shorter = pairs.where("not skips").select(F.col("id").alias("b"), "head", "tail")
-    longer = skips.where("first").select(F.col("id").alias("a"), "head", "tail").join(shorter, ["head", "tail"]).select("a", "b")
+    longer = skips.where("first").select(F.col("id").alias("a"), "head", "tail").join(shorter.hint("merge"), ["head", "tail"]).select("a", "b")
     return replaced.unionAll(longer).unionAll(longer.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
@@ -88,7 +90,7 @@ def followed(links: DataFrame, start: str, to: str) -> DataFrame:
     now = durable(links.select(F.col(start).alias("start"), F.col(to).alias("to")))
     while True:
         on = now.select(F.col("start").alias("to"), F.col("to").alias("further"))
-        now = durable(now.join(on, "to", "left").select("start", F.coalesce("further", "to").alias("to"), F.col("further").isNotNull().alias("moved")))
+        now = durable(now.join(on.hint("merge"), "to", "left").select("start", F.coalesce("further", "to").alias("to"), F.col("further").isNotNull().alias("moved")))
         if not now.where("moved").limit(1).count():
             return now.select(F.col("start").alias(start), F.col("to").alias(to))
 
@@ -100,12 +102,12 @@ def variant_groups(docs: DataFrame, least_length: int = LEAST_LENGTH, least_coun
     """
     known = durable(vocabulary(docs, least_length, least_count).withColumn("id", F.monotonically_increasing_id()))
     of_b = known.select(F.col("id").alias("b"), F.struct((-F.col("n")).alias("less"), "word").alias("other"))
-    best = durable(near_pairs(known).join(of_b, "b").groupBy(F.col("a").alias("id")).agg(F.count("*").alias("n_near"), F.min("other").alias("best")))
+    best = durable(near_pairs(known).join(of_b.hint("merge"), "b").groupBy(F.col("a").alias("id")).agg(F.count("*").alias("n_near"), F.min("other").alias("best")))
     form = F.when(-F.col("best.less") >= factor * F.col("n"), F.col("best"))
-    rows = durable(known.join(best, "id", "left").withColumn("best", form).select(
+    rows = durable(known.join(best.hint("merge"), "id", "left").withColumn("best", form).select(
         "word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.col("best.word").alias("form"), (-F.col("best.less")).alias("form_n")))
     roots = followed(rows.where("form is not null"), "word", "form").withColumnRenamed("form", "root")
-    return rows.join(roots, "word", "left").withColumn("root", F.coalesce("root", "word"))
+    return rows.join(roots.hint("merge"), "word", "left").withColumn("root", F.coalesce("root", "word"))
 
 
 def oracle() -> str:
