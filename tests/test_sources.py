@@ -353,3 +353,23 @@ def test_document_checks_move_no_bodies(spark):
 
     fields = documents.resolved(spark, "/root/testdata/sf0.001").schema["doc"].dataType.names
     assert "records" in fields and not {"body", "history", "params"} & set(fields)
+
+
+def test_a_body_is_the_stored_array_if_their_canonical_json_is_equal(spark):
+    pair = '[{"a":1,"b":"x \\"y\\" [ ]"},{"c":[0.5,null]}]'
+    cases = [  # stored text, body, equal; the document's other text holds copies of the body
+        (pair, pair, True), ("[]", "[]", True), (json.dumps(json.loads(pair), indent=2), pair, True), (pair, f" {pair}\n", True),
+        ('[{"b":2,"a":1}]', '[{"a":1,"b":2}]', True), ('[{"a":1.50}]', '[{"a":1.5}]', True), ('["\\u0041"]', '["A"]', True), (pair, "[]", False),
+        ("[5]", '["5"]', False), ('["[]"]', "[]", False), ("[[],[]]", "[]", False), ("[0.10000000000000000001]", "[0.1]", False), ('["a b"]', '["ab"]', False),
+        ("[1e2]", "[100.0]", False), ("{}", "[]", False), ('"[]"', "[]", False), ("null", "null", False), ("[1]", '"[1]"', False), ("[1]", "[1", False),
+        ("[1]", "", False), ("[NaN]", "[NaN]", False), ('[{"a":1,"a":1}]', '[{"a":1,"a":1}]', False)]
+    rows = [(str(i), f'{{"evidence":{{"body":{json.dumps(body)}, "copy":{{"history":[2]}}}},"z [1][]":0,"history":{stored}, "other":[{stored}]}}', equal)
+            for i, (stored, body, equal) in enumerate(cases)]
+    # The body is in the text, but across strings; without it, an inner object would seem to be the outer one.
+    body = '[", ",":{",":"]'
+    rows.append(("across", f'{{"evidence":{{"body":{json.dumps(body)}}},"s":"{body}","history":{{}}}},"history":[5]}}', False))
+    parsed = history.parse_documents(spark.createDataFrame(rows, "path string, text string, equal boolean").select("path", "text"))
+    assert parsed.where("not json_ok").count() == 2  # NaN and a repeated key
+    assert {r["path"]: r["same_body"] for r in parsed.collect()} == {p: equal for p, _, equal in rows}
+    # Canonical JSON is written for nothing but arrays that are not stored as the body has them.
+    assert "history" not in parsed.schema["doc"].dataType.names
