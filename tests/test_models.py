@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import pytest
@@ -87,6 +88,41 @@ def test_permutation_of_several_models_writes_one_predictor_at_a_time(spark, row
         models.permutation_importance([fitted[0], models.fit("random_forest", train, names=NAMES[:2])], valid)
 
 
+def test_permutation_scores_a_row_once_for_each_value_it_receives(spark, monkeypatch):
+    data = [(i, 2025, float(i % 2), float(i % 7), i * .25, int(i % 2 or i % 7 > 4)) for i in range(60)]
+    rows = spark.createDataFrame(data, "entity_id bigint, window_year int, a double, b double, c double, discount_observed int").withColumn("k", F.lit(1.0))
+    fitted = models.fit("random_forest", rows, names=(*NAMES, "k"))
+    scored, real = [], models._long_probabilities
+    monkeypatch.setattr(models, "_long_probabilities", lambda m, r, *keys: scored.append(r) or real(m, r, *keys))
+    monkeypatch.setattr(models, "forget", lambda *t: None)
+    monkeypatch.setattr(models, "BUCKET_ROWS", 8)
+    monkeypatch.setattr(models, "REPEATS_HELD", 5)
+    got = {r["feature"]: r for r in models.permutation_importance(fitted, rows, repeats=12).collect()}
+    a, b, c, k = (r.count() for r in scored[1:])
+    assert k == 60 * 3 and a <= 60 * 6 and b < 60 * 12 and a < c <= 60 * 12  # 12 repeats in three blocks
+    # The same shuffles in plain Python.
+    sha = lambda *parts: hashlib.sha256("|".join(map(str, parts)).encode()).hexdigest()
+    base = [(*r[2:5], 1.0, r[5]) for r in sorted(data, key=lambda r: sha(42, r[0], r[1]))]
+    tables = {}
+    for f, name in enumerate((*NAMES, "k")):
+        for repeat in range(1, 13):
+            order = sorted(range(60), key=lambda i: sha(42, f, repeat, i + 1))  # noqa: B023
+            tables[name, repeat] = [(*r[:f], base[o][f], *r[f + 1:]) for r, o in zip(base, order, strict=True)]
+    inputs = sorted({r[:-1] for t in (base, *tables.values()) for r in t})
+    p = {tuple(r["v"]): r["p"] for r in fitted.predict_inputs(
+        spark.createDataFrame([(list(x), list(x)) for x in inputs], "x array<double>, v array<double>")).collect()}
+    full = auc([(p[r[:-1]], r[-1]) for r in base])
+    for name in got:
+        drops = [full - auc([(p[r[:-1]], r[-1]) for r in tables[name, repeat]]) for repeat in range(1, 13)]
+        assert got[name]["repeats"] == 12 and abs(got[name]["importance_mean"] - sum(drops) / 12) < 1e-8
+    assert got["a"]["importance_mean"] > .05
+
+
+def auc(scores):
+    pairs = [(a > b) + (a == b) / 2 for a, y in scores if y for b, z in scores if not z]
+    return sum(pairs) / len(pairs)
+
+
 def test_roles_and_overlap(spark, rows):
     roles = prepare.chronological_roles(rows, 2023, 2024, 2025)
     got = {r["role"]: r["rows"] for r in prepare.split_summary(roles, "discount_observed").collect()}
